@@ -107,12 +107,10 @@ class Rewriter:
             if m:
                 self.automaton.add_word(m, (len(m), best))
         self.automaton.make_automaton()
-        self.some = re.compile("[" + "".join(sorted(re.escape(m[-1]) for m in to if m and ord(m[-1]) > 127)) + "]")
-        ascii_ = [m for m in to if m and ord(m[-1]) <= 127]
-        self.ascii = re.compile("|".join(map(re.escape, ascii_))) if ascii_ else None
+        self.ends = frozenset(m[-1] for m in to if m)
 
     def _pass(self, text: str) -> str:
-        if not self.some.search(text) and not (self.ascii and self.ascii.search(text)):
+        if self.ends.isdisjoint(text):
             return text
         out, at = [], 0
         for end, (n, best) in self.automaton.iter_long(text):
