@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from yakamoz.llm.canonical import mapped
 from yakamoz.llm.copies import collapsed, copies
+from yakamoz.llm.leaks import leaked
 from yakamoz.llm.lookalikes import look_alike_pairs
+from yakamoz.llm.mixture import mix, shares
+from yakamoz.llm.quality import layouts, not_prose, statistics
 from yakamoz.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +25,18 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return mapped(table(spark, d, "posts_raw"), table(spark, d, "posts_processed"), table(spark, d, "places"))
+
+
+@query
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Number of values of each table and position that name no entry, and of those that do."""
+    return p3_found(spark, d).groupBy("src", "pos").agg(
+        F.count_if(F.col("place_id") == 0).alias("n_unmatched"), F.count_if(F.col("place_id") != 0).alias("n_mapped"))
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     posts = look_alike_pairs(table(spark, d, "posts_raw"), "_id", "text", tbl="posts_raw")
@@ -34,3 +51,40 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return collapsed(table(spark, d, "posts_raw"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+@query
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with the number of documents that give them away."""
+    got = leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return got.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("score").alias("best_score"))
+
+
+@query
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_prose(table(spark, d, "documents"))
+
+
+@query
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return statistics(table(spark, d, "documents"))
+
+
+@query
+def p9_layouts(spark: SparkSession, d: str) -> DataFrame:
+    return layouts(table(spark, d, "documents"))
