@@ -12,6 +12,7 @@ from yakamoz.llm.copies import collapsed, copies
 from yakamoz.llm.leaks import leaked
 from yakamoz.llm.lookalikes import look_alike_pairs
 from yakamoz.llm.mixture import mix, shares
+from yakamoz.llm.personal import personal_items, personal_kinds
 from yakamoz.llm.quality import layouts, not_prose, statistics
 from yakamoz.runtime import table
 
@@ -37,6 +38,16 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
         F.count_if(F.col("place_id") == 0).alias("n_unmatched"), F.count_if(F.col("place_id") != 0).alias("n_mapped"))
 
 
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_kinds(table(spark, d, "posts_raw"), table(spark, d, "given_names"))
+
+
+@query
+def p4_masked(spark: SparkSession, d: str) -> DataFrame:
+    return personal_items(table(spark, d, "posts_raw"), table(spark, d, "given_names")).drop("kinds")
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     posts = look_alike_pairs(table(spark, d, "posts_raw"), "_id", "text", tbl="posts_raw")
