@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from yakamoz.llm.abuse import rates, scored
 from yakamoz.llm.canonical import mapped
 from yakamoz.llm.copies import collapsed, copies
 from yakamoz.llm.leaks import leaked
@@ -26,6 +27,25 @@ def query(f: Query) -> Query:
     return f
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return scored(table(spark, d, "posts_processed"), table(spark, d, "post_labels"))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).where("abusive").select("post_id")
+
+
+@query
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)
+
+
+@query
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rates(_scores(spark, d), table(spark, d, "posts_raw"))
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return mapped(table(spark, d, "posts_raw"), table(spark, d, "posts_processed"), table(spark, d, "places"))
