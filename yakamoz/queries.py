@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from yakamoz.functions import records as rec
+from yakamoz.functions import sentiment as sen
+from yakamoz.functions import text as txt
+from yakamoz.operators import aggregate as agg
+from yakamoz.operators import classify as cls
+from yakamoz.operators import html as page
+from yakamoz.operators import location as loc
+from yakamoz.operators import requests as req
+from yakamoz.operators import tables as tab
 from yakamoz.operators.timestamps import normalise_timestamps, unambiguous_instants
+from yakamoz.plans import geojson
 from yakamoz.runtime import table
+from yakamoz.streaming.incremental import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,3 +47,431 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p1_instants")
 def p1_instants(spark: SparkSession, d: str) -> DataFrame:
     return normalise_timestamps(table(spark, d, "posts_raw"), table(spark, d, "sources"))
+
+
+SINCE, UNTIL = datetime(1950, 1, 1), datetime(2026, 12, 31)
+# SQL: lower case as Spark has it (a dotted capital I keeps its dot as an accent), all white space, located posts, both models.
+_LOWER = "lower(replace({}, 'İ', 'i̇'))"
+_WS = r"[\t\n\v\f\r\x{85}\p{Z}]+"
+_TLOWER = "lower(replace(replace({}, 'İ', 'i'), 'I', 'ı'))"
+_LOCATED = """SELECT post_id, sentiment, CASE WHEN p = '' THEN 'Unknown' ELSE p END AS province,
+  CASE WHEN p = '' THEN 'Unknown' WHEN d = '' THEN p ELSE d END AS district
+  FROM (SELECT *, coalesce(trim(location.province), '') AS p, coalesce(trim(location.district), '') AS d FROM posts_processed)"""
+_MODELS = """SELECT * EXCLUDE (sentiment), 'llm' AS model_type, sentiment.llm.label AS label FROM {0}
+  UNION ALL SELECT * EXCLUDE (sentiment), 'transformer', sentiment.transformer.label FROM {0}"""
+
+
+def _province_sql(keyword: str | None = None, sentiment: str | None = None) -> str:
+    more = f" AND contains(lower(text), '{keyword}')" if keyword else ""
+    only = f"= '{sentiment}'" if sentiment else "IN ('positive', 'negative')"
+    return f"""WITH p AS (SELECT location.province AS province, sentiment FROM posts_processed
+      WHERE created_at BETWEEN TIMESTAMP '1950-01-01' AND TIMESTAMP '2026-12-31' AND coalesce(location.province, '') <> ''{more}),
+    m AS ({_MODELS.format("p")}), g AS (SELECT province, model_type, count(*) AS total_posts,
+      count(*) FILTER (lower(label) = 'positive') AS positive, count(*) FILTER (lower(label) = 'negative') AS negative
+      FROM m WHERE lower(label) {only} GROUP BY 1, 2)
+    SELECT *, (positive - negative)::DOUBLE / total_posts AS average_sentiment, ((positive - negative)::DOUBLE / total_posts + 1) / 2 AS normalized_score,
+      positive::DOUBLE / total_posts AS positive_ratio, negative::DOUBLE / total_posts AS negative_ratio FROM g"""
+
+
+@query("province_sentiment", _province_sql())
+def province_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    return agg.province_sentiment(table(spark, d, "posts_processed"), SINCE, UNTIL)
+
+
+@query("province_sentiment_keyword", _province_sql("kafe", "positive"))
+def province_sentiment_keyword(spark: SparkSession, d: str) -> DataFrame:
+    return agg.province_sentiment(table(spark, d, "posts_processed"), SINCE, UNTIL, "kafe", "positive")
+
+
+@query("map_two_grain", f"""WITH p AS ({_LOCATED}), m AS ({_MODELS.format("p")}),
+  n AS (SELECT province, district, model_type, lower(trim(coalesce(nullif(label, ''), 'neutral'))) AS label FROM m),
+  g AS (SELECT province, district, model_type, CASE WHEN grouping(district) = 1 THEN 'province' ELSE 'district' END AS grain, count(*) AS total_posts,
+    count(*) FILTER (label = 'positive') AS positive, count(*) FILTER (label NOT IN ('positive', 'negative')) AS neutral,
+    count(*) FILTER (label = 'negative') AS negative FROM n GROUP BY GROUPING SETS ((province, model_type), (province, district, model_type))),
+  s AS (SELECT *, ((positive - negative)::DOUBLE / total_posts + 1) / 2 AS map_color_score FROM g)
+  SELECT *, CASE WHEN round_even(map_color_score, 4) >= 0.6 THEN 'positive' WHEN round_even(map_color_score, 4) <= 0.4 THEN 'negative'
+    ELSE 'neutral' END AS sentiment_label FROM s""")
+def map_two_grain(spark: SparkSession, d: str) -> DataFrame:
+    return agg.map_counts(table(spark, d, "posts_processed"))
+
+
+@query("map_category_breakdown", f"""WITH p AS ({_LOCATED}), c AS (SELECT p.province, p.sentiment,
+    {_LOWER.format("trim(coalesce(nullif(r.post_tags[1], ''), 'uncategorized'))")} AS category FROM p LEFT JOIN posts_raw r ON p.post_id = r._id),
+  m AS ({_MODELS.format("c")}), g AS (SELECT province, model_type, category, count(*) AS total,
+    count(*) FILTER (lower(label) = 'positive') AS a, count(*) FILTER (lower(label) = 'negative') AS b FROM m GROUP BY 1, 2, 3)
+  SELECT province, model_type, category, total, ((a - b)::DOUBLE / total + 1) / 2 AS map_color_score FROM g""")
+def map_category_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return agg.map_categories(table(spark, d, "posts_processed"), table(spark, d, "posts_raw"))
+
+
+@query("geo_metadata", f"""WITH p AS ({_LOCATED}) SELECT count(*) FILTER (province = 'Unknown') AS unmatched_posts,
+  count(DISTINCT province) AS total_provinces, count(DISTINCT (province, district)) AS total_districts FROM p""")
+def geo_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return agg.map_metadata(table(spark, d, "posts_processed"))
+
+
+@query("geojson_features")
+def geojson_features(spark: SparkSession, d: str) -> DataFrame:
+    return geojson.features(table(spark, d, "posts_processed"), table(spark, d, "posts_raw"))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """Posts that both models judged; one model's label as the truth for the other."""
+    x = table(spark, d, "posts_processed").where("sentiment.llm.label <> 'neutral' AND sentiment.transformer.label <> 'neutral'")
+    return x.select("post_id", "text", F.col("sentiment.llm.label").alias("expected"), F.col("sentiment.transformer.label").alias("predicted"),
+                    F.col("sentiment.transformer.score").alias("score")).withColumn("is_error", F.col("expected") != F.col("predicted"))
+
+
+_JUDGED = """j AS (SELECT post_id, text, sentiment.llm.label AS expected, sentiment.transformer.label AS predicted, sentiment.transformer.score AS score,
+  sentiment.llm.label <> sentiment.transformer.label AS is_error FROM posts_processed
+  WHERE sentiment.llm.label <> 'neutral' AND sentiment.transformer.label <> 'neutral')"""
+_MATRIX = """m AS (SELECT count(*) FILTER (expected = 'positive' AND predicted = 'positive') AS tp,
+  count(*) FILTER (expected <> 'positive' AND predicted <> 'positive') AS tn, count(*) FILTER (expected <> 'positive' AND predicted = 'positive') AS fp,
+  count(*) FILTER (expected = 'positive' AND predicted <> 'positive') AS fn FROM j)"""
+
+
+@query("confusion_matrix", f"WITH {_JUDGED}, {_MATRIX} SELECT * FROM m")
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return agg.confusion(_judged(spark, d), "expected", "predicted")
+
+
+@query("classification_metrics", f"""WITH {_JUDGED}, {_MATRIX}, a AS (SELECT *, coalesce((tp + tn)::DOUBLE / nullif(tp + tn + fp + fn, 0), 0) AS accuracy,
+    coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision_positive, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall_positive, tp + fn AS support_positive,
+    coalesce(tn::DOUBLE / nullif(tn + fn, 0), 0) AS precision_negative, coalesce(tn::DOUBLE / nullif(tn + fp, 0), 0) AS recall_negative, tn + fp AS support_negative FROM m),
+  f AS (SELECT *, coalesce(2 * precision_positive * recall_positive / nullif(precision_positive + recall_positive, 0), 0) AS f1_positive,
+    coalesce(2 * precision_negative * recall_negative / nullif(precision_negative + recall_negative, 0), 0) AS f1_negative FROM a)
+  SELECT *, (precision_positive + precision_negative) / 2 AS macro_precision, (recall_positive + recall_negative) / 2 AS macro_recall,
+    (f1_positive + f1_negative) / 2 AS macro_f1 FROM f""")
+def classification_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return agg.metrics(confusion_matrix(spark, d))
+
+
+@query("hardest_errors", f"WITH {_JUDGED} SELECT post_id, substr(text, 1, 240) AS text, expected, predicted, score, is_error FROM (SELECT *, row_number() OVER (ORDER BY score DESC, post_id) AS n FROM j WHERE is_error) WHERE n <= 25")
+def hardest_errors(spark: SparkSession, d: str) -> DataFrame:
+    return cls.hardest_errors(_judged(spark, d), "post_id")
+
+
+@query("first_errors", f"WITH {_JUDGED} SELECT post_id, substr(text, 1, 240) AS text, expected, predicted, score, is_error FROM (SELECT *, row_number() OVER (ORDER BY post_id) AS n FROM j WHERE is_error) WHERE n <= 25")
+def first_errors(spark: SparkSession, d: str) -> DataFrame:
+    return cls.first_errors(_judged(spark, d), "post_id")
+
+
+@query("evaluate_lexicon")
+def evaluate_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    return cls.scores_of(cls.evaluated(table(spark, d, "eval_items"), cls.lexicon, "item_id"))
+
+
+@query("clean_text")
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "posts_raw").select("_id", txt.clean_text(F.col("text")).alias("cleaned"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in txt.STOPWORDS)
+
+
+@query("normalize_text", rf"""WITH a AS (SELECT _id, regexp_extract_all(regexp_replace({_TLOWER.format("text")}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '(?s).') AS c FROM posts_raw),
+  b AS (SELECT _id, array_to_string(list_filter(c, lambda x, i: NOT coalesce(i > 1 AND x = c[i - 1] AND x <> chr(10) AND (coalesce(c[i - 2] = x AND i > 2, false)
+    OR coalesce(c[i + 1] = x, false)), false)), '') AS t FROM a),
+  e AS (SELECT _id, array_to_string(list_filter(string_split(trim(regexp_replace(t, '{_WS}', ' ', 'g')), ' '), lambda w: w NOT IN ({_STOP})), ' ') AS t FROM b)
+  SELECT _id, CASE WHEN length(trim(t)) >= 3 THEN t END AS cleaned FROM e""")
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    c = txt.clean_text(F.col("text"), urls=False, mentions=False, emoji=False, pii=False)
+    return table(spark, d, "posts_raw").select("_id", c.alias("cleaned"))
+
+
+@query("pii_mask")
+def pii_mask(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "posts_raw").select("_id", txt.mask_pii(F.col("text")).alias("masked"))
+
+
+@query("pii_mask_email", f"SELECT _id, regexp_replace(text, '{txt.EMAIL}', '[EMAIL]', 'g') AS masked FROM posts_raw")
+def pii_mask_email(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "posts_raw").select("_id", F.regexp_replace("text", txt.EMAIL, "[EMAIL]").alias("masked"))
+
+
+_FORM = f"trim(regexp_replace({_LOWER.format("coalesce(text, '')")}, '{_WS}', ' ', 'g'))"
+
+
+@query("text_fingerprint_dedupe", f"""WITH a AS (SELECT _id, topic_url, {_FORM} AS f FROM posts_raw), b AS (SELECT _id, topic_url, CASE WHEN f = '' THEN '' ELSE sha1(f) END AS fp FROM a)
+  SELECT _id, topic_url, fp FROM (SELECT *, row_number() OVER (PARTITION BY topic_url, fp ORDER BY _id) AS n FROM b) WHERE n = 1 OR fp = ''""")
+def text_fingerprint_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "posts_raw").select("_id", "topic_url", rec.fingerprint(F.col("text")).alias("fp"))
+    return tab.first_by(x, ["topic_url", "fp"], ["_id"], unless=F.col("fp") == "")
+
+
+@query("post_ids", """SELECT _id, sha1(coalesce(source, '') || '|' || coalesce(topic_url, '') || '|' || _id::VARCHAR || '|' || coalesce(page::VARCHAR, '') || '|' ||
+  trim(coalesce(text, ''))) AS key FROM posts_raw""")
+def post_ids(spark: SparkSession, d: str) -> DataFrame:
+    key = rec.post_key(F.col("source"), F.col("topic_url"), F.col("_id"), F.col("page"), F.col("text"))
+    return table(spark, d, "posts_raw").select("_id", key.alias("key"))
+
+
+def _issues(spark: SparkSession, d: str) -> DataFrame:
+    created = rec.parse_date(F.col("created_at"))
+    x = table(spark, d, "posts_raw").withColumn("_c", created)
+    found = rec.issues(F.col("text"), F.col("source"), F.col("language"), F.coalesce("_c", F.col("collected_at").cast("timestamp")), F.col("_c").isNull(),
+                       F.col("category"), F.col("location.province"), F.col("location.district"), F.col("level"))
+    return x.select("_id", found.alias("found")).withColumn("is_valid", rec.is_valid(F.col("found")))
+
+
+_GUARDS = (
+    (r"\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{1,2}", "%d.%m.%Y %H:%M"), (r"\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{1,2}:\d{1,2}", "%d.%m.%Y %H:%M:%S"),
+    (r"\d{1,2}\.\d{1,2}\.\d{4}", "%d.%m.%Y"), (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}", "%d/%m/%Y %H:%M"), (r"\d{1,2}/\d{1,2}/\d{4}", "%d/%m/%Y"),
+    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}", "%Y-%m-%d %H:%M:%S"), (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}", "%Y-%m-%d %H:%M"),
+    (r"\d{4}-\d{1,2}-\d{1,2}", "%Y-%m-%d"),
+)
+_DATED = rf"""t AS (SELECT *, trim(regexp_replace(regexp_replace(created_at, ' ?tarihinde', '', 'g'), '{_WS}', ' ', 'g')) AS c FROM posts_raw),
+  u AS (SELECT *, coalesce({", ".join(f"CASE WHEN regexp_full_match(c, '{g}') THEN try_strptime(c, '{f}') END" for g, f in _GUARDS)},
+    CASE WHEN regexp_full_match(c, '\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}(:\d{{2}}){{1,2}}(\.\d+)?(Z|[+-]\d{{2}}:?\d{{2}})?') THEN
+      date_trunc('second', try_cast(regexp_replace(regexp_replace(c, '([+-]\d{{2}}):?(\d{{2}})$', ''), 'Z$', '') AS TIMESTAMP))
+      - to_minutes(coalesce(CASE WHEN regexp_matches(c, '\d[+-]\d{{2}}:?\d{{2}}$') AND regexp_matches(c, ':\d{{2}}') THEN
+        (CASE WHEN regexp_matches(c, '-\d{{2}}:?\d{{2}}$') THEN -1 ELSE 1 END) * (regexp_extract(c, '[+-](\d{{2}}):?\d{{2}}$', 1)::INT * 60
+        + regexp_extract(c, '[+-]\d{{2}}:?(\d{{2}})$', 1)::INT) END, 0)) END) AS made FROM t)"""
+
+
+@query("parse_dates", f"WITH {_DATED} SELECT _id, epoch_us(made) AS at_micros FROM u")
+def parse_dates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "posts_raw").select("_id", F.unix_micros(rec.parse_date(F.col("created_at"))).alias("at_micros"))
+
+
+_BLANK = "coalesce(trim({}), '') = ''"
+_ISSUES = f"""{_DATED}, i AS (SELECT _id, list_filter([CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'missing_text' WHEN length(trim(coalesce(text, ''))) < 15 THEN 'text_too_short' END,
+  CASE WHEN {_BLANK.format("source")} THEN 'missing_source' END, CASE WHEN {_BLANK.format("language")} THEN 'missing_language' END,
+  CASE WHEN coalesce(made, collected_at) IS NULL THEN 'missing_created_at' END, CASE WHEN made IS NULL THEN 'fallback_timestamp_used' END,
+  CASE WHEN {_BLANK.format("category")} THEN 'missing_category' END, CASE WHEN {_BLANK.format("location.province")} THEN 'missing_province' END,
+  CASE WHEN level = 'district' AND {_BLANK.format("location.district")} THEN 'missing_district' END], lambda x: x IS NOT NULL) AS f FROM u)"""
+
+
+@query("validate_records", f"WITH {_ISSUES} SELECT _id, array_to_string(f, ',') AS issues, len(list_filter(f, lambda x: x <> 'fallback_timestamp_used')) = 0 AS is_valid FROM i")
+def validate_records(spark: SparkSession, d: str) -> DataFrame:
+    return _issues(spark, d).select("_id", F.array_join("found", ",").alias("issues"), "is_valid")
+
+
+@query("clean_invalid_split", f"""WITH {_ISSUES} SELECT CASE WHEN len(list_filter(f, lambda x: x <> 'fallback_timestamp_used')) = 0 THEN 'clean' ELSE 'invalid' END AS section,
+  count(*) AS n FROM i GROUP BY 1 UNION ALL SELECT 'raw', count(*) FROM i""")
+def clean_invalid_split(spark: SparkSession, d: str) -> DataFrame:
+    x = _issues(spark, d).select(F.explode(F.array(F.lit("raw"), F.when(F.col("is_valid"), "clean").otherwise("invalid"))).alias("section"))
+    return x.groupBy("section").agg(F.count("*").alias("n"))
+
+
+def _pending_sql(model: str, more: str = "") -> str:
+    return f"SELECT post_id, text FROM posts_processed WHERE text IS NOT NULL AND text <> '' AND (sentiment.{model}.model = 'pending' OR sentiment.{model}.label = 'neutral'{more})"
+
+
+@query("pending_scan_transformer", _pending_sql("transformer"))
+def pending_scan_transformer(spark: SparkSession, d: str) -> DataFrame:
+    return tab.pending(table(spark, d, "posts_processed"), "transformer")
+
+
+@query("pending_scan_llm", _pending_sql("llm", " OR sentiment.llm.model IN ('llm-v0')"))
+def pending_scan_llm(spark: SparkSession, d: str) -> DataFrame:
+    return tab.pending(table(spark, d, "posts_processed"), "llm", "llm-v0")
+
+
+@query("untagged_scan", "SELECT post_id, text FROM posts_processed WHERE location.province IS NULL OR location.province = ''")
+def untagged_scan(spark: SparkSession, d: str) -> DataFrame:
+    return tab.untagged(table(spark, d, "posts_processed")).select("post_id", "text")
+
+
+@query("incremental_skip", "SELECT _id, 'new' AS state FROM posts_raw WHERE _id NOT IN (SELECT post_id FROM posts_processed) UNION ALL "
+       "SELECT _id, 'known' FROM posts_raw WHERE _id IN (SELECT post_id FROM posts_processed)")
+def incremental_skip(spark: SparkSession, d: str) -> DataFrame:
+    raw, old = table(spark, d, "posts_raw").select("_id"), table(spark, d, "posts_processed")
+    new = tab.skip_known(raw, old, "_id", "post_id").withColumn("state", F.lit("new"))
+    return new.unionByName(tab.only_known(raw, old, "_id", "post_id").withColumn("state", F.lit("known")))
+
+
+@query("step_summary", """SELECT count(*) AS scanned, count(*) FILTER (p.post_id IS NULL AND r.text IS NOT NULL) AS processed, count(*) FILTER (p.post_id IS NOT NULL) AS skipped_existing,
+  count(*) FILTER (p.post_id IS NULL AND r.text IS NULL) AS skipped_invalid FROM posts_raw r LEFT JOIN posts_processed p ON r._id = p.post_id""")
+def step_summary(spark: SparkSession, d: str) -> DataFrame:
+    return agg.step_summary(table(spark, d, "posts_raw"), table(spark, d, "posts_processed"), "text", "_id", "post_id")
+
+
+@query("topk_topics_per_request", """WITH t AS (SELECT source AS request_key, topic_url, min(_id) AS rank FROM posts_raw GROUP BY 1, 2),
+  o AS (SELECT * FROM t WHERE topic_url NOT IN (SELECT topic_url FROM posts_raw WHERE page = 5 AND topic_url IS NOT NULL) OR topic_url IS NULL)
+  SELECT request_key, topic_url, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_key ORDER BY rank, topic_url) AS n FROM o) WHERE n <= 10""")
+def topk_topics_per_request(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "posts_raw")
+    topics = x.groupBy(F.col("source").alias("request_key"), "topic_url").agg(F.min("_id").alias("rank"))
+    return req.open_topics(topics, x.where("page = 5"), 10)
+
+
+@query("topic_groups", """SELECT location.province AS province, coalesce(location.district, '') AS district, count(DISTINCT topic_url) AS n_topics, min(topic_url) AS first_topic
+  FROM posts_raw WHERE location.province IS NOT NULL GROUP BY 1, 2""")
+def topic_groups(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "posts_raw").where("location.province IS NOT NULL")
+    g = x.groupBy(F.col("location.province").alias("province"), F.coalesce("location.district", F.lit("")).alias("district"))
+    return g.agg(F.count_distinct("topic_url").alias("n_topics"), F.min("topic_url").alias("first_topic"))
+
+
+_REQUESTS = (
+    ("r1", None, "all", None, "kahve mekanları", None, None), ("r2", "district", None, "hepsi", "*", 3, 2), ("r3", "auto", None, None, "serbest konu", None, None),
+    ("r4", "province", "*", None, "all", 7, None),
+)
+
+
+def _key_sql(c: str) -> str:
+    return rf"regexp_replace(translate({_LOWER.format(f'trim({c})')}, 'ığüşöç', 'igusoc'), '{_WS}', ' ', 'g')"
+
+
+def _values_sql() -> str:
+    one = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'"
+    return ", ".join(f"({', '.join(map(one, r))})" for r in _REQUESTS)
+
+
+@query("task_expansion", f"""WITH r(request_id, level, province, district, category, num_results, max_topics) AS (VALUES {_values_sql()}),
+  q AS (SELECT *, CASE WHEN level IS NULL OR level = 'auto' THEN CASE WHEN district IS NULL THEN 'province' ELSE 'district' END ELSE level END AS lv,
+    coalesce(lower(province) IN ('all', 'hepsi', '*'), true) AS ap, coalesce(lower(district) IN ('all', 'hepsi', '*'), true) AS ad,
+    coalesce(lower(category) IN ('all', 'hepsi', '*'), true) AS ac FROM r),
+  x AS (SELECT q.*, p.name AS pn, d.name AS dn FROM q JOIN places p ON p.kind = 'province' AND q.ap
+    LEFT JOIN places d ON q.lv = 'district' AND d.kind = 'district' AND d.province = p.name AND q.ad WHERE q.lv = 'province' OR d.name IS NOT NULL)
+  SELECT request_id, lv AS level, pn AS province, dn AS district, coalesce(c.name, category) AS category,
+    coalesce(num_results, CASE WHEN lv = 'district' THEN 5 ELSE 10 END) AS num_results, max_topics,
+    lv || '|||' || pn || '|||' || coalesce(dn, '') || '|||' || coalesce(c.name, category) AS request_key
+  FROM x LEFT JOIN places c ON c.kind = 'category' AND x.ac""")
+def task_expansion(spark: SparkSession, d: str) -> DataFrame:
+    kinds = "request_id string, level string, province string, district string, category string, num_results int, max_topics int"
+    p = table(spark, d, "places")
+    pick = lambda kind: p.where(F.col("kind") == kind)
+    tasks = req.expand(
+        spark.createDataFrame(_REQUESTS, kinds), pick("province").select(F.col("name").alias("province")),
+        pick("district").select("province", F.col("name").alias("district")), pick("category").select(F.col("name").alias("category")))
+    return req.keyed(tasks, "forum.example").drop("query", "fetch_key")
+
+
+@query("url_normalize", r"""SELECT _id, regexp_replace(regexp_replace(trim(u), '[?#].*$', ''), '/+$', '') AS topic, greatest(1, coalesce(try_cast(nullif(regexp_extract(u,
+  '[?&]p=(\d{1,9})(?:&|#|$)', 1), '') AS INT), 1)) AS start_page FROM (SELECT _id, coalesce(topic_url, '') || '/?a=1&p=' || coalesce(page::VARCHAR, 'x') || '#t' AS u FROM posts_raw)""")
+def url_normalize(spark: SparkSession, d: str) -> DataFrame:
+    u = F.concat(F.coalesce("topic_url", F.lit("")), F.lit("/?a=1&p="), F.coalesce(F.col("page").cast("string"), F.lit("x")), F.lit("#t"))
+    x = table(spark, d, "posts_raw").select("_id", u.alias("u"))
+    return x.select("_id", txt.topic_url(F.col("u")).alias("topic"), txt.start_page(F.col("u")).alias("start_page"))
+
+
+@query("page_plan", """WITH t AS (SELECT DISTINCT topic_url FROM posts_raw WHERE topic_url IS NOT NULL), v AS (SELECT DISTINCT topic_url || '?p=' || page AS u FROM posts_raw WHERE page IS NOT NULL)
+  SELECT topic_url, p::INT AS page, topic_url || '?p=' || p AS page_url FROM t, range(1, 6) r(p) WHERE topic_url || '?p=' || p NOT IN (SELECT u FROM v WHERE u IS NOT NULL)""")
+def page_plan(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "posts_raw")
+    topics = x.select("topic_url").where("topic_url IS NOT NULL").distinct()
+    visited = x.where("page IS NOT NULL").select(F.concat("topic_url", F.lit("?p="), F.col("page").cast("string")).alias("page_url"))
+    return page.page_plan(topics, visited)
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as forum pages: a heading, an entry for each text and its copy, and a link."""
+    e = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    li = F.concat(F.lit('<li data-id="'), F.col("doc_id"), F.lit('" data-author="u"><div class="content">'), e, F.lit('</div><span class="entry-date">1.1.2020</span></li>'))
+    html = F.concat(
+        F.lit("<html><head><title>t</title></head><body><h1>Belge <b>"), F.col("doc_id"), F.lit('</b></h1><ul id="entry-item-list">'), li, li,
+        F.lit('</ul><a href="/next?p=2">sonraki</a></body></html>'))
+    return table(spark, d, "documents").select(F.concat(F.lit("https://d.example/"), F.col("doc_id")).alias("url"), html.alias("html"))
+
+
+@query("page_titles", "SELECT 'https://d.example/' || doc_id AS url, 'Belge ' || doc_id AS title FROM documents")
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    return page.page_titles(_pages(spark, d))
+
+
+@query("page_entries")
+def page_entries(spark: SparkSession, d: str) -> DataFrame:
+    return page.page_entries(_pages(spark, d))
+
+
+@query("html_links", "SELECT 'https://d.example/' || doc_id AS url, 0::INT AS ord, '/next?p=2' AS href, 'sonraki' AS link_text FROM documents")
+def html_links(spark: SparkSession, d: str) -> DataFrame:
+    return page.page_links(_pages(spark, d))
+
+
+def _gazetteer_rows(spark: SparkSession, d: str) -> DataFrame:
+    prov = F.col("kind") == "province"
+    return table(spark, d, "places").where("kind <> 'category'").select(
+        F.col("place_id").alias("ord"), F.when(prov, F.col("name")).otherwise(F.col("province")).alias("province"), F.when(prov, "").otherwise(F.col("name")).alias("district"))
+
+
+_SPLIT = "[^a-zA-ZğüşıöçĞÜŞİÖÇ]+"
+
+
+@query("location_tag", f"""WITH g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY district <> '', ord) AS n FROM (SELECT place_id AS ord,
+    CASE WHEN kind = 'province' THEN name ELSE province END AS province, CASE WHEN kind = 'province' THEN '' ELSE name END AS district, {_TLOWER.format("name")} AS candidate
+    FROM places WHERE kind <> 'category')) WHERE n = 1),
+  s AS (SELECT _id, i AS place, {_TLOWER.format("post_tags[i]")} AS t FROM (SELECT _id, post_tags, unnest(range(1, len(post_tags) + 1)) AS i FROM posts_raw)
+    UNION ALL SELECT _id, 1000000, {_TLOWER.format("text")} FROM posts_raw),
+  w AS (SELECT DISTINCT _id, place, unnest(string_split_regex(t, '{_SPLIT}')) AS candidate FROM s),
+  b AS (SELECT _id, g.province, g.district, row_number() OVER (PARTITION BY _id ORDER BY place, g.district = '', length(candidate) DESC, ord, candidate) AS n FROM w JOIN g USING (candidate))
+  SELECT r._id, coalesce(b.province, '') AS province, coalesce(b.district, '') AS district FROM posts_raw r LEFT JOIN b ON r._id = b._id AND b.n = 1""")
+def location_tag(spark: SparkSession, d: str) -> DataFrame:
+    return loc.tagged(table(spark, d, "posts_raw"), _gazetteer_rows(spark, d), "_id", "text", "post_tags")
+
+
+@query("upsert_merge", """WITH o AS (SELECT post_id, _id, source FROM posts_raw WHERE page = 1), n AS (SELECT post_id, _id, source FROM posts_raw WHERE page <> 1 OR page IS NULL),
+  l AS (SELECT post_id, _id, source FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY _id DESC) AS k FROM n) WHERE k = 1)
+  SELECT * FROM l UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.post_id IS NOT DISTINCT FROM o.post_id)""")
+def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "posts_raw").select("post_id", "_id", "source", "page")
+    return tab.merged(x.where("page = 1").drop("page"), x.where("page <> 1 OR page IS NULL").drop("page"), ["post_id"], ["_id"])
+
+
+@query("key_duplicates", "SELECT post_id, count(*) AS n FROM posts_raw GROUP BY 1 HAVING count(*) > 1")
+def key_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return tab.duplicates(table(spark, d, "posts_raw"), ["post_id"])
+
+
+@query("prediction_update", """SELECT p.post_id, CASE WHEN l.post_id IS NULL THEN p.sentiment.llm.label WHEN l.a = 1 THEN 'negative' ELSE 'positive' END AS label,
+  CASE WHEN l.post_id IS NULL THEN p.sentiment.llm.model ELSE 'manual' END AS model, p.sentiment.transformer.label AS other
+  FROM posts_processed p LEFT JOIN (SELECT post_id, max(abusive) AS a FROM post_labels GROUP BY 1) l USING (post_id)""")
+def prediction_update(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "post_labels").groupBy("post_id").agg(F.max("abusive").alias("_a")).select(
+        "post_id", F.when(F.col("_a") == 1, "negative").otherwise("positive").alias("label"), F.lit(1.0).alias("score"), F.lit("manual").alias("model"))
+    x = tab.with_prediction(table(spark, d, "posts_processed"), p, "llm")
+    return x.select("post_id", F.col("sentiment.llm.label").alias("label"), F.col("sentiment.llm.model").alias("model"), F.col("sentiment.transformer.label").alias("other"))
+
+
+@query("tags_array", """SELECT _id, coalesce(trim(post_tags[2]), '') AS province, coalesce(trim(post_tags[3]), '') AS district,
+  array_to_string(list_filter([trim(category), trim(location.province), trim(location.district)], lambda x: x IS NOT NULL AND x <> ''), '|') AS built FROM posts_raw""")
+def tags_array(spark: SparkSession, d: str) -> DataFrame:
+    built = rec.build_tags(F.col("category"), F.col("location.province"), F.col("location.district"))
+    return table(spark, d, "posts_raw").select(
+        "_id", rec.tag(F.col("post_tags"), 1).alias("province"), rec.tag(F.col("post_tags"), 2).alias("district"), F.array_join(built, "|").alias("built"))
+
+
+@query("slug_normalize", rf"""WITH k AS (SELECT place_id, {_key_sql("name")} AS lookup_key FROM places)
+  SELECT place_id, lookup_key, coalesce(nullif(regexp_replace(regexp_replace(trim(regexp_replace(lookup_key, '[^a-z0-9\s_-]', '', 'g')), '\s+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unlisted') AS slug FROM k""")
+def slug_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "places").select("place_id", txt.lookup_key(F.col("name")).alias("lookup_key"), txt.slug(F.col("name")).alias("slug"))
+
+
+@query("loose_props", "SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
+def loose_props(spark: SparkSession, d: str) -> DataFrame:
+    loose = F.from_json(F.replace("props", F.lit('"'), F.lit("'")), "k bigint", {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"})
+    return table(spark, d, "events").select("event_id", loose["k"].alias("k"))
+
+
+def _raw_label() -> Column:
+    n = F.col("post_id") % 5
+    own = F.col("sentiment.llm.label")
+    return F.when(n == 0, "LABEL_0").when(n == 1, "LABEL_1").when(n == 2, F.concat(F.lit("<think>positive\nor not</think> "), own)).when(
+        n == 3, F.concat(F.lit("The answer: "), own)).otherwise(own)
+
+
+_RAW = """x AS (SELECT post_id, sentiment.llm.score AS score, CASE post_id % 5 WHEN 0 THEN 'LABEL_0' WHEN 1 THEN 'LABEL_1' WHEN 2 THEN '<think>positive' || chr(10) || 'or not</think> '
+  || sentiment.llm.label WHEN 3 THEN 'The answer: ' || sentiment.llm.label ELSE sentiment.llm.label END AS raw FROM posts_processed)"""
+
+
+@query("label_normalize", f"""WITH {_RAW} SELECT post_id, CASE WHEN contains(lower(raw), 'negative') OR lower(raw) = 'label_0' THEN 'negative'
+  WHEN contains(lower(raw), 'positive') OR lower(raw) = 'label_1' THEN 'positive' WHEN score >= 0.5 THEN 'positive' ELSE 'negative' END AS label FROM x""")
+def label_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "posts_processed").select("post_id", sen.classifier_label(_raw_label(), F.col("sentiment.llm.score")).alias("label"))
+
+
+@query("llm_normalize", f"""WITH {_RAW}, y AS (SELECT post_id, score, trim(regexp_replace(lower(raw), '(?s)<think>.*?</think>', '', 'g')) AS t FROM x),
+  z AS (SELECT *, string_split_regex(t, '\\s+')[1] AS f FROM y) SELECT post_id, CASE WHEN contains(f, 'neg') THEN 'negative' WHEN contains(f, 'pos') THEN 'positive'
+    WHEN contains(t, 'neg') THEN 'negative' WHEN contains(t, 'pos') THEN 'positive' WHEN score >= 0.5 THEN 'positive' ELSE 'negative' END AS label,
+  CASE WHEN contains(f, 'neg') OR contains(f, 'pos') THEN 0.9::DOUBLE WHEN contains(t, 'neg') OR contains(t, 'pos') THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END AS score FROM z""")
+def llm_normalize(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "posts_processed").select("post_id", sen.generated_label(_raw_label(), F.col("sentiment.llm.score")).alias("r"))
+    return x.select("post_id", "r.label", "r.score")
+
+
+@query("event_windows", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    x = windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+    return x.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
