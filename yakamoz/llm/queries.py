@@ -19,7 +19,16 @@ from yakamoz.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p9_statistics": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+      w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[ \t\r\n]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[ \t\r]', '', 'g') <> '') AS l, length(regexp_replace(t, '[ \t\r\n]', '', 'g')) AS v FROM t)
+      SELECT doc_id, length(t)::BIGINT AS n_chars, len(w)::BIGINT AS n_words, len(l)::BIGINT AS n_lines, coalesce(v::DOUBLE / nullif(len(w), 0), 0) AS mean_word_length,
+        coalesce(length(regexp_replace(t, '[\p{L}\p{N} \t\r\n]', '', 'g'))::DOUBLE / nullif(v, 0), 0) AS symbol_ratio,
+        coalesce(length(regexp_replace(t, '[^0-9]', '', 'g'))::DOUBLE / nullif(v, 0), 0) AS digit_ratio,
+        coalesce(len(list_filter(l, lambda x: regexp_matches(x, '[.!?…][ \t\r]*$')))::DOUBLE / nullif(len(l), 0), 0) AS lines_ending_in_punctuation,
+        coalesce(len(list_distinct(list_transform(w, lambda x: lower(replace(x, 'İ', 'i̇')))))::DOUBLE / nullif(len(w), 0), 0) AS distinct_words FROM w""",
+}
 
 
 def query(f: Query) -> Query:
