@@ -43,7 +43,7 @@ PLACES = frozenset(
     "hastanesi camii kafe oteli lokantasi firini pastanesi muzesi kebap pansiyonu kampi pazari balikcisi kitabevi koprusu".split()
 )
 # Numbers after these words are orders, invoices, parcels, not persons.
-BUSINESS = re.compile(r"(?:fatura|siparis|kargo|takip|kod|kodu|barkod|fis|abone|rezervasyon|bilet|referans|ilan) ?(?:no|kodu|numarasi|numaram)?[ :.#]*$")
+BUSINESS = re.compile(r"(?:(?:fatura|siparis|kargo|takip|kod|barkod|fis|abone|rezervasyon|bilet|referans)\w* ?(?:no|kodu|numarasi|numaram|#)|\bkodu?)[ :.#]*$")
 # Number words of the digits 0 to 9.
 DIGITS = "sifir bir iki uc dort bes alti yedi sekiz dokuz".split()
 _UNITS = r"(?! ?(?:dakika|kisi|lira|puan|tl|metre|km|saat|numarali|yil|gun)\b)"
@@ -52,7 +52,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _AT = r"(?:@| @ | ?[\[({] ?at ?[\])}] ?| at | et | kuyruklu a )"
 _DOT = r"(?:\.| ?[\[({] ?(?:nokta|dot|\.) ?[\])}] ?| nokta | dot )"
 _EMAIL = re.compile(rf"(?<![\w.+@-])[a-z0-9_][\w.+-]*({_AT})([a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,12}})(?![\w@])")
-_RUN = re.compile(r"(?<![\w@#/])(?:\+ ?)?\(?[\do](?:[ ().\-/]{0,2}\d){8,14}(?![\d/])(?!\w)")
+_RUN = re.compile(r"(?<![\w@#/])(?:\+ ?)?\(?[\do](?:(?:[ .\-/]|\)[ \-]?| ?\()?\d){8,14}(?![\d/])(?!\w)")
 _WORDS_RUN = re.compile(rf"\b(?:{'|'.join(DIGITS)})(?:[ ,-]+(?:{'|'.join(DIGITS)})){{9,12}}\b")
 _PASSPORT = re.compile(r"pasaport\w*(?: ?(?:no|numarasi|numaram))?[ :.]*([a-z] ?\d{7,9})\b|\bpassport(?: no)?[ :.]*([a-z] ?\d{7,9})\b")
 _STREET = re.compile(
@@ -211,6 +211,8 @@ class Finder:
                     elif gap(k, k + 1).startswith(",") and unknown(k + 1) and caps[k] and caps[k + 1] and not titled and not place(k + 2):
                         out.append((a, ws[k + 1][1]))
             elif w in self.given and caps[k] and not titled:  # a family name that wasn't learned
+                if joined(k, k + 1) and joined(k + 1, k + 2) and ws[k + 2][2] in self.families:
+                    continue  # two given names; the family name finds them
                 if joined(k, k + 1) and caps[k + 1] and unknown(k + 1) and ws[k + 1][2] not in self.given and not place(k + 2):
                     out.append((a, ws[k + 1][1]))
         return out
