@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yakamoz.runtime import cut
+
 # Letters that look like the Latin letter below them.
 CYRILLIC = "АВЕЅІЈКМНОРСТХԌԚԜҮһаеорсухіѕјԁԛԝүѵӏ"
 CYRILLIC_LATIN = "ABESIJKMHOPCTXGQWYhaeopcyxisjdqwyvl"
@@ -177,7 +179,7 @@ def look_alike_pairs(df: DataFrame, key: str, column: str, scope: str | None = N
     consistent form.
 
     Only digests are moved. A form can hold different values only if one of its rows was changed by rewriting, so rows of
-    other forms leave before the pairs are made; pairs join rows of different values only. Null and blank values, repeated
+    other forms leave before the pairs are made, and pairs grow from different values, never from equal rows. Null and blank values, repeated
     equal values and empty tables give no pairs; a null scope is a scope of its own; other columns are ignored.
     """
     x = df.select(
@@ -185,11 +187,15 @@ def look_alike_pairs(df: DataFrame, key: str, column: str, scope: str | None = N
         (F.coalesce(F.col(scope).cast("string"), F.lit("\0")) if scope else F.lit("")).alias("scope"), F.col(column).alias("value"),
     )
     form = consistent_form(x, "value", ["id", "scope", "value"], representatives(count_members(x.select("value"))))
-    keyed = form.where(F.length(F.regexp_replace("form", r"(?U)\s+", "")) > 0).select(
+    keyed = cut(form.where(F.length(F.regexp_replace("form", r"(?U)\s+", "")) > 0).select(
         "id", F.unhex(F.md5(F.concat_ws("\1", "scope", "form"))).alias("k"), F.unhex(F.md5("value")).alias("v"),
         F.md5("form").alias("_f"), F.md5("value").alias("_v"),
-    ).withColumn("changed", F.col("_f") != F.col("_v")).drop("_f", "_v")
+    ).withColumn("changed", F.col("_f") != F.col("_v")).drop("_f", "_v"))
     several = keyed.groupBy("k").agg(F.max("changed").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("c AND lo <> hi")
-    rows = keyed.join(several.select("k"), "k", "left_semi").select("k", "id", "v")
-    pairs = rows.alias("a").join(rows.alias("b"), F.expr("a.k = b.k AND a.v <> b.v AND a.id < b.id"))
-    return pairs.select(F.lit(tbl).alias("tbl"), F.col("a.id").alias("key_a"), F.col("b.id").alias("key_b"))
+    rows = keyed.join(several.select("k"), "k", "left_semi").select("k", "v", "id")
+    values = rows.select("k", "v").distinct()
+    # different values of a form first, then their rows: rows of one value never meet each other
+    apart = values.alias("a").join(values.alias("b"), F.expr("a.k = b.k AND a.v < b.v")).select("a.k", F.col("a.v").alias("v"), F.col("b.v").alias("w"))
+    left = apart.join(rows, ["k", "v"]).select("k", F.col("w").alias("v"), F.col("id").alias("one"))
+    pairs = left.join(rows, ["k", "v"]).select(F.least("one", "id").alias("key_a"), F.greatest("one", "id").alias("key_b"))
+    return pairs.where("key_a < key_b").select(F.lit(tbl).alias("tbl"), "key_a", "key_b")
