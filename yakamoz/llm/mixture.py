@@ -14,14 +14,15 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from yakamoz.runtime import cut
 
 #: File of the default tokenizer; a parameter of every function here.
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-#: Characters that are encoded at once; longer texts are cut at white space, where the pattern splits too.
-PIECE = 100_000
+#: Sources with a target, at most.
+MAX_SOURCES = 10_000
 
 
 @lru_cache(2)
@@ -53,16 +54,16 @@ def rates(counts: DataFrame, targets: DataFrame) -> DataFrame:
 
     counts: (source, n_tokens). Shares of sources without tokens are spread over the others in proportion.
     """
-    has = counts.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens")).where("available_tokens > 0")
-    t = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeat > 0").dropDuplicates(["source"])
-    x = t.join(has, "source").select("source", "target_share", "max_repeat", "available_tokens")
-    size = x.agg(
-        F.min(F.col("max_repeat") * F.col("available_tokens") / F.col("target_share")).alias("_size"),
-    )
-    return x.crossJoin(F.broadcast(size)).select(  # size has one row
-        "source", "target_share", "max_repeat", "available_tokens",
-        F.least(F.col("_size") * F.col("target_share") / F.col("available_tokens"), F.col("max_repeat").cast("double")).alias("rate"),
-    )
+    t = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeat > 0").dropDuplicates(["source"]).select("source", "target_share", "max_repeat")
+    listed = t.limit(MAX_SOURCES + 1).collect()
+    if len(listed) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources with a target")
+    has = counts.join(F.broadcast(t.select("source")), "source").groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    tokens = {r.source: r.n for r in has.where("n > 0").collect()}
+    own = sorted((r.source, float(r.target_share), int(r.max_repeat)) for r in listed if r.source in tokens)
+    size = min((cap * tokens[s] / share for s, share, cap in own), default=0.0)
+    rows = [(s, share, cap, tokens[s], min(size * share / tokens[s], float(cap))) for s, share, cap in own]
+    return counts.sparkSession.createDataFrame(rows, "source string, target_share double, max_repeat int, available_tokens bigint, rate double")
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -93,10 +94,10 @@ def shares(docs: DataFrame, targets: DataFrame, key: str = "doc_id", column: str
     """(``source``, ``target_share``, ``max_repeat``, ``available_tokens``, ``rate``, ``mixed_tokens``, ``mixed_documents``,
     ``actual_share``, ``most_copies``): what the mixture of the same arguments really reaches."""
     own = cut(token_counts(docs, [key, "source"], column, tokenizer).where("source IS NOT NULL"))
-    r = cut(rates(own.select("source", "n_tokens"), targets))  # one row for each target
+    r = rates(own.select("source", "n_tokens"), targets)  # one row for each target
     n = own.join(F.broadcast(r.select("source", "rate")), "source").withColumn("_n", _copies(key, seed))
     got = n.groupBy("source").agg(
         F.sum(F.col("_n") * F.col("n_tokens")).alias("mixed_tokens"), F.sum("_n").alias("mixed_documents"), F.max("_n").alias("most_copies"))
-    total = got.agg(F.sum("mixed_tokens").alias("_total"))
-    return r.join(got, "source").crossJoin(F.broadcast(total)).select(
-        *r.columns, "mixed_tokens", "mixed_documents", (F.col("mixed_tokens") / F.col("_total")).alias("actual_share"), "most_copies")
+    all_ = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # MAX_SOURCES rows at most
+    share = F.col("mixed_tokens") / F.sum("mixed_tokens").over(all_)
+    return r.join(got, "source").select(*r.columns, "mixed_tokens", "mixed_documents", share.alias("actual_share"), "most_copies")
