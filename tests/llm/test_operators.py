@@ -1,0 +1,291 @@
+"""Fixtures for every operator: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from yakamoz.llm import abuse, canonical, copies, leaks, lookalikes, mixture, personal, quality
+
+LONG = "kelime " * 40_000
+
+
+def frame(spark, rows, ddl):
+    """With columns whose names the operators use inside."""
+    return spark.createDataFrame(rows, ddl).withColumns({c: F.lit("clash") for c in ("n", "root", "record", "form", "kind", "k", "v", "_t", "score")})
+
+
+# look-alikes
+
+
+def test_classes_are_transitive():
+    uf = lookalikes.UnionFind()
+    for a, b in (("a", "b"), ("b", "c"), ("x", "y")):
+        uf.union(a, b)
+    assert sorted(map(tuple, uf.classes())) == [("a", "b", "c"), ("x", "y")]
+    own = next(c for c in lookalikes.classes() if "a" in c)
+    assert {"a", "а", "ａ", "ɑ"} <= set(own)
+
+
+def test_representative_is_the_most_frequent():
+    to = lookalikes.representatives({"а": 5, "a": 3})
+    assert to["a"] == "а" and lookalikes.representatives({"a": 5, "а": 3})["а"] == "a"
+
+
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [("kаfe", "kafe"), ("ｋａｆｅ", "kafe"), ("ka​fe", "kafe"), ("üst", "üst"), ("a b", "a b"), ("i̇l", "il"), ("а̂", "â"), ("ﬁn", "fin"), ("a　b", "a b"),
+     ("s‍̧", "ş")],
+)
+def test_consistent_form(a, b):
+    f = lookalikes.Rewriter(lookalikes.representatives({}))
+    assert f(a) == f(b) == b
+
+
+@pytest.mark.parametrize(("a", "b"), [("m²", "m2"), ("ağ", "ag"), ("Ev", "ev"), ("ı", "i"), ("a b", "a  b")])
+def test_different_looks_stay(a, b):
+    f = lookalikes.Rewriter(lookalikes.representatives({}))
+    assert f(a) != f(b)
+
+
+def test_look_alike_pairs(spark):
+    rows = [(1, "kafe", "x"), (2, "kаfe", "x"), (3, "kafe", "x"), (4, "kafe", "y"), (5, None, "x"), (6, "", "x"), (7, " ", "x"), (8, " ", "x"), (9, LONG, "x"),
+            (10, LONG.replace("e", "е"), "x"), (11, "ka fe", "x"), (12, "ka\tfe", "x"), (13, "kаfe", None)]
+    df = frame(spark, rows, "id bigint, text string, scope string")
+    got = {(r.key_a, r.key_b) for r in lookalikes.look_alike_pairs(df, "id", "text", "scope", "t").collect()}
+    assert got == {(1, 2), (2, 3), (9, 10)}
+    f = lookalikes.Rewriter(lookalikes.representatives({}))
+    brute = {
+        (a[0], b[0]) for a, b in itertools.combinations(rows, 2)
+        if a[1] and b[1] and a[1] != b[1] and f(a[1]) == f(b[1]) and f(a[1]).strip()
+    }
+    assert {(r.key_a, r.key_b) for r in lookalikes.look_alike_pairs(df, "id", "text").collect()} == brute
+    assert lookalikes.look_alike_pairs(df.limit(0), "id", "text").count() == 0
+
+
+def test_hot_form_costs_only_its_pairs(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") == 77, "kаfe").otherwise("kafe").alias("text"))
+    assert lookalikes.look_alike_pairs(df, "id", "text").count() == 19_999
+
+
+# copies
+
+
+def test_copies(spark):
+    rows = [
+        (1, "Bugün hava çok güzel!"), (2, "bugün  hava\nÇOK güzel"), (3, "BUGÜN HAVA ÇOK GÜZEL..."), (4, "bugun hava cok guzel"), (5, "puan: 5 | mekan: Uzun Park; giriş: 12"),
+        (6, "GİRİŞ = 12\nPUAN = 5\nMEKAN = UZUN PARK"), (7, "puan: 12 | mekan: Uzun Park; giriş: 5"), (8, "kısa"), (9, "KISA"), (10, None), (11, ""), (12, LONG), (13, LONG.upper()),
+        (14, "hava çok güzel bugün"), (15, "Bugün hava çok güzel 👍"), (16, "Bugün hаva çok güzel"),
+    ]
+    df = frame(spark, rows, "_id bigint, text string")
+    got = {(r.first_id, r.copy_id) for r in copies.copies(df).collect()}
+    assert got == {(1, 2), (1, 3), (1, 16), (5, 6), (12, 13)}
+    n = {r.first_id: r.n_copies for r in copies.collapsed(df).collect()}
+    assert n[1] == 4 and n[5] == 2 and n[7] == 1 and 8 not in n
+    assert copies.copies(df.limit(0)).count() == 0
+    twice = {(r.first_id, r.copy_id) for r in copies.copies(df.unionByName(df)).collect()}
+    assert twice == got
+
+
+def test_hot_copies(spark):
+    df = spark.range(30_000).select(F.col("id").alias("_id"), F.when(F.col("id") % 3 == 0, "Hep aynı uzun metin!").otherwise(F.concat(F.lit("metin sayısı "), F.col("id"))).alias("text"))
+    assert copies.copies(df).count() == 9_999
+
+
+# canonical lists
+
+PLACES = [
+    (1, "category", None, "kahve mekanları"), (2, "category", None, "gezi noktaları"), (3, "province", None, "Dırdümlı"), (4, "province", None, "Mölmökkent"),
+    (5, "district", "Dırdümlı", "Tıksurlı"), (6, "district", "Dırdümlı", "Ortaköy"), (7, "district", "Mölmökkent", "Ortaköy"), (8, "district", "Mölmökkent", "Yeklerhisar"),
+]
+
+
+@pytest.mark.parametrize(
+    ("pos", "value", "province", "expected"),
+    [(0, "KAHVE MEKANLARI", "", 1), (0, "#kahve_mekanlari", "", 1), (0, "gezi onkaları", "", 2), (0, "kahve mekanlarÄ±", "", 1), (0, "qwerty", "", 0), (1, "il: Dirdumli", "", 3),
+     (1, "Mlmkkent", "", 4), (1, "DÄ±rdÃ¼mlÄ±", "", 3), (1, "Wuxelberg", "", 0), (2, "ortakoy", "Dırdümlı", 6), (2, "Ortaköy'de", "molmokkent", 7), (2, "ortakoy", "", 0),
+     (2, "tiskurli", "nowhere", 5), (2, "Yeklerhisar/Mölmökkent", "Mölmökkent", 8), (2, "yeklerhisar", "Dırdümlı", 0), (0, "📍", "", 0), (0, LONG, "", 0)],
+)
+def test_resolve(pos, value, province, expected):
+    assert canonical.Places(PLACES).resolve(pos, value, province) == expected
+
+
+def test_mapped(spark):
+    raw = frame(spark, [(1, ["kahve mekanlari", "Dırdümlı", "tiksurli"]), (2, None), (3, []), (4, [None, " ", "x"]), (5, ["gezi noktaları", "molmokkent"]), (5, ["gezi noktaları", "molmokkent"])],
+                "_id bigint, post_tags array<string>")
+    done = frame(spark, [(1, ("DIRDÜMLI", "Tıksurlı")), (2, ("", "")), (3, None)], "post_id bigint, location struct<province: string, district: string>")
+    places = spark.createDataFrame(PLACES, "place_id int, kind string, province string, name string")
+    got = sorted((r.src, r.rec_id, r.pos, r.place_id) for r in canonical.mapped(raw, done, places).collect())
+    assert got == [("posts_processed", 1, 1, 3), ("posts_raw", 1, 0, 1), ("posts_raw", 1, 2, 5), ("posts_raw", 4, 2, 0), ("posts_raw", 5, 1, 4), ("posts_raw", 5, 1, 4)]
+    assert canonical.mapped(raw.limit(0), done.limit(0), places).count() == 0
+    assert all(r.place_id == 0 for r in canonical.mapped(raw, done, places.limit(0)).collect())
+
+
+# personal information
+
+
+def finder():
+    return personal.Finder(frozenset({"oya", "kerim", "umut"}), frozenset({"bortulu", "pekcalar"}), frozenset({"hava", "guzel", "esnaf"}))
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [("yaz: ali.veli+x@posta.example!", ["email"]), ("ali [at] posta [nokta] example", ["email"]), ("o_can et kutum nokta example yaz", ["email"]), ("iki kişi @ 436 lira, 2019 fiyatı", []),
+     ("@okur84 ne dersin", []), ("https://a.example/b/21540?p=5", []), ("tel: 0(579)8060992", ["phone"]), ("cep o563-915-5566", ["phone"]), ("ara +1 (212) 555-0199", ["phone"]),
+     ("(0499) 314 58 37", ["phone"]), ("sıfır beş yedi dokuz iki beş dört sekiz üç dokuz üç", ["phone"]), ("fatura no 2413770475 için", []), ("kargo takip no 15596530524 yolda", []),
+     ("sipariş kodu 59407249-13", []), ("TC: 785 343 440 47 dedim", ["id"]), ("pasaportum U 42516301 kayıtta", ["id"]), ("kimlik: 97474342929. 117. Sk. 140/A D:5", ["address", "id"]),
+     ("evim Lale Bahçesi Caddesi No 66 Kat 5 Daire 28", ["address"]), ("Kavaklık Caddesi boyunca yürüdük", []), ("24 numaralı hat 7. sokaktan dönüyor", []), ("tersane sokağı 9 dakika", []),
+     ("teşekkürler Oya Börtülü", ["name"]), ("imza: Ö. PEKÇALAR", ["name"]), ("Börtülü, Kerim geldi", ["name"]), ("Oya ile konuştum", []), ("Umut Usta yine döktürmüş", []),
+     ("Kerim Börtülü Parkı çok yeşil", []), ("", [])],
+)
+def test_items(text, kinds):
+    assert sorted({k for _, _, k in finder().items(text)}) == kinds
+
+
+def test_masked_keeps_the_rest():
+    t = "teşekkürler Oya Börtülü, tel: 0566.234.28.84 müsaitim"
+    assert personal.masked(t, finder().items(t)) == "teşekkürler [NAME], tel: [PHONE] müsaitim"
+
+
+def test_personal_items(spark):
+    rows = [(1, "ben Oya Şengüdük geldim"), (2, "ben Kerim Şengüdük gittim"), (3, None), (4, ""), (5, LONG + "a@b.example"), (6, "imza: Ş. Şengüdük"), (6, "imza: Ş. Şengüdük")]
+    names = spark.createDataFrame([("Oya",), ("Kerim",), (None,)], "name string")
+    df = frame(spark, rows, "_id bigint, text string")
+    got = sorted((r.raw_id, r.kind) for r in personal.personal_kinds(df, names).collect())
+    assert got == [(1, "name"), (2, "name"), (5, "email"), (6, "name"), (6, "name")]
+    text = {r.raw_id: r.masked for r in personal.personal_items(df, names).collect()}
+    assert text[3] is None and text[4] == "" and text[1] == "ben [NAME] geldim"
+    assert personal.personal_items(df.limit(0), names.limit(0)).count() == 0
+
+
+# leaks
+
+
+def brute_score(a, b):
+    h = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+    for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+        h[i, j] = max(0, h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    return int(h.max())
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_score_is_smith_waterman(seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 4, rng.integers(1, 25)), rng.integers(0, 4, rng.integers(0, 40))
+    assert leaks.score(a, b) == brute_score(a, b)
+
+
+def test_leaked(spark):
+    rng = np.random.default_rng(3)
+    vocab = [f"kelime{i}" for i in range(3000)]
+    item = lambda: list(rng.choice(vocab, 40))
+    one, two = item(), item()
+    edited = [w if i % 11 else "başka" for i, w in enumerate(one)]
+    filler = lambda: list(rng.choice(vocab, 60))
+    docs = {
+        1: filler() + one + filler(), 2: filler() + [w.upper() for w in edited] + filler(), 3: filler() + one[:24], 4: filler() + one[:12] + filler() + one[30:],
+        5: filler(), 6: one + two, 7: filler() * 200 + two,
+    }
+    rows = [(i, " ".join(w)) for i, w in docs.items()] + [(8, None), (9, ""), (1, " ".join(docs[1]))]
+    items = spark.createDataFrame([(1, " ".join(one)), (2, ", ".join(two)), (3, None), (4, "iki kelime"), (5, "")], "item_id int, text string")
+    df = frame(spark, rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id) for r in leaks.leaked(df, items).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (6, 1), (6, 2), (7, 2)]
+    assert leaks.leaked(df.limit(0), items).count() == 0 and leaks.leaked(df, items.limit(0)).count() == 0
+
+
+# mixture
+
+
+def test_mixture(spark):
+    rows = [(i, "a" if i % 10 else "b", f"metin sayısı {i} " * (1 + i % 5)) for i in range(3000)] + [(9001, None, "x"), (9002, "c", "y"), (9003, "a", None), (9004, "b", "")]
+    df = frame(spark, rows, "doc_id bigint, source string, text string").withColumn("n_tokens", F.lit("clash")).withColumn("rate", F.lit("clash"))
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 4), ("none", 0.2, 3)], "source string, target_share double, max_repeat int")
+    used = mixture.mix(df, t).groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.max("copy_no").alias("m")).collect()
+    assert {r.source for r in used} == {"a", "b"} and all(r.n == r.m for r in used)
+    assert max(r.n for r in used if r.source == "a") == 1 and max(r.n for r in used if r.source == "b") <= 4
+    report = {r.source: r for r in mixture.shares(df, t).collect()}
+    assert report["a"].actual_share == pytest.approx(0.5, abs=0.05) and report["b"].rate == pytest.approx(4.0)
+    assert sorted(map(tuple, mixture.mix(df, t).collect())) == sorted(map(tuple, mixture.mix(df.repartition(7), t).collect()))
+    assert mixture.mix(df.limit(0), t).count() == 0 and mixture.mix(df, t.limit(0)).count() == 0 and mixture.shares(df, t.limit(0)).count() == 0
+
+
+def test_token_counts_are_the_tokenizer_s(spark):
+    texts = ["merhaba dünya", "", "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    enc = mixture._encoding(mixture.TOKENIZER)
+    got = {r.doc_id: r.n_tokens for r in mixture.token_counts(df, ["doc_id"]).collect()}
+    assert got == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}
+    assert all(enc.decode(enc.encode_ordinary(t)) == t for t in texts)
+
+
+# quality
+
+PROSE = "Bugün hava çok güzeldi. Sahil yolunda uzun uzun yürüdük, sonra çay bahçesinde oturduk. Akşam olunca eve döndük!"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [(PROSE, None), (PROSE.lower().replace(".", "").replace(",", ""), None), (PROSE.replace(", ", ",\n"), None), ("\n".join(PROSE.replace("!", ".").split(". ")), None),
+     (PROSE + "\n- çay\n- kahve\n" + PROSE, None), ("\n".join(f"- çay bahçesi {i}" for i in range(8)), "list"), ("\n".join(f"Sahil yolu......{i}2" for i in range(8)), "list"),
+     ("durak\tsaat\tpuan\n" + "\n".join(f"sahil yolu\t1{i}:00\t{i}" for i in range(6)), "table"), ("| durak | saat | puan |\n| --- | --- | --- |\n" + "| sahil yolu | 10:00 | 4 |\n" * 5, "table"),
+     ("\n".join(f"  {1000 + i}    {2000 + i}    {3000 + i}" for i in range(6)), "table"), ("la " * 60, "junk"), ("!?" * 80, "junk"), ("<p>1</p><b>2</b>" * 20, "junk"),
+     ("q7Zk/9x+PdYw" * 20, "junk"), ('{"k1":true,"k2":null,"k3":17}' * 8, "junk")],
+)
+def test_layout(text, kind):
+    common = frozenset(quality._WORD.findall((PROSE + " çay kahve bahçesi durak saat puan sahil yolu").lower()))
+    assert quality.layout(text, common)[-1] == kind
+
+
+def test_quality_tables(spark):
+    rows = [(1, PROSE), (2, None), (3, ""), (4, " \n "), (5, LONG), (1, PROSE), (6, "la " * 60)]
+    df = frame(spark, rows, "doc_id bigint, text string")
+    got = sorted(r.doc_id for r in quality.not_prose(df).collect())
+    assert 6 in got and not {1, 2, 3, 4} & set(got)
+    s = {r.doc_id: r for r in quality.statistics(df).collect()}
+    assert s[1].n_words == len(PROSE.split()) and s[2].n_words == 0 and s[5].n_words == 40_000 and s[1].lines_ending_in_punctuation == 1.0
+    assert quality.statistics(df).count() == 7 and quality.layouts(df.limit(0)).count() == 0
+
+
+# abuse
+
+
+def test_features_see_disguise():
+    at = lambda t, name: abuse.features(t)[abuse.NAMES.index(name)]
+    for t in ("aptal", "AAAPTAL", "4pt4l", "a p t a l", "ser efsiz", "srtk", "şerefsiz", "şеrеfsiz"):
+        assert at(t, "insults") >= 1, t
+    assert at("kaşar peyniri tostu", "insults") == 0 and at("yarın hava güzel", "lexicon") == 0
+    assert abuse.features(None) == abuse.features("")
+
+
+def test_trees_and_calibration():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 4))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
+    m = abuse.Trees().fit(x[:400], y[:400]).margin(x[400:])
+    assert ((m > 0) == (y[400:] == 1)).mean() > 0.9
+    knots, p = abuse.isotonic(rng.normal(size=200), rng.integers(0, 2, 200).astype(float))
+    assert (np.diff(knots) >= 0).all() and (np.diff(p) >= -1e-12).all()
+
+
+def test_scored(spark):
+    good, bad = "bugün hava çok güzel sahil yolu {} sakindi", "sen tam bir aptal herifsin {} kes sesini şerefsiz"
+    rows = [(i, (bad if i % 3 == 0 else good).format(i)) for i in range(90)] + [(900, None), (901, ""), (902, LONG), (0, bad)]
+    df = frame(spark, rows, "post_id bigint, text string").drop("score")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(None, 1), (5000, 1)], "post_id bigint, abusive int")
+    got = [(r.post_id, r.abusive) for r in abuse.scored(df, labels).collect()]
+    assert len(got) == 94 and {i for i, a in got if a} == set(range(0, 90, 3))
+    src = spark.createDataFrame([(i, "a" if i < 30 else "b") for i in range(90)], "_id bigint, source string")
+    rate = {r.source: (r.n_texts, r.n_abusive) for r in abuse.rates(abuse.scored(df, labels), src).collect()}
+    assert rate == {"a": (31, 11), "b": (60, 20), None: (3, 0)}
+    assert abuse.scored(df.limit(0), labels).count() == 0 and abuse.scored(df, labels.limit(0)).where("abusive").count() == 0
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.1"
+    posts, labels = spark.read.parquet(f"{d}/posts_processed.parquet"), spark.read.parquet(f"{d}/post_labels.parquet")
+    train, test = labels.where("post_id % 3 <> 0"), labels.where("post_id % 3 = 0")
+    got = abuse.scored(posts, train)
+    x = got.join(test.withColumnRenamed("abusive", "y"), "post_id").select("abusive", "y").collect()
+    assert sum(r.abusive == bool(r.y) for r in x) / len(x) > 0.95
