@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yakamoz.llm.lookalikes import representatives, rewriter
+from yakamoz.llm.lookalikes import plain_rewriter
 
 #: Labelled rows used at most; beyond that those of the smallest hashes.
 MAX_LABELS = 20_000
@@ -91,14 +90,9 @@ def _has(text: str, phrases: Iterable[str]) -> int:
     return sum(p in text for p in phrases)
 
 
-@lru_cache(1)
-def _static() -> dict[str, str]:
-    return representatives({})
-
-
 def features(text: str | None) -> list[float]:
     """The dense features; of an empty text all 0."""
-    raw = rewriter(_static())(text) if text else ""
+    raw = plain_rewriter()(text) if text else ""
     folded = raw.translate(_FOLD).lower()
     words, hidden = [], 0
     for m in _TOKEN.finditer(folded):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yakamoz.llm.lookalikes import representatives, rewriter
+from yakamoz.llm.lookalikes import plain_rewriter
 
 #: Least cosine, and least lead over the next entry.
 THRESHOLD, MARGIN = 0.33, 0.04
@@ -46,16 +46,11 @@ def repaired(value: str) -> str:
 
 def folded(value: str) -> str:
     """Lower case without accents, signs and look-alikes, words apart by one blank."""
-    v = rewriter(_static())(repaired(value)).replace("İ", "i").replace("I", "i").lower().replace("ı", "i")
+    v = plain_rewriter()(repaired(value)).replace("İ", "i").replace("I", "i").lower().replace("ı", "i")
     v = "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c))
     return " ".join(re.findall(r"[^\W_]+", v))
 
 
-@lru_cache(1)
-def _static() -> dict[str, str]:
-    return representatives({})
-
-
 def grams(word: str) -> Counter:
     """Character n-grams: pairs, triples, pairs with a gap, pairs in either order, and those of the consonants."""
     s = f"^{word}$"

@@ -139,6 +139,12 @@ def rewriter(to: dict[str, str]) -> Rewriter:
     return _rewriter(tuple(sorted(to.items())))
 
 
+@lru_cache(1)
+def plain_rewriter() -> Rewriter:
+    """One for each worker whose representatives don't depend on a corpus: ASCII where there is a choice."""
+    return Rewriter(representatives({}))
+
+
 def count_members(texts: DataFrame) -> dict[str, int]:
     """Occurrences of every class member in the only column of ``texts``, over all rows. Tasks count code points batch by
     batch; what reaches the driver is one number for each of the (fixed, some thousand) members at most."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yakamoz.llm.lookalikes import representatives, rewriter
+from yakamoz.llm.lookalikes import plain_rewriter
 
 KINDS = ("email", "phone", "id", "address", "name")
 #: A family name: distinct given names before it, least part of its uses that follow one.
@@ -287,7 +287,7 @@ def personal_items(df: DataFrame, names: DataFrame, key: str = "_id", column: st
     shared = df.sparkSession.sparkContext.broadcast((given, families, common))
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, form = _finder(*shared.value), rewriter(_static())
+        finder, form = _finder(*shared.value), plain_rewriter()
         for b in batches:
             kinds, n, text = [], [], []
             for t in b.column(1).to_pylist():
@@ -309,11 +309,6 @@ def personal_items(df: DataFrame, names: DataFrame, key: str = "_id", column: st
     return x.mapInArrow(find, "raw_id bigint, kinds array<string>, n_items int, masked string")
 
 
-@lru_cache(1)
-def _static() -> dict[str, str]:
-    return representatives({})
-
-
 def personal_kinds(df: DataFrame, names: DataFrame, key: str = "_id", column: str = "text") -> DataFrame:
     """(``raw_id``, ``kind``): one row for each text and kind of item that it holds."""
     return personal_items(df, names, key, column).select("raw_id", F.explode("kinds").alias("kind"))
