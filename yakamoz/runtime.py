@@ -37,3 +37,10 @@ def require(df: DataFrame, *names: str) -> None:
     """Raise ValueError if a column is missing."""
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that has fewer partitions than the cluster has cores, spread over them: for Python functions on small tables. Tables
+    of any size beyond that are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
