@@ -15,7 +15,7 @@ from yakamoz.llm.lookalikes import look_alike_pairs
 from yakamoz.llm.mixture import mix, shares
 from yakamoz.llm.personal import personal_items, personal_kinds
 from yakamoz.llm.quality import layouts, not_prose, statistics
-from yakamoz.runtime import table
+from yakamoz.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,7 +37,7 @@ def query(f: Query) -> Query:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return scored(table(spark, d, "posts_processed"), table(spark, d, "post_labels"))
+    return scored(spread(table(spark, d, "posts_processed")), table(spark, d, "post_labels"))
 
 
 @query
@@ -69,55 +69,55 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal_kinds(table(spark, d, "posts_raw"), table(spark, d, "given_names"))
+    return personal_kinds(spread(table(spark, d, "posts_raw")), table(spark, d, "given_names"))
 
 
 @query
 def p4_masked(spark: SparkSession, d: str) -> DataFrame:
-    return personal_items(table(spark, d, "posts_raw"), table(spark, d, "given_names")).drop("kinds")
+    return personal_items(spread(table(spark, d, "posts_raw")), table(spark, d, "given_names")).drop("kinds")
 
 
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    posts = look_alike_pairs(table(spark, d, "posts_raw"), "_id", "text", tbl="posts_raw")
+    posts = look_alike_pairs(spread(table(spark, d, "posts_raw")), "_id", "text", tbl="posts_raw")
     return posts.union(look_alike_pairs(table(spark, d, "districts"), "district_id", "district", "province", tbl="districts"))
 
 
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return copies(table(spark, d, "posts_raw"))
+    return copies(spread(table(spark, d, "posts_raw")))
 
 
 @query
 def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    return collapsed(table(spark, d, "posts_raw"))
+    return collapsed(spread(table(spark, d, "posts_raw")))
 
 
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leaked(spread(table(spark, d, "documents")), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 @query
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items with the number of documents that give them away."""
-    got = leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    got = leaked(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))
     return got.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("score").alias("best_score"))
 
 
 @query
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mix(table(spark, d, "documents"), table(spark, d, "source_targets"))
+    return mix(spread(table(spark, d, "documents")), table(spark, d, "source_targets"))
 
 
 @query
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return shares(table(spark, d, "documents"), table(spark, d, "source_targets"))
+    return shares(spread(table(spark, d, "documents")), table(spark, d, "source_targets"))
 
 
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return not_prose(table(spark, d, "documents"))
+    return not_prose(spread(table(spark, d, "documents")))
 
 
 @query
@@ -127,4 +127,4 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p9_layouts(spark: SparkSession, d: str) -> DataFrame:
-    return layouts(table(spark, d, "documents"))
+    return layouts(spread(table(spark, d, "documents")))
