@@ -177,7 +177,10 @@ def mapped(raw: DataFrame, processed: DataFrame, places: DataFrame) -> DataFrame
             ids = [index.resolve(*x) for x in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.int32())], [*b.schema.names, "place_id"])
 
-    distinct = odd.select("pos", "value", "in_province").distinct()
+    # spread by number, not by bytes: a resolved value costs far more time than space
+    spark = raw.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    distinct = odd.select("pos", "value", "in_province").distinct().repartition(tasks, "value", "in_province")
     to = distinct.mapInArrow(look_up, "pos int, value string, in_province string, place_id int")
     return odd.join(to, ["pos", "value", "in_province"]).select("src", "rec_id", "pos", "place_id")
 
