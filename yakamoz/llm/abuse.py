@@ -63,6 +63,7 @@ INNOCENT = (
 _FOLD = str.maketrans("ıİIğĞüÜşŞöÖçÇâÂîÎûÛ", "iiigguussooccaaiiuu")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _TOKEN = re.compile(r"[^\W_]+(?:[@$!*.][^\W_]+)*")
+_BLANK, _SIGN = re.compile(r"\s"), re.compile(r"[^\w\s]|_")
 _REPEAT = re.compile(r"(.)\1+")
 _VOWELS = re.compile("[aeiou]")
 _ENDING = re.compile(r"(?:siniz|sin|lar|ler|larin|sunuz|dir)?$")
@@ -84,6 +85,8 @@ _BONES = {b for w in _ALL if len(b := _VOWELS.sub("", w)) >= 3}
 #: A word with a sign in place of a letter, or between letters, leaves two pieces behind.
 _BROKEN = {(w[:i], w[i + k :]) for w in _ALL if len(w) >= 5 for i in range(1, len(w)) for k in (0, 1) if w[i + k :]}
 _FIRST = {w[:4] for w in _STEMS}
+_ADDRESS = frozenset(ADDRESS)
+_SHORT_FIRST = {w[:3] for w in _SHORT}
 
 
 def _has(text: str, phrases: Iterable[str]) -> int:
@@ -109,7 +112,7 @@ def features(text: str | None) -> list[float]:
     for i, w in enumerate(words):
         if w[:4] in _FIRST and any(w.startswith(s) for s in _STEMS):
             hits.append(i)
-        elif w in _SHORT or (len(w) > 4 and any(w.startswith(s) and _ENDING.fullmatch(w[len(s) :]) for s in _SHORT)):
+        elif w in _SHORT or (len(w) > 4 and w[:3] in _SHORT_FIRST and any(w.startswith(s) and _ENDING.fullmatch(w[len(s) :]) for s in _SHORT)):
             doubtful.append(i)
         elif not _VOWELS.search(w) and w in _BONES:
             hits.append(i)
@@ -117,27 +120,27 @@ def features(text: str | None) -> list[float]:
         if i and (words[i - 1], w) in _BROKEN and len(words[i - 1]) + len(w) >= 4 and (len(w) <= 2 or len(words[i - 1]) <= 2 or not w.isdigit()):
             hits.append(i)
             disguised += 1
-    letters = "".join(w if len(w) == 1 else " " for w in words)
-    for run in letters.split():
+    single = sum(len(w) == 1 for w in words)
+    for run in "".join(w if len(w) == 1 else " " for w in words).split() if single > 2 else ():
         run = _squeezed(run)
         if run in _SHORT or (len(run) >= 4 and any(s in run for s in _ALL)):
-            hits.append(flat.find(" ".join(run)) % n)
+            hits.append(0)
             disguised += 1
     if " geri zekali" in flat:
         hits.append(0)
-    address = [i for i, w in enumerate(words) if w in ADDRESS or (len(w) > 6 and w.endswith(("siniz", "sunuz")))]
+    address = [i for i, w in enumerate(words) if w in _ADDRESS or (len(w) > 6 and w.endswith(("siniz", "sunuz")))]
     near = sum(any(abs(i - j) <= 4 for j in address) for i in (*hits, *doubtful))
     frames = sum(f" {p}" in flat for p in FRAMES)
     threats, leads, hate, groups = (_has(flat, x) for x in (_T, _L, _H, _G))
     slights, sexual, innocent = (_has(flat, x) for x in (_S, _X, _I))
-    visible = max(1, sum(not c.isspace() for c in raw))
+    visible = max(1, len(raw) - len(_BLANK.findall(raw)))
     lexicon = 2 * len(hits) + (0 if innocent else len(doubtful)) + 2 * (threats + slights + sexual) + 3 * hate + frames
     return [
         float(lexicon), float(len(hits)), len(hits) / n, float(len(doubtful)), float(disguised), float(len(address)), float(near),
         float(frames), float(threats), float(leads), float(hate), float(groups), float(min(hate, groups)), float(slights),
         float(sexual), float(innocent), float(len(doubtful) if not innocent else 0),
-        sum(c.isupper() for c in raw) / visible, sum(not c.isalnum() and not c.isspace() for c in raw) / visible,
-        float(raw.count("!")), hidden / n, sum(len(w) == 1 for w in words) / n, float(n),
+        0.0 if raw.islower() else sum(map(str.isupper, raw)) / visible, len(_SIGN.findall(raw)) / visible,
+        float(raw.count("!")), hidden / n, single / n, float(n),
     ]
 
 
