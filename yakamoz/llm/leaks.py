@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 N, STEP, BAND = 3, 3, 8
 #: Least alignment score, as a part of the item's words: half of them, less the changes within.
 SCORE = 0.45
-#: Least n-grams within a band: a stretch of score s * L with c changed words has s * L - c - 2 or more.
-BAND_SHARE, BAND_LESS, BAND_LEAST = 0.2, 2, 3
+#: Least n-grams within a band: a stretch of score s * L with c changed words has s * L - c - 2 or more; for c up to 0.15 * L.
+BAND_SHARE, BAND_LESS, BAND_LEAST = 0.3, 2, 3
 #: Items whose index may be broadcast.
 MAX_ITEMS = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.combining(chr(c))) + "]+")
 
 
 def words(text: str | None) -> list[str]:
@@ -36,7 +37,7 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     low = unicodedata.normalize("NFKD", text.replace("İ", "i").replace("I", "i").lower().replace("ı", "i"))
-    return _WORD.findall(low if low.isascii() else "".join(c for c in low if not unicodedata.combining(c)))
+    return _WORD.findall(low if low.isascii() else _MARKS.sub("", low))
 
 
 def score(a: np.ndarray, b: np.ndarray) -> int:
@@ -44,14 +45,19 @@ def score(a: np.ndarray, b: np.ndarray) -> int:
     is a running maximum."""
     steps = np.arange(len(b) + 1, dtype=np.int32)
     row = np.zeros(len(b) + 1, dtype=np.int32)
-    best = 0
-    for x in a:
-        new = np.zeros_like(row)
-        np.maximum(row[:-1] + np.where(b == x, 1, -1), row[1:] - 1, out=new[1:])
+    best = row.copy()
+    new = np.empty_like(row)
+    gain = {x: np.where(b == x, 1, -1).astype(np.int32) for x in set(a.tolist())}
+    for x in a.tolist():
+        new[0] = 0
+        np.add(row[:-1], gain[x], out=new[1:])
+        np.maximum(new[1:], row[1:] - 1, out=new[1:])
         np.maximum(new, 0, out=new)
-        row = np.maximum.accumulate(new + steps) - steps
-        best = max(best, int(row.max()))
-    return best
+        new += steps
+        np.maximum.accumulate(new, out=row)
+        row -= steps
+        np.maximum(best, row, out=best)
+    return int(best.max())
 
 
 class Index:
@@ -62,37 +68,59 @@ class Index:
         self.words = [words(t) for _, t in items]
         self.number: dict[str, int] = {}
         self.coded = [np.array([self.number.setdefault(w, len(self.number)) for w in ws], dtype=np.int32) for ws in self.words]
-        self.grams: list[dict[str, list[int]]] = []
+        at: dict[str, list[tuple[int, int]]] = defaultdict(list)  # n-gram -> (item, place in it)
         self.seeds: dict[str, list[int]] = defaultdict(list)
+        self.least = np.array([max(BAND_LEAST, BAND_SHARE * len(ws) - BAND_LESS) for ws in self.words])
         for k, ws in enumerate(self.words):
             grams = [" ".join(ws[p : p + N]) for p in range(len(ws) - N + 1)]
-            at: dict[str, list[int]] = defaultdict(list)
             for p, g in enumerate(grams):
-                at[g].append(p)
-            self.grams.append(dict(at))
+                at[g].append((k, p))
             spots = range(max(1, len(grams) - STEP + 1))
             for g in {min(grams[p : p + STEP], key=lambda g: (frequency.get(g, 0), g)) for p in spots if grams}:
                 self.seeds[g].append(k)
+        #: n-gram -> start and length of its entries in ``item`` and ``place``.
+        self.postings, n = {}, 0
+        for g, own in at.items():
+            self.postings[g] = (n, len(own))
+            n += len(own)
+        flat = np.array([x for own in at.values() for x in own], dtype=np.int64).reshape(-1, 2)
+        self.item, self.place = flat[:, 0].copy(), flat[:, 1].copy()
 
     def leaks(self, text: str | None) -> list[tuple[int, float]]:
         """(item id, score as a part of the item's words) of the items that the text gives away."""
         ws = words(text)
         grams = [" ".join(ws[p : p + N]) for p in range(len(ws) - N + 1)]
         met = {k for g in grams if g in self.seeds for k in self.seeds[g]}
+        if not met:
+            return []
+        spots = np.array([(p, *self.postings[g]) for p, g in enumerate(grams) if g in self.postings], dtype=np.int64)
+        size = spots[:, 2]
+        at = np.repeat(spots[:, 1] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        wanted = np.zeros(len(self.ids), dtype=bool)
+        wanted[list(met)] = True
+        item, diagonal = self.item[at], np.repeat(spots[:, 0], size) - self.place[at]
+        keep = wanted[item]
+        shift = 1 << 40
+        keys, n = np.unique(item[keep] * shift + diagonal[keep] // BAND + shift // 2, return_counts=True)
+        item = keys // shift
+        both = n.copy()  # a band and the next one
+        both[:-1] += np.where(keys[1:] == keys[:-1] + 1, n[1:], 0)
+        found: dict[int, list[int]] = defaultdict(list)
+        for x in np.flatnonzero(both >= self.least[item]):
+            found[int(item[x])].append(int(keys[x] % shift - shift // 2))
         coded, out = None, []
-        for k in sorted(met):
-            own, size = self.grams[k], len(self.words[k])
-            diagonals = [p - q for p, g in enumerate(grams) for q in own.get(g, ())]
-            bands = Counter(d // BAND for d in diagonals)
-            least = max(BAND_LEAST, BAND_SHARE * size - BAND_LESS)
-            good = {b for b, n in bands.items() if n + bands.get(b + 1, 0) >= least}
-            if not good:
-                continue
+        for k, good in sorted(found.items()):
+            size = len(self.words[k])
             if coded is None:
                 coded = np.array([self.number.get(w, -1) for w in ws], dtype=np.int32)
-            top = 0
-            for b in sorted(good):  # each band with room for words put in or left out
+            top, spans = 0, []
+            for b in sorted(good):  # each band with room for words put in or left out; those that touch are one
                 lo, hi = max(0, (b - 1) * BAND), (b + 3) * BAND + size
+                if spans and lo <= spans[-1][1]:
+                    spans[-1][1] = hi
+                else:
+                    spans.append([lo, hi])
+            for lo, hi in spans:
                 top = max(top, score(self.coded[k], coded[lo:hi]))
             if top >= SCORE * size:
                 out.append((self.ids[k], top / size))
