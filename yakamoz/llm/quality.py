@@ -30,6 +30,7 @@ _LABEL = re.compile(r"^\s*[^\W\d_][^.!?:]{0,28}[:=]\s*\S")
 _LEADER = re.compile(r"\.{3,}\s*[\d.,:]+\s*[^\W\d_]{0,4}\s*$")
 _END = re.compile(r"[.!?…][\"'»”)]*\W*$")
 _SENTENCE = re.compile(r"[^\W\d_][.!?…]+(?:\s|$)")
+_BLANK, _SIGN, _LETTER = re.compile(r"\s"), re.compile(r"[^\w\s]|_"), re.compile(r"[^\W\d_]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _GAP = re.compile(r"\s{2,}")
 _RULE = re.compile(r"^[\s|+\-=:_]+$")
@@ -76,15 +77,16 @@ def layout(text: str, common: frozenset[str]) -> tuple:
     rules = [bool(_RULE.match(x)) and len(x.strip()) > 2 for x in whole]
     lines = [x for x, r in zip(whole, rules) if not r]
     words = [w.lower().replace("i̇", "i") for w in _WORD.findall(text.replace("İ", "i").replace("I", "ı"))]
-    ascii_i = [w.lower() for w in _WORD.findall(text)]
+    ascii_i = [w.lower() for w in _WORD.findall(text)] if "I" in text or "İ" in text else words
     n = len(words)
-    long_ = sum(len(w) for w in words if len(w) > 1)  # by letters: a stray short word in noise says little
-    usual = max(sum(len(w) for w in x if len(w) > 1 and w in common) for x in (words, ascii_i)) / max(1, long_)
+    long_ = sum([len(w) for w in words if len(w) > 1])  # by letters: a stray short word in noise says little
+    usual = max(sum([len(w) for w in x if w in common and len(w) > 1]) for x in ((words,) if ascii_i is words else (words, ascii_i))) / max(1, long_)
     diversity = len(set(words)) / n**0.5 if n else 0.0
-    visible = max(1, sum(not c.isspace() for c in text))
-    symbols = sum(not c.isalnum() and not c.isspace() for c in text) / visible
+    blanks = len(_BLANK.findall(text))
+    visible = max(1, len(text) - blanks)
+    symbols = len(_SIGN.findall(text)) / visible
     tags = sum(map(len, _TAG.findall(text))) / max(1, len(text))
-    furniture = sum(w in FURNITURE for w in (x.lower() for x in ascii_i)) / n if n else 0.0
+    furniture = sum(map(FURNITURE.__contains__, ascii_i)) / n if n else 0.0
     if not lines:
         return 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, usual, diversity, symbols, tags, "junk" if text.strip() else None
     aligned, k, rows = _delimited(lines) if len(lines) > 1 else (0.0, 0, [False] * len(lines))
@@ -110,9 +112,9 @@ def layout(text: str, common: frozenset[str]) -> tuple:
     flowing = mass(stay)
     listed = mass([e and not r for e, r in zip(entry, rows)])
     auto = _autocorrelation(lengths)
-    letters = sum(map(str.isalpha, text)) / visible
+    letters = len(_LETTER.findall(text)) / visible
     longest = max(map(len, text.split()), default=0)
-    spaces = sum(map(str.isspace, text)) / len(text)
+    spaces = blanks / len(text)
     broken = len(_MOJIBAKE.findall(text)) / max(1, n)
     sentences = len(_SENTENCE.findall(_MARK.sub("", text))) / len(lines)
     wrapped = period > 0.8 and mass(marked) < 0.3 and sentences > 0.15 and not any(map(_LEADER.search, lines))
