@@ -7,6 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from yakamoz.llm import abuse, canonical, copies, leaks, lookalikes, mixture, personal, quality
+from yakamoz.llm.queries import QUERIES
+from yakamoz.runtime import table
+
+SF = "/root/testdata/sf0.001"
 
 LONG = "kelime " * 40_000
 
@@ -88,6 +92,14 @@ def test_copies(spark):
     assert twice == got
 
 
+def test_collapsed_keeps_every_row(spark):
+    rows = [(1, "+1"), (2, "+1"), (3, None), (4, " "), (5, "yok ya"), (6, "Otobüs yine geç kaldı!"), (7, "otobüs yine geç kaldı"), (8, "")]
+    for d, n in ((SF, table(spark, SF, "posts_raw").count()), (None, 8)):
+        got = QUERIES["p6_collapsed"](spark, d) if d else copies.collapsed(frame(spark, rows, "_id bigint, text string"), short=True)
+        assert got.agg(F.sum("n_copies")).first()[0] == n
+    assert sorted((r.first_id, r.n_copies) for r in got.collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 2), (8, 1)]
+
+
 def test_hot_copies(spark):
     df = spark.range(30_000).select(F.col("id").alias("_id"), F.when(F.col("id") % 3 == 0, "Hep aynı uzun metin!").otherwise(F.concat(F.lit("metin sayısı "), F.col("id"))).alias("text"))
     assert copies.copies(df).count() == 9_999

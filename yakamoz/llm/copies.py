@@ -79,8 +79,9 @@ def tree(text: str) -> tuple[bytes, str]:
     return _digest(b"fields", *(n[0] for n in nodes)), "\2".join(f"{a}\1{b}" for _, a, b in nodes)
 
 
-def records(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(``id``, ``root``, ``record``) of every row with at least LEAST letters and digits."""
+def records(df: DataFrame, key: str, column: str, short: bool = False) -> DataFrame:
+    """(``id``, ``root``, ``record``) of every row with at least LEAST letters and digits; with ``short`` of the others too, whose
+    root and record are null."""
     x = df.select(F.col(key).cast("bigint").alias("id"), F.col(column).alias("text"))
     to = representatives(count_members(x.select("text")))
 
@@ -89,11 +90,10 @@ def records(df: DataFrame, key: str, column: str) -> DataFrame:
         for b in batches:
             ids, roots, recs = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if t is None or len(t) < LEAST:
-                    continue
-                t = f(t)
-                if sum(map(str.isalnum, t)) >= LEAST:
+                root = rec = None
+                if t is not None and len(t) >= LEAST and sum(map(str.isalnum, t := f(t))) >= LEAST:
                     root, rec = tree(t)
+                if root or short:
                     ids.append(i)
                     roots.append(root)
                     recs.append(rec)
@@ -116,7 +116,13 @@ def copies(df: DataFrame, key: str = "_id", column: str = "text") -> DataFrame:
     return rows.select("first_id", F.col("id").alias("copy_id"))
 
 
-def collapsed(df: DataFrame, key: str = "_id", column: str = "text") -> DataFrame:
-    """(``first_id``, ``n_copies``): one row for each distinct record, with the number of rows that hold it."""
-    return records(df, key, column).groupBy("root", F.xxhash64("record").alias("_h")).agg(
-        F.min("id").alias("first_id"), F.count("*").alias("n_copies")).select("first_id", "n_copies")
+def collapsed(df: DataFrame, key: str = "_id", column: str = "text", short: bool = False) -> DataFrame:
+    """(``first_id``, ``n_copies``): one row for each distinct record, compared in full, with the number of rows that hold it.
+
+    With ``short`` each null, empty or very short text, which is no copy of anything, is a record of its own with ``n_copies``
+    1, so that ``n_copies`` adds up to the rows of ``df``; without it such rows have no record.
+    """
+    own = records(df, key, column, short)
+    own = cut(own) if short else own
+    groups = own.where("root IS NOT NULL").groupBy("root", "record").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies")).select("first_id", "n_copies")
+    return groups.union(own.where("root IS NULL").select("id", F.lit(1).cast("bigint"))) if short else groups

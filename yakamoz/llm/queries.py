@@ -90,7 +90,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    return collapsed(spread(table(spark, d, "posts_raw")))
+    return collapsed(spread(table(spark, d, "posts_raw")), short=True)
 
 
 @query
