@@ -250,6 +250,28 @@ def test_layout(text, kind):
     assert quality.layout(text, common)[-1] == kind
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [("Tänään kävelimme rannalla pitkään ja joimme kahvia pienessä kahvilassa. Illalla palasimme kotiin väsyneinä, mutta iloisina.", None),
+     ("Wczoraj poszliśmy na spacer brzegiem morza, a potem wypiliśmy herbatę w ogrodzie. Wieczorem wróciliśmy do domu.", None),
+     ("Сегодня мы долго гуляли по набережной, потом пили чай в саду. Вечером вернулись домой уставшие, но довольные.", None),
+     ("आज हम समुद्र के किनारे बहुत देर तक घूमते रहे और फिर बगीचे में बैठकर चाय पी। शाम को हम घर लौट आए।", None),
+     ("今天我们在海边走了很久，然后在花园里喝茶。晚上我们回到家里，虽然很累，但是非常高兴。明天如果天气好，我们还想再去一次，顺便看看老城区的市场和那家新开的书店。", None),
+     ("วันนี้เราเดินเล่นริมทะเลเป็นเวลานาน แล้วก็นั่งดื่มชาในสวน ตอนเย็นเรากลับบ้านด้วยความเหนื่อยแต่มีความสุขมาก", None),
+     ("\n".join(f"- teetä ja kahvia {i}" for i in range(8)), "list"), ("jvekz azfğqkğeq avrfğzğzouğ rawjqrwqq hgıhvğsref xzhqşş qsccgkq kgcdgcgh fjwhğf xhlkq fwkgc kraktrk", "junk"),
+     ("karud  minezuK  ıltat_888,ıtkıçacnuros  kınığad_,şumrud neçeg  aril_idlegarnos usurğodanaB ennatçaM_iğilzimet", "junk")],
+)
+def test_layout_without_common_words(text, kind):
+    assert quality.layout(text, frozenset())[-1] == kind
+
+
+def test_common_words_count_copies_once(spark):
+    rare = "Сегодня мы долго гуляли {} по набережной и пили чай."
+    texts = [f"Bugün hava çok güzeldi ve {a}{b} yürüdük." for a in "abcdefghij" for b in "klmnopqrst"] * 8 + ["jvekz azfğqkğeq avrfğz"] * 100 + [rare.format(w) for w in ("вчера", "утром", "днём")]
+    common = quality.common_words(frame(spark, list(enumerate(texts)), "doc_id bigint, text string"), share=0.05)
+    assert {"hava", "çok", "набережной"} <= common and not {"jvekz", "вчера"} & common
+
+
 def test_quality_tables(spark):
     rows = [(1, PROSE), (2, None), (3, ""), (4, " \n "), (5, LONG), (1, PROSE), (6, "la " * 60)]
     df = frame(spark, rows, "doc_id bigint, text string")

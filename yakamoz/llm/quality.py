@@ -2,13 +2,16 @@
 
 Ratios are native expressions. Layout needs the lines of a text side by side: vertical alignment of delimiters, periodicity
 of indents and markers, autocorrelation of line lengths. The share of common words uses the words that stand in at least
-COMMON of all documents, counted over the whole corpus; with m distinct words a document there are at most m / COMMON of
-them, so the list is small at every size.
+COMMON of the distinct texts that hold their script, counted over the whole corpus; with m distinct words a text there are at
+most m / COMMON of them a script, so the list is small at every size. A text without common words may be of a language that
+few documents have: there the way it is written decides (``natural``).
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -17,8 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A word is common if this share of the documents has it.
+from yakamoz.runtime import cut
+
+#: A word is common if this share of the distinct texts with its script has it.
 COMMON = 0.01
+#: Most of a natural text's letters in words that can't be spoken; most odd places (signs or capitals on the wrong side) a word.
+NOISE, ODD = 0.2, 0.06
+# Scripts with a word list of their own, as Java's regular expressions name them.
+SCRIPTS = "Latin Cyrillic Greek Arabic Hebrew Armenian Georgian Devanagari Bengali Tamil Telugu Ethiopic Hangul".split()
 #: Words of page furniture.
 FURNITURE = frozenset(
     "ana sayfa giriş yap üye ol kvkk çerezler reklam önceki sonraki paylaş yorum home login sign up cookies share next "
@@ -28,8 +37,17 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _MARK = re.compile(r"^\s*(?:[-*+•▪◦‣·–—☐☑☒✓✔✗→>]\s*|\(?\d{1,3}[.)]\s+|\(?[a-zçğıöşü]\)\s*|\[[ xX]?\]\s*|\d{1,2}[.:]\d{2}\s+|#\d+\s+)(?=\S)")
 _LABEL = re.compile(r"^\s*[^\W\d_][^.!?:]{0,28}[:=]\s*\S")
 _LEADER = re.compile(r"\.{3,}\s*[\d.,:]+\s*[^\W\d_]{0,4}\s*$")
-_END = re.compile(r"[.!?…][\"'»”)]*\W*$")
-_SENTENCE = re.compile(r"[^\W\d_][.!?…]+(?:\s|$)")
+_END = re.compile(r"[.!?…。！？।॥؟۔։።][\"'»”)」』]*\W*$")
+_SENTENCE = re.compile(r"[^\W\d_](?:[.!?…।॥؟۔։።]+(?:\s|$)|[。！？])")
+#: Letters of scripts without blanks between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, Chinese characters.
+_UNBROKEN = re.compile(r"[\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+#: Marks belong to the letter before them, joiners to none.
+_COMBINING = re.compile("[\u200c\u200d" + "".join(chr(c) for c in range(0x300, min(sys.maxunicode, 0x1F000)) if unicodedata.category(chr(c))[0] == "M") + "]+")
+_CONSONANTS = re.compile("[bcdfghjklmnpqrstvwxzбвгджзйклмнпрстфхцчшщβγδζθκλμνξπρσςτφχψ]{5,}")
+_VOWEL = re.compile("[aeiouyıæøœаеёиоуыэюяіїєўъαεηιουω]")
+_SPOKEN = re.compile("^[a-zıßæøœłđðþа-яіїєўёα-ως]+$")
+#: A capital within a word, a sign before a word instead of after one, words joined by a line.
+_WRONG = re.compile(r"[^\W\d_](?<=[a-zçğıöşüß])[A-ZÇĞİÖŞÜ]|\s[,.;:!?]+[^\W\d_]|[^\W_]_+(?=[^\W_])|[^\W_]_+\s|\s_+[^\W_]")
 _BLANK, _SIGN, _LETTER = re.compile(r"\s"), re.compile(r"[^\w\s]|_"), re.compile(r"[^\W\d_]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _GAP = re.compile(r"\s{2,}")
@@ -71,14 +89,28 @@ def _autocorrelation(x: np.ndarray) -> float:
     return 1.0 if v == 0 else float((y[1:] * y[:-1]).sum()) / v
 
 
+def natural(text: str, words: list[str]) -> bool:
+    """Whether the text is written as languages are, whatever its language: its words can be spoken, its signs follow words,
+    its capitals begin them. ``words``: in lower case."""
+    letters = sum(map(len, words))
+    if len(_UNBROKEN.findall(text)) >= 0.5 * letters > 0:
+        return len(set("".join(words))) >= min(12, letters / 4)
+    base = [_COMBINING.sub("", unicodedata.normalize("NFKD", w)) for w in words]
+    noise = sum([len(w) for w in base if len(w) > 30 or _SPOKEN.match(w) and (_CONSONANTS.search(w) or len(w) > 3 and not _VOWEL.search(w))])
+    return bool(words) and noise <= NOISE * letters and len(_WRONG.findall(text)) <= ODD * len(words)
+
+
 def layout(text: str, common: frozenset[str]) -> tuple:
     """(aligned, fields, marked, period, autocorrelation, evenness, prose share, common words, diversity, symbols, tags, kind)."""
+    if not text.isascii():
+        text = _COMBINING.sub("", unicodedata.normalize("NFC", text))
+    unbroken = not text.isascii() and len(_UNBROKEN.findall(text)) > 0.5 * len(_LETTER.findall(text))
     whole = [x for x in text.splitlines() if x.strip()]
     rules = [bool(_RULE.match(x)) and len(x.strip()) > 2 for x in whole]
     lines = [x for x, r in zip(whole, rules) if not r]
     words = [w.lower().replace("i̇", "i") for w in _WORD.findall(text.replace("İ", "i").replace("I", "ı"))]
     ascii_i = [w.lower() for w in _WORD.findall(text)] if "I" in text or "İ" in text else words
-    n = len(words)
+    n = sum([len(w) + 1 >> 1 for w in words]) if unbroken else len(words)
     long_ = sum([len(w) for w in words if len(w) > 1])  # by letters: a stray short word in noise says little
     usual = max(sum([len(w) for w in x if w in common and len(w) > 1]) for x in ((words,) if ascii_i is words else (words, ascii_i))) / max(1, long_)
     diversity = len(set(words)) / n**0.5 if n else 0.0
@@ -98,7 +130,7 @@ def layout(text: str, common: frozenset[str]) -> tuple:
     for s in lines:
         body = _MARK.sub("", s, count=1)
         m = len(body) < len(s)
-        w = len(_WORD.findall(body))
+        w = len(_LETTER.findall(body)) // 2 if unbroken else len(_WORD.findall(body))
         ends = bool(_END.search(body)) and not _LEADER.search(body)
         item = bool(_LEADER.search(s)) or (m and w <= 12) or (bool(_LABEL.match(s)) and w <= 9) or (w <= 6 and len(body) <= 60 and not ends)
         marked.append(m)
@@ -118,20 +150,21 @@ def layout(text: str, common: frozenset[str]) -> tuple:
     broken = len(_MOJIBAKE.findall(text)) / max(1, n)
     sentences = len(_SENTENCE.findall(_MARK.sub("", text))) / len(lines)
     wrapped = period > 0.8 and mass(marked) < 0.3 and sentences > 0.15 and not any(map(_LEADER.search, lines))
+    known = usual >= 0.3 or natural(text, words)
     kind = None
     if tags > 0.3:
         kind = "junk"
-    elif len(lines) >= 3 and k >= 3 and cells >= 0.5 and aligned >= 0.5 and (n or letters < 0.1) and (usual >= 0.1 or letters < 0.1 or n < 3):
+    elif len(lines) >= 3 and k >= 3 and cells >= 0.5 and aligned >= 0.5 and (n or letters < 0.1) and (usual >= 0.1 or known or letters < 0.1 or n < 3):
         kind = "table"
     elif broken > 0.15:
         kind = "junk"
-    elif len(lines) >= 3 and listed >= 0.5 and flowing < 0.5 and n and usual >= 0.3 and not wrapped:
+    elif len(lines) >= 3 and listed >= 0.5 and flowing < 0.5 and n and known and not wrapped:
         kind = "list"
-    elif n < 3 and len(text.strip()) > 0 and (letters < 0.5 or longest > 25):
+    elif n < 3 and len(text.strip()) > 0 and (letters < 0.5 or longest > 25 and not unbroken):
         kind = "junk"
     elif (
-        (n >= 20 and len(set(words)) <= 15) or (n >= 8 and furniture > 0.5) or symbols > 0.25 or letters < 0.45
-        or usual < 0.22 or (longest > 60 and spaces < 0.03)
+        (n >= 20 and len(set("".join(words) if unbroken else words)) <= 15) or (n >= 8 and furniture > 0.5) or symbols > 0.25 or letters < 0.45
+        or (usual < 0.22 and not known) or (longest > 60 and spaces < 0.03 and not unbroken)
     ):
         kind = "junk"
     return aligned, k, mass(marked), period, auto, even, flowing, usual, diversity, symbols, tags, kind
@@ -144,10 +177,16 @@ _LAYOUT = (
 
 
 def common_words(df: DataFrame, column: str = "text", share: float = COMMON) -> frozenset[str]:
-    """Words that at least ``share`` of the documents have, counted over all of them; at most mean distinct words / share."""
-    words = df.select(F.array_distinct(F.regexp_extract_all(F.lower(F.replace(F.col(column), F.lit("İ"), F.lit("i"))), F.lit(r"\p{L}+"), 0)).alias("w"))
-    n = df.count()
-    found = words.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, share * n))
+    """Words that at least ``share`` of the distinct texts with their script have, counted over all of them; for each script at
+    most mean distinct words / share. Copies count once. Words of scripts outside SCRIPTS are measured by all texts."""
+    texts = cut(df.select(F.col(column).alias("t")).where("t IS NOT NULL").distinct().select(F.regexp_replace("t", r"\p{M}+", "").alias("t")))
+    has = lambda c, s: F.col(c).rlike(rf"\p{{Is{s}}}")
+    total = texts.agg(F.count("*").alias("all"), *(F.count_if(has("t", s)).alias(s) for s in SCRIPTS)).first()
+    words = texts.select(F.array_distinct(F.regexp_extract_all(F.lower(F.replace("t", F.lit("İ"), F.lit("i"))), F.lit(r"\p{L}+"), 0)).alias("w"))
+    least = F.lit(share * total["all"])
+    for s in SCRIPTS:
+        least = F.when(has("w", s), share * total[s]).otherwise(least)
+    found = words.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= F.greatest(F.lit(2), least))
     return frozenset(r.w for r in found.select("w").collect())
 
 
