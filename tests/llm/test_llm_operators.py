@@ -250,6 +250,16 @@ def test_layout(text, kind):
     assert quality.layout(text, common)[-1] == kind
 
 
+def test_long_entries_without_marks():
+    entries = ["Sahil yolu durağı yanındaki eski taş fırın sabah açık", "Kale altı meydanı köşesindeki küçük çay bahçesi akşam açık", "Yeni çarşı girişindeki büyük kitap evi her gün açık",
+               "Otogar karşısındaki geniş park yeri hafta sonu tamamen ücretsiz", "Liman caddesi sonundaki balık pazarı yalnız sabah erken kurulur", "Üniversite kapısı önündeki ucuz lokanta öğlen saatlerinde dolu"]
+    common = frozenset(quality._WORD.findall(" ".join(entries).lower()))
+    assert quality.layout("\n".join(entries), common)[-1] == "list"
+    assert quality.layout("\n".join(e + "." for e in entries), common)[-1] is None
+    text = " ".join(entries).lower().split()
+    assert quality.layout("\n".join(" ".join(text[i : i + 8]) for i in range(0, len(text), 8)), common)[-1] is None
+
+
 @pytest.mark.parametrize(
     ("text", "kind"),
     [("Tänään kävelimme rannalla pitkään ja joimme kahvia pienessä kahvilassa. Illalla palasimme kotiin väsyneinä, mutta iloisina.", None),

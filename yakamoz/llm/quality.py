@@ -26,6 +26,9 @@ from yakamoz.runtime import cut
 COMMON = 0.01
 #: Most of a natural text's letters in words that can't be spoken; most odd places (signs or capitals on the wrong side) a word.
 NOISE, ODD = 0.2, 0.06
+#: Long entries without marks: least lines, least evenness of their lengths, most autocorrelation, least share of lines that
+#: begin alike (indent and marker; capital or digit).
+ENTRIES, EVEN, RUNNING, ALIKE = 5, 0.7, 0.5, 0.9
 # Scripts with a word list of their own, as Java's regular expressions name them.
 SCRIPTS = "Latin Cyrillic Greek Arabic Hebrew Armenian Georgian Devanagari Bengali Tamil Telugu Ethiopic Hangul".split()
 #: Words of page furniture.
@@ -48,6 +51,7 @@ _VOWEL = re.compile("[aeiouyıæøœаеёиоуыэюяіїєўъαεηιουω
 _SPOKEN = re.compile("^[a-zıßæøœłđðþа-яіїєўёα-ως]+$")
 #: A capital within a word, a sign before a word instead of after one, words joined by a line.
 _WRONG = re.compile(r"[^\W\d_](?<=[a-zçğıöşüß])[A-ZÇĞİÖŞÜ]|\s[,.;:!?]+[^\W\d_]|[^\W_]_+(?=[^\W_])|[^\W_]_+\s|\s_+[^\W_]")
+_STOPPED = re.compile(r"[.!?…。！？।॥؟۔։።,;:\-–—]\s*$")
 _BLANK, _SIGN, _LETTER = re.compile(r"\s"), re.compile(r"[^\w\s]|_"), re.compile(r"[^\W\d_]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _GAP = re.compile(r"\s{2,}")
@@ -89,6 +93,15 @@ def _autocorrelation(x: np.ndarray) -> float:
     return 1.0 if v == 0 else float((y[1:] * y[:-1]).sum()) / v
 
 
+def _simple(text: str) -> bool:
+    """Whether it has only characters of one 8-bit set, hence no combining marks and no scripts without blanks."""
+    try:
+        text.encode("cp1254")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def natural(text: str, words: list[str]) -> bool:
     """Whether the text is written as languages are, whatever its language: its words can be spoken, its signs follow words,
     its capitals begin them. ``words``: in lower case."""
@@ -102,9 +115,10 @@ def natural(text: str, words: list[str]) -> bool:
 
 def layout(text: str, common: frozenset[str]) -> tuple:
     """(aligned, fields, marked, period, autocorrelation, evenness, prose share, common words, diversity, symbols, tags, kind)."""
-    if not text.isascii():
+    unbroken = False
+    if not _simple(text):
         text = _COMBINING.sub("", unicodedata.normalize("NFC", text))
-    unbroken = not text.isascii() and len(_UNBROKEN.findall(text)) > 0.5 * len(_LETTER.findall(text))
+        unbroken = len(_UNBROKEN.findall(text)) > 0.5 * len(_LETTER.findall(text))
     whole = [x for x in text.splitlines() if x.strip()]
     rules = [bool(_RULE.match(x)) and len(x.strip()) > 2 for x in whole]
     lines = [x for x, r in zip(whole, rules) if not r]
@@ -150,6 +164,11 @@ def layout(text: str, common: frozenset[str]) -> tuple:
     broken = len(_MOJIBAKE.findall(text)) / max(1, n)
     sentences = len(_SENTENCE.findall(_MARK.sub("", text))) / len(lines)
     wrapped = period > 0.8 and mass(marked) < 0.3 and sentences > 0.15 and not any(map(_LEADER.search, lines))
+    # unmarked entries of many words: lines of like length and beginning, none of which ends or continues a sentence
+    even_list = (
+        len(lines) >= ENTRIES and even >= EVEN and abs(auto) < RUNNING and period >= ALIKE and sentences == 0 and not any(map(_STOPPED.search, lines))
+        and sum([s.lstrip()[0].isupper() or s.lstrip()[0].isdigit() for s in lines]) >= ALIKE * len(lines)
+    )
     known = usual >= 0.3 or natural(text, words)
     kind = None
     if tags > 0.3:
@@ -158,7 +177,7 @@ def layout(text: str, common: frozenset[str]) -> tuple:
         kind = "table"
     elif broken > 0.15:
         kind = "junk"
-    elif len(lines) >= 3 and listed >= 0.5 and flowing < 0.5 and n and known and not wrapped:
+    elif len(lines) >= 3 and (even_list or listed >= 0.5 and flowing < 0.5 and not wrapped) and n and known:
         kind = "list"
     elif n < 3 and len(text.strip()) > 0 and (letters < 0.5 or longest > 25 and not unbroken):
         kind = "junk"
@@ -181,7 +200,8 @@ def common_words(df: DataFrame, column: str = "text", share: float = COMMON) ->
     most mean distinct words / share. Copies count once. Words of scripts outside SCRIPTS are measured by all texts."""
     texts = cut(df.select(F.col(column).alias("t")).where("t IS NOT NULL").distinct().select(F.regexp_replace("t", r"\p{M}+", "").alias("t")))
     has = lambda c, s: F.col(c).rlike(rf"\p{{Is{s}}}")
-    total = texts.agg(F.count("*").alias("all"), *(F.count_if(has("t", s)).alias(s) for s in SCRIPTS)).first()
+    other = F.col("t").rlike(r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]")  # the other scripts are sought only where there is one
+    total = texts.agg(F.count("*").alias("all"), *(F.count_if(has("t", s) if s == "Latin" else other & has("t", s)).alias(s) for s in SCRIPTS)).first()
     words = texts.select(F.array_distinct(F.regexp_extract_all(F.lower(F.replace("t", F.lit("İ"), F.lit("i"))), F.lit(r"\p{L}+"), 0)).alias("w"))
     least = F.lit(share * total["all"])
     for s in SCRIPTS:
