@@ -155,6 +155,17 @@ def test_items(text, kinds):
     assert sorted({k for _, _, k in finder().items(text)}) == kinds
 
 
+def test_hot_copies_hide_no_names(spark):
+    names = spark.createDataFrame([("Oya",), ("Kerim",)], "name string")
+    hot = [(i, "size çok teşekkürler Oya Şengüdük") for i in range(300)]
+    other = [(1000 + i, f"eski metin sayısı {i}") for i in range(600)] + [(2000, "ben Oya Tülbent geldim"), (2001, "ben Kerim Tülbent gittim"), (2002, "imza: Ş. Tülbent")]
+    rows = hot + other + [(3000 + i, "eski tülbent dükkanı kapandı") for i in range(300)]
+    got = {r.raw_id for r in personal.personal_kinds(frame(spark, rows, "_id bigint, text string"), names).collect()}
+    assert got == {*range(300), 2000, 2001, 2002}
+    common = personal.Finder(frozenset({"oya"}), frozenset(), frozenset({"senguduk"}))
+    assert [k for _, _, k in common.items("size çok teşekkürler Oya Şengüdük")] == ["name"] and common.items("oya şengüdük gibi") == []
+
+
 def test_masked_keeps_the_rest():
     t = "teşekkürler Oya Börtülü, tel: 0566.234.28.84 müsaitim"
     assert personal.masked(t, finder().items(t)) == "teşekkürler [NAME], tel: [PHONE] müsaitim"

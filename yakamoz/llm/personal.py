@@ -3,7 +3,7 @@
 An Aho-Corasick automaton over the folded text finds anchors: at-signs and their spellings, digits and number words, street
 words, passport cues, given and family names. At an anchor a deterministic local parser expands the item to both sides and
 validates its boundaries. Family names are learned from the corpus: words that follow several given names or initials and
-stand mostly there; they are counted over all texts.
+stand mostly there; they are counted over all distinct texts, so that copies of a post count once.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from yakamoz.llm.lookalikes import plain_rewriter
 KINDS = ("email", "phone", "id", "address", "name")
 #: A family name: distinct given names before it, least part of its uses that follow one.
 LEAST_GIVEN, LEAST_PART = 2, 0.3
-#: A word is common, hence no name, if it stands in this part of the texts.
+#: A word is common, hence no name unless it has a capital and follows a given name, if it stands in this part of the texts.
 COMMON = 0.003
 #: Learned names that may go to the tasks.
 MAX_NAMES = 2_000_000
@@ -178,9 +178,9 @@ class Finder:
         def initial(i: int) -> bool:
             return i >= 0 and i + 1 < len(ws) and len(ws[i][2]) == 1 and re.fullmatch(r"\. ?", gap(i, i + 1)) is not None
 
-        def unknown(i: int) -> bool:
+        def unknown(i: int, common: bool = False) -> bool:
             w = ws[i][2]
-            return len(w) >= 3 and w not in self.common and w not in TITLES and w not in PLACES and w not in self.families
+            return len(w) >= 3 and (common or w not in self.common) and w not in TITLES and w not in PLACES and w not in self.families
 
         def place(i: int) -> bool:
             return i < len(ws) and joined(i - 1, i) and ws[i][2] in PLACES
@@ -213,7 +213,7 @@ class Finder:
             elif w in self.given and caps[k] and not titled:  # a family name that wasn't learned
                 if joined(k, k + 1) and joined(k + 1, k + 2) and ws[k + 2][2] in self.families:
                     continue  # two given names; the family name finds them
-                if joined(k, k + 1) and caps[k + 1] and unknown(k + 1) and ws[k + 1][2] not in self.given and not place(k + 2):
+                if joined(k, k + 1) and caps[k + 1] and unknown(k + 1, common=True) and ws[k + 1][2] not in self.given and not place(k + 2):
                     out.append((a, ws[k + 1][1]))
         return out
 
@@ -233,7 +233,7 @@ def _finder(given: frozenset[str], families: frozenset[str], common: frozenset[s
 
 
 def learned(texts: DataFrame, given: frozenset[str]) -> tuple[frozenset[str], frozenset[str]]:
-    """(family names, common words) of the only column, counted over all texts. Tasks add up words batch by batch; a word's
+    """(family names, common words) of the only column, counted over its distinct texts. Tasks add up words batch by batch; a word's
     given names are kept as bits of a hash."""
     bit = {g: 1 << (i % 62) for i, g in enumerate(sorted(given))}
 
@@ -259,8 +259,8 @@ def learned(texts: DataFrame, given: frozenset[str]) -> tuple[frozenset[str], fr
                 [pa.array(keys, pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array([after.get(k, 0) for k in keys], pa.int64()),
                  pa.array([bits.get(k, 0) for k in keys], pa.int64())], ["w", "n", "after", "bits"])
 
-    total = texts.count()
-    x = texts.mapInArrow(count, "w string, n bigint, after bigint, bits bigint").groupBy("w").agg(
+    total = texts.select(F.count_distinct(F.xxhash64(texts.columns[0]))).first()[0]
+    x = texts.distinct().mapInArrow(count, "w string, n bigint, after bigint, bits bigint").groupBy("w").agg(
         F.sum("n").alias("n"), F.sum("after").alias("after"), F.bit_or("bits").alias("bits"))
     common = F.col("n") >= max(8, COMMON * total)
     family = (F.bit_count("bits") >= LEAST_GIVEN) & (F.col("after") >= LEAST_PART * F.col("n"))
