@@ -155,6 +155,11 @@ def test_items(text, kinds):
     assert sorted({k for _, _, k in finder().items(text)}) == kinds
 
 
+@pytest.mark.parametrize("text", ["kimliğim yedi iki üç dört altı bir sekiz dokuz iki üç yedi", "kimliğim yedi, beş, üç, dört, beş, bir, sekiz, dokuz, iki, üç, beş"])
+def test_spelled_numbers_without_zero(text):
+    assert [k for _, _, k in finder().items(text)] == ["id"]
+
+
 def test_hot_copies_hide_no_names(spark):
     names = spark.createDataFrame([("Oya",), ("Kerim",)], "name string")
     hot = [(i, "size çok teşekkürler Oya Şengüdük") for i in range(300)]

@@ -100,7 +100,7 @@ class Finder:
         a = ahocorasick.Automaton()
         for kind, cues in {
             "email": ("@", "(at)", "[at]", "{at}", "( at", "[ at", " at ", " et ", "kuyruklu"), "digit": tuple("0123456789"),
-            "words": ("sifir", "bes "), "passport": ("pasaport", "passport"),
+            "words": tuple(DIGITS), "passport": ("pasaport", "passport"),
             "street": ("sok", " sk", "cad", " cd", "bulv", "blv"), "name": (*families, *given),
         }.items():
             for c in cues:
@@ -155,7 +155,7 @@ class Finder:
                 kind = _phone_or_id(m[0], t[max(0, m.start() - 30) : m.start()])
                 if kind and free(*m.span()):
                     out.append((*m.span(), kind))
-        for m in near("words", _WORDS_RUN):
+        for m in near("words", _WORDS_RUN) if len(spots.get("words", ())) >= 10 else ():
             ws = re.findall(r"[a-z]+", m[0])
             if free(*m.span()):
                 out.append((*m.span(), "phone" if ws[0] == "sifir" or (len(ws) == 10 and ws[0] == "bes") else "id"))
