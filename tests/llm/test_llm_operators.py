@@ -204,6 +204,14 @@ def test_score_is_smith_waterman(seed):
     assert leaks.score(a, b) == brute_score(a, b)
 
 
+@pytest.mark.parametrize(("size", "stretch", "changed"), [(36, 18, (9,)), (40, 20, (6, 13)), (50, 50, range(3, 50, 4)), (40, 17, None)])
+def test_changed_words_count_as_covered(size, stretch, changed):
+    item = [f"kelime{i}" for i in range(size)]
+    text = ["başka" if i in (changed or ()) else w for i, w in enumerate(item[:stretch])]
+    got = leaks.Index([(1, " ".join(item))], {}).leaks(" ".join(["önce"] * 30 + text + ["sonra"] * 30))
+    assert [i for i, _ in got] == ([1] if changed is not None else [])
+
+
 def test_leaked(spark):
     rng = np.random.default_rng(3)
     vocab = [f"kelime{i}" for i in range(3000)]

@@ -2,8 +2,8 @@
 
 Seeds are word n-grams of the items. Their document frequencies are counted over the whole corpus; of any STEP consecutive
 n-grams of an item the rarest is a seed, so an unchanged run of N + STEP - 1 words always holds one. A document that holds a
-seed meets the item; the pair goes on if n-grams of the item lie close enough to one diagonal of the alignment, and its
-Smith-Waterman score (words; match 1, change or gap -1) decides. The item table is the query side and is fixed: its index
+seed meets the item; the pair goes on if n-grams of the item lie close enough to one diagonal of the alignment, and the
+item words that its best Smith-Waterman alignment (words; match 1, change or gap -1) spans decide. The item table is the query side and is fixed: its index
 is broadcast after a check of its size. The corpus is scanned, never shuffled.
 """
 
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 #: Words of a seed; consecutive n-grams of which one is a seed at least; width of a band of diagonals.
 N, STEP, BAND = 3, 3, 8
-#: Least alignment score, as a part of the item's words: half of them, less the changes within.
-SCORE = 0.45
-#: Least n-grams within a band: a stretch of score s * L with c changed words has s * L - c - 2 or more; for c up to 0.15 * L.
-BAND_SHARE, BAND_LESS, BAND_LEAST = 0.3, 2, 3
+#: Least span of the alignment, as a part of the item's words, and its least score, as a part of the span: a word in six changed.
+#: A longer stretch may have more changes, as long as its score is NET of the item's words.
+SPAN, SCORE, NET = 0.5, 2 / 3, 0.45
+#: Least n-grams within a band: s words with c changed have s - 2 - 3c; of all that can be leaks, whole items of score NET have least.
+BAND_SHARE, BAND_LESS, BAND_LEAST = 0.175, 2, 1
 #: Items whose index may be broadcast.
 MAX_ITEMS = 200_000
 
@@ -60,6 +61,19 @@ def score(a: np.ndarray, b: np.ndarray) -> int:
     return int(best.max())
 
 
+def span(a: list[int], b: list[int]) -> tuple[int, int]:
+    """(score, words of ``a`` from the first to the last) of the best alignment; of equal ones the longest."""
+    best, row = (0, 0), [(0, 0)] * (len(b) + 1)
+    for x in a:
+        new = [(0, 0)]
+        for j, y in enumerate(b):
+            (d, n), (u, m), (w, k) = row[j], row[j + 1], new[j]
+            new.append(max((0, 0), (d + (1 if x == y else -1), n + 1), (u - 1, m + 1), (w - 1, k)))
+        row = new
+        best = max(best, max(row))
+    return best
+
+
 class Index:
     """Seeds and n-grams of the items."""
 
@@ -113,7 +127,7 @@ class Index:
             size = len(self.words[k])
             if coded is None:
                 coded = np.array([self.number.get(w, -1) for w in ws], dtype=np.int32)
-            top, spans = 0, []
+            top, spans, leak = 0, [], False
             for b in sorted(good):  # each band with room for words put in or left out; those that touch are one
                 lo, hi = max(0, (b - 1) * BAND), (b + 3) * BAND + size
                 if spans and lo <= spans[-1][1]:
@@ -121,8 +135,14 @@ class Index:
                 else:
                     spans.append([lo, hi])
             for lo, hi in spans:
-                top = max(top, score(self.coded[k], coded[lo:hi]))
-            if top >= SCORE * size:
+                s = score(self.coded[k], coded[lo:hi])
+                top = max(top, s)
+                if s >= NET * size:
+                    leak = True
+                elif not leak and s >= SPAN * SCORE * size:
+                    s, wide = span(self.coded[k].tolist(), coded[lo:hi].tolist())
+                    leak = wide >= SPAN * size and s >= SCORE * wide
+            if leak:
                 out.append((self.ids[k], top / size))
         return out
 
