@@ -284,6 +284,41 @@ def test_long_entries_without_marks():
     assert quality.layout("\n".join(" ".join(text[i : i + 8]) for i in range(0, len(text), 8)), common)[-1] is None
 
 
+GAPPED = """durak              saat    ücret
+köprü altı        22:26       59
+kültür merkezi    09:21
+iskele çevresi                68
+hastane durağı    11:18       42"""
+MARKED = "\n".join(f"- {w} kenarındaki eski taş fırının önünden geçen dar yol boyunca uzanan geniş yeşil çay bahçesi" for w in ("sahil", "kale", "çarşı", "liman", "otogar", "kampüs"))
+TURNS = "\n".join(
+    x for w, k in (("Sahil", "açık"), ("Kale", "kapalı"), ("Çarşı", "dolu"), ("Liman", "boş"), ("Otogar", "ucuz"), ("Kampüs", "pahalı"))
+    for x in (f"{w} yolu durağı yanındaki eski taş fırın ve küçük çay bahçesi", k))
+
+
+@pytest.mark.parametrize(
+    ("signal", "without", "text", "kind"),
+    [("columns", (0.0, 0, [False] * 5), GAPPED, "table"), ("periodicity", 0.0, MARKED, "list"), ("rhythm", 0.0, TURNS, "list")],
+)
+def test_each_signal_decides(monkeypatch, signal, without, text, kind):
+    common = frozenset(quality._WORD.findall(f"{PROSE} {GAPPED} {MARKED} {TURNS}".lower()))
+    assert quality.layout(text, common)[-1] == kind
+    monkeypatch.setattr(quality, signal, lambda *_: without)
+    assert quality.layout(text, common)[-1] != kind
+
+
+def test_autocorrelation_decides(monkeypatch):
+    common = frozenset(quality._WORD.findall(TURNS.lower()))
+    monkeypatch.setattr(quality, "autocorrelation", lambda *_: 0.0)
+    assert quality.layout(TURNS, common)[-1] is None
+
+
+def test_signals():
+    assert quality.periodicity(["- ", "  ", "- ", "  ", "- ", "  "]) == 1.0 and quality.periodicity([""] * 9) == 0.0 and quality.periodicity([]) == 0.0
+    assert quality.rhythm(np.array([50.0, 8] * 6)) > 0.9 and quality.rhythm(np.full(4, 9.0)) == 1.0 and quality.rhythm(np.array([50.0] * 6 + [8.0] * 6)) < 0.3
+    share, k, rows = quality.columns(GAPPED.split("\n"))
+    assert (k, sum(rows)) == (3, 3) and share == 0.6 and quality.columns(["a b c", "d"])[2] == [False, False]
+
+
 @pytest.mark.parametrize(
     ("text", "kind"),
     [("Tänään kävelimme rannalla pitkään ja joimme kahvia pienessä kahvilassa. Illalla palasimme kotiin väsyneinä, mutta iloisina.", None),
