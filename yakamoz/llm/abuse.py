@@ -1,14 +1,17 @@
 """Abusive, hateful and sexual content: a score for every text, rates for every source.
 
-Gradient-boosted trees over dense features (lexicon densities, second-person proximity, capitals, punctuation and
-obfuscation rates), fitted on a bounded sample of labelled rows, with isotonic calibration on held-out folds. Scoring is one
-pass over all texts.
+Gradient-boosted trees over dense features, fitted on a bounded sample of labelled rows, with isotonic calibration on held-out
+folds. The features are densities: of general lexicons (single stems), of words and word pairs weighted by what the labelled
+rows say about them, of second-person words and of lexicon words near them, of capitals, punctuation and obfuscation.
+Weights of words are learned on other folds than the row they describe. Scoring is one pass over all texts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,134 +23,158 @@ from yakamoz.llm.lookalikes import plain_rewriter
 #: Labelled rows used at most; beyond that those of the smallest hashes.
 MAX_LABELS = 20_000
 #: Trees, their depth, learning rate, least rows in a leaf, ridge on leaf values, bins, folds of the calibration.
-TREES, DEPTH, RATE, LEAF, RIDGE, BINS, FOLDS = 60, 3, 0.2, 2, 1.0, 48, 5
+TREES, DEPTH, RATE, LEAF, RIDGE, BINS, FOLDS = 80, 3, 0.15, 3, 1.0, 48, 5
 #: Texts of this score or more count as abusive.
 ABUSIVE = 0.5
-
-# Lexicons, Turkish letters folded. Words match as stems unless they are short.
-INSULTS = (
-    "aptal salak gerizekali embesil dangalak surtuk kancik yavsak serefsiz haysiyetsiz namussuz ahlaksiz soysuz beyinsiz "
-    "orospu kahpe gavat pezevenk ibne godos sersem ahmak budala hayvanoglu itoglu asagilik karaktersiz onursuz rezilsin "
-    "idiot moron bitch whore bastard asshole scum arschloch hurensohn schlampe missgeburt"
-).split()
-AMBIGUOUS = "mal okuz domuz kopek hiyar kasar alcak pislik pic esek kaltak manyak".split()
-ADDRESS = "sen seni sana senin senden sensin siz sizi size sizin sizden hepiniz ulan lan kendini herif herifsin oglu hepsi bunlarin you your du dich deine".split()
-FRAMES = (
-    "kes sesini|havlama|adam olmaz|kendini ne saniyor|kendini saniyor|surusu|oy verenler|yaziklar olsun|aklina tukureyim|"
-    "tukureyim|herifsin|herif|gorulmedi|resmen|konusma lan|defol|ulan|lan|sizsiniz"
-).split("|")
-THREATS = (
-    "gomerim|gomeriz|kirarim|kirariz|dokerim|dokeriz|akitirim|dagitirim|bulurum|pisman ederim|pisman ederiz|oldururum|"
-    "gebertirim|geberteceg|oldurece|yakarim|keserim|vururum|doverim|kill you|hurt you|bring dich um"
-).split("|")
-LEADS = "seni bulursam|yazarsan|tasarsa|cikarsan|oturdugunu biliyorum|kapina dayanip|gelince|toplanip|karsima|evladini".split("|")
-HATE = (
-    "kanlari bozuk|mikrop|kokleri kurusun|hayvan surusu|insan degil|asagilik|toplayip yakmak|yakmak lazim|surulmeli|"
-    "yasamayi hak|hak etmiyor|yaratiklar|haserat|defolsun|geberesi|yok edilmeli|asilmali"
-).split("|")
-GROUPS = "dagdan inenler|sonradan gorme|sonradan gelen|yaylali|gocebe|karsi yakali|inancsiz|tarikatci|irki|soyunuz|mahallenin takimi|multeci|kafadaki|boyle tip|gibiler".split("|")
-SLIGHTS = (
-    "tukurugu|israf sayar|ahirda yasasin|aynaya bakmaya|utanmali|midem kalkti|kopruden atsa|iyilik olur|saman tasiyor|"
-    "tas dogursa|hayirliydi|yeryuzunden silinse|kimse aglamaz|nefes almayi|yuzune bakinca|yazanin anasi"
-).split("|")
-SEXUAL = (
-    "sevisel|sevismek|cirilciplak|becermek|goguslerini em|gogusler|memelerini|avuclamak|yalamak|kalcalarini|kulotunu|"
-    "koynuna|opup|azgin|orgazm|seks ariyorum|atesli olsun|ciplak fotograf|soyun|yataga gel|emmek istiyorum|sex with|blowjob"
-).split("|")
-INNOCENT = (
-    "tursusu|peynir|tost|eti|barinag|tasma|bildirim|teslim|tavan|sesle|konusunca|basi|arabasi|hastalik|poliklinig|egitimi|"
-    "semineri|salonu|tatlisi|figurlu|mama|surgun|serbest|masa|rampa|kampanya|emzirme|biber|denizi|kumda|guldu|kafani dinle|"
-    "karardan|sikke|dugun|muzik|vapur|rakibi|yokus|agzim|sessizligi|odedi"
-).split("|")
-
-_FOLD = str.maketrans("ıİIğĞüÜşŞöÖçÇâÂîÎûÛ", "iiigguussooccaaiiuu")
+#: Rows that a weighed word or pair stands in at least; rows added to each side; words to both sides that count as near; weight from
+#: which a word is telling; letters of a word's stem.
+SUPPORT, PRIOR, NEAR, TELLING, STEM = 2, 0.3, 4, 2.0, 7
+
+# General lexicons of single stems, Turkish letters folded; Turkish, English, German.
+LEXICONS = {
+    "insults": (
+        "aptal salak gerizekali embesil dangalak surtuk kancik yavsak serefsiz haysiyetsiz namussuz ahlaksiz soysuz beyinsiz orospu kahpe gavat "
+        "pezevenk ibne godos sersem ahmak budala asagilik karaktersiz onursuz rezil hain itoglu kaltak densiz terbiyesiz edepsiz soytari dalkavuk "
+        "idiot moron bitch whore bastard asshole scum stupid loser arschloch hurensohn schlampe missgeburt idiot dummkopf"
+    ),
+    "animals": "mal okuz domuz kopek hiyar kasar alcak pislik pic esek manyak hayvan maymun ayi inek yilan sican pig dog swine",
+    "threats": "oldur gebert gomer kirar doker parcala bogar ezer yakar keser vurur dover dagit pisman bulur kill hurt stab shoot",
+    "hate": "mikrop hasere parazit geber defol yaratik surusu irk kokunuz soyunuz gebersin kahrol vermin subhuman ungeziefer untermensch",
+    "sexual": "sevis ciplak becer gogus meme yala kalca kulot azgin orgazm seks soyun yatag emmek porno penis vajina blowjob porn horny nude",
+    "contempt": "utan tukur yazik lanet igrenc tiksin midesiz cirkef seviyesiz cahil zavalli ucube disgusting pathetic",
+}
+ADDRESS = frozenset("sen seni sana senin senden sensin siz sizi size sizin sizden hepiniz ulan lan kendini herif you your du dich deine".split())
+_PLAIN = tuple(zip("ığüşöçâîû", "igusocaiu"))
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _TOKEN = re.compile(r"[^\W_]+(?:[@$!*.][^\W_]+)*")
-_BLANK, _SIGN = re.compile(r"\s"), re.compile(r"[^\w\s]|_")
 _REPEAT = re.compile(r"(.)\1+")
 _VOWELS = re.compile("[aeiou]")
+_MIXED = re.compile(r"[a-z][013457@$!]|[013457@$!][a-z]")
 _ENDING = re.compile(r"(?:siniz|sin|lar|ler|larin|sunuz|dir)?$")
-NAMES = (
-    "lexicon", "insults", "insult_density", "ambiguous", "obfuscated_insults", "address", "proximity", "frames", "threats",
-    "threat_leads", "hate", "groups", "hate_on_groups", "slights", "sexual", "innocent", "ambiguous_alone", "capitals",
-    "punctuation", "exclamations", "obfuscation", "single_letters", "words",
-)
 
 
 def _squeezed(w: str) -> str:
     return _REPEAT.sub(r"\1", w)
 
 
-_STEMS = {_squeezed(w) for w in INSULTS}
-_SHORT = {_squeezed(w) for w in AMBIGUOUS}
-_ALL = _STEMS | {w for w in _SHORT if len(w) > 3}
-_BONES = {b for w in _ALL if len(b := _VOWELS.sub("", w)) >= 3}
+_KINDS = tuple(LEXICONS)
+_STEMS = {k: tuple(map(_squeezed, v.split())) for k, v in LEXICONS.items()}
+_ALL = frozenset(w for k in ("insults", "animals") for w in _STEMS[k] if len(w) > 3)
+_BONES = {b: w for w in sorted(_ALL) if len(b := _VOWELS.sub("", w)) >= 3}
 #: A word with a sign in place of a letter, or between letters, leaves two pieces behind.
-_BROKEN = {(w[:i], w[i + k :]) for w in _ALL if len(w) >= 5 for i in range(1, len(w)) for k in (0, 1) if w[i + k :]}
-_FIRST = {w[:4] for w in _STEMS}
-_ADDRESS = frozenset(ADDRESS)
-_SHORT_FIRST = {w[:3] for w in _SHORT}
+_BROKEN = frozenset((w[:i], w[i + k :]) for w in _ALL if len(w) >= 5 for i in range(1, len(w)) for k in (0, 1) if w[i + k :])
+
+
+#: First three letters -> (lexicon, stem, whether it takes only endings of names and persons).
+_FIRST: dict[str, list[tuple[int, str, bool]]] = {}
+for _k, _name in enumerate(_KINDS):
+    for _s in _STEMS[_name]:
+        _FIRST.setdefault(_s[:3], []).append((_k, _s, _name == "animals" or len(_s) <= 3))
+
+
+@lru_cache(1 << 16)
+def _kind(w: str) -> int:
+    """Number of the lexicon whose stem the word has, -1 for none."""
+    for k, s, short in _FIRST.get(w[:3], ()):
+        if w.startswith(s) and (not short or _ENDING.fullmatch(w[len(s) :])):
+            return k
+    return -1
+
+
+def _whole(a: str, b: str) -> str | None:
+    """The lexicon word whose pieces a and b are, one letter missing at most."""
+    if len(a) + len(b) < 4:
+        return None
+    return next((w for w in _ALL if w.startswith(a) and w.endswith(b) and len(w) - len(a) - len(b) in (0, 1)), None)
+
+
+def folded(text: str) -> str:
+    """Lower case without Turkish accents; i, ı, İ and I are one letter."""
+    low = text.replace("İ", "i").lower()
+    if not low.isascii():
+        for a, b in _PLAIN:
+            low = low.replace(a, b)
+    return low
+
+
+def words(text: str | None) -> tuple[list[str], int, int, float]:
+    """(folded words, how many were disguised, how many stood in pieces, share of signs): doubled letters once, letters in place of
+    digits and signs, letters apart as one word, lexicon words whole whose vowels or one letter are missing."""
+    raw = folded(plain_rewriter()(text)) if text else ""
+    tokens = _TOKEN.findall(raw)
+    visible = sum(map(len, raw.split()))
+    signs = (visible - sum(map(len, tokens))) / max(1, visible)
+    out: list[str] = []
+    hidden, pieces, run = 0, 0, ""
+    for w in [*_TOKEN.findall(_squeezed(raw)), ""]:
+        if w and not w.isalpha():
+            if _MIXED.search(w) and sum(map(str.isalpha, w)) >= 2:
+                hidden += 1
+                w = _squeezed(w.translate(_LEET))
+            w = "0" if w.isdigit() else "".join(filter(str.isalnum, w))
+        if len(w) == 1 and w.isalpha():
+            run += w
+            continue
+        if run:
+            apart = len(run) > 2
+            pieces += apart
+            out += [_squeezed(run)] if apart else list(run)
+            run = ""
+        if not w:
+            continue
+        if out and (out[-1], w) in _BROKEN and (whole := _whole(out[-1], w)):
+            out[-1] = whole
+            pieces += 1
+        elif len(w) > 2 and w in _BONES and not _VOWELS.search(w):
+            out.append(_BONES[w])
+            pieces += 1
+        else:
+            out.append(w)
+    return out, hidden, pieces, signs
 
 
-def _has(text: str, phrases: Iterable[str]) -> int:
-    return sum(p in text for p in phrases)
+NAMES = (
+    *(f"{k}_density" for k in _KINDS), *(f"{k}_near_you" for k in _KINDS), "address_density", "top_weight", "top_three", "telling_density",
+    "mean_weight", "top_pair", "top_three_pairs", "telling_pairs", "weight_near_you", "capitals", "punctuation", "exclamations", "disguised_density", "pieces_density",
+)
 
 
-def features(text: str | None) -> list[float]:
-    """The dense features; of an empty text all 0."""
-    raw = plain_rewriter()(text) if text else ""
-    folded = raw.translate(_FOLD).lower()
-    words, hidden = [], 0
-    for m in _TOKEN.finditer(folded):
-        w = m[0]
-        if not w.isalpha():
-            if re.search(r"[a-z][013457@$!]|[013457@$!][a-z]", w) and sum(c.isalpha() for c in w) >= 2:
-                hidden += 1
-                w = w.translate(_LEET)
-            w = re.sub(r"[^a-z0-9]", "", w)
-        words.append(_squeezed(w) if w else "x")
-    flat = " " + " ".join(words) + " "
-    n = max(1, len(words))
-    hits, disguised, doubtful = [], 0, []
-    for i, w in enumerate(words):
-        if w[:4] in _FIRST and any(w.startswith(s) for s in _STEMS):
-            hits.append(i)
-        elif w in _SHORT or (len(w) > 4 and w[:3] in _SHORT_FIRST and any(w.startswith(s) and _ENDING.fullmatch(w[len(s) :]) for s in _SHORT)):
-            doubtful.append(i)
-        elif not _VOWELS.search(w) and w in _BONES:
-            hits.append(i)
-            disguised += 1
-        if i and (words[i - 1], w) in _BROKEN and len(words[i - 1]) + len(w) >= 4 and (len(w) <= 2 or len(words[i - 1]) <= 2 or not w.isdigit()):
-            hits.append(i)
-            disguised += 1
-    single = sum(len(w) == 1 for w in words)
-    for run in "".join(w if len(w) == 1 else " " for w in words).split() if single > 2 else ():
-        run = _squeezed(run)
-        if run in _SHORT or (len(run) >= 4 and any(s in run for s in _ALL)):
-            hits.append(0)
-            disguised += 1
-    if " geri zekali" in flat:
-        hits.append(0)
-    address = [i for i, w in enumerate(words) if w in _ADDRESS or (len(w) > 6 and w.endswith(("siniz", "sunuz")))]
-    near = sum(any(abs(i - j) <= 4 for j in address) for i in (*hits, *doubtful))
-    frames = sum(f" {p}" in flat for p in FRAMES)
-    threats, leads, hate, groups = (_has(flat, x) for x in (_T, _L, _H, _G))
-    slights, sexual, innocent = (_has(flat, x) for x in (_S, _X, _I))
-    visible = max(1, len(raw) - len(_BLANK.findall(raw)))
-    lexicon = 2 * len(hits) + (0 if innocent else len(doubtful)) + 2 * (threats + slights + sexual) + 3 * hate + frames
+def units(ws: list[str]) -> tuple[list[str], list[str]]:
+    """Stems and pairs of neighbouring ones."""
+    stems = [w[:STEM] for w in ws]
+    return stems, [f"{a} {b}" for a, b in zip(stems, stems[1:])]
+
+
+def weighed(rows: list[tuple[list[str], list[str]]], labels: np.ndarray) -> dict[str, float]:
+    """Log odds of words and pairs in abusive against other labelled rows."""
+    a, b = Counter(), Counter()
+    for us, y in zip(rows, labels):
+        (a if y else b).update({u for part in us for u in part})
+    pos, neg = float(labels.sum()), float(len(labels) - labels.sum())
+    return {u: float(np.log((a[u] + PRIOR) / (pos + 1)) - np.log((b[u] + PRIOR) / (neg + 1))) for u in {*a, *b} if a[u] + b[u] >= SUPPORT}
+
+
+def features(text: str | None, found: tuple[list[str], int, int, float], weights: dict[str, float]) -> list[float]:
+    """The dense features of a text and its words(); of an empty text all 0."""
+    ws, hidden, pieces, signs = found
+    n = max(1, len(ws))
+    address = [i for i, w in enumerate(ws) if w in ADDRESS or (len(w) > 6 and w.endswith(("siniz", "sunuz")))]
+    near = {j for i in address for j in range(i - NEAR, i + NEAR + 1)}
+    count, close = [0] * len(_KINDS), [0.0] * len(_KINDS)
+    for i, k in enumerate(map(_kind, ws)):
+        if k >= 0:
+            count[k] += 1
+            close[k] += i in near
+    one, two = ([weights.get(u, 0.0) for u in us] for us in units(ws))
+    top, top2 = sorted(one, reverse=True)[:3] or [0.0], sorted(two, reverse=True)[:3] or [0.0]
+    raw = text or ""
     return [
-        float(lexicon), float(len(hits)), len(hits) / n, float(len(doubtful)), float(disguised), float(len(address)), float(near),
-        float(frames), float(threats), float(leads), float(hate), float(groups), float(min(hate, groups)), float(slights),
-        float(sexual), float(innocent), float(len(doubtful) if not innocent else 0),
-        0.0 if raw.islower() else sum(map(str.isupper, raw)) / visible, len(_SIGN.findall(raw)) / visible,
-        float(raw.count("!")), hidden / n, single / n, float(n),
+        *(c / n for c in count), *close, len(address) / n, top[0], sum(top), sum([x > TELLING for x in one]) / n, sum(one) / n, top2[0], sum(top2),
+        float(sum([x > TELLING for x in two])), max([one[i] for i in near if 0 <= i < len(one)], default=0.0),
+        0.0 if raw.islower() else sum(map(str.isupper, raw)) / max(1, len(raw)), signs, float(raw.count("!")), hidden / n, pieces / n,
     ]
 
 
-_T, _L, _H, _G, _S, _X, _I = ([" ".join(map(_squeezed, p.split(" "))) for p in x] for x in (THREATS, LEADS, HATE, GROUPS, SLIGHTS, SEXUAL, INNOCENT))
-FRAMES = [" ".join(map(_squeezed, p.split(" "))) for p in FRAMES]
-
-
 class Trees:
     """Gradient-boosted regression trees on the logistic loss, with binned features."""
 
@@ -185,13 +212,12 @@ class Trees:
         return j, float(cuts[j][k]), self._grow(b, g, h, cuts, rows[left], depth - 1), self._grow(b, g, h, cuts, rows[~left], depth - 1)
 
     def _value(self, tree: tuple, x: np.ndarray) -> np.ndarray:
-        if len(tree) == 1:
-            return np.full(len(x), tree[0])
-        j, cut, a, b = tree
-        left = x[:, j] <= cut
-        out = np.empty(len(x))
-        out[left], out[~left] = self._value(a, x[left]), self._value(b, x[~left])
-        return out
+        """Of each row: down a complete binary tree, laid out level by level."""
+        feature, cut, leaf = _complete(tree)
+        at, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        for _ in range(DEPTH):
+            at = 2 * at + 1 + (x[rows, feature[at]] > cut[at])
+        return leaf[at - len(feature)]
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
@@ -200,6 +226,16 @@ class Trees:
         return out
 
 
+def _complete(tree: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, cut, leaf values) of a tree filled up to DEPTH; a node that has no cut sends everything left."""
+    feature, cut, level = [], [], [tree]
+    for _ in range(DEPTH):
+        feature += [t[0] if len(t) > 1 else 0 for t in level]
+        cut += [t[1] if len(t) > 1 else np.inf for t in level]
+        level = [x for t in level for x in (t[2:] if len(t) > 1 else (t, t))]
+    return np.array(feature, dtype=np.int64), np.array(cut), np.array([t[0] for t in level])
+
+
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: increasing (margin, probability) knots."""
     blocks: list[list[float]] = []
@@ -212,23 +248,28 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Classifier:
-    """Trees and their calibration."""
+    """Weights of words, trees and their calibration."""
 
     def __init__(self, texts: list[str | None], labels: list[int]) -> None:
-        x = np.array([features(t) for t in texts]) if texts else np.zeros((0, len(NAMES)))
         y = np.array(labels, dtype=float)
-        self.trees = Trees().fit(x, y)
+        found = [words(t) for t in texts]
+        rows = [units(f[0]) for f in found]
+        fold = np.arange(len(y)) % min(FOLDS, max(2, len(y) // 2))
+        x = np.zeros((len(y), len(NAMES)))
+        for k in set(fold.tolist()):  # a row's own label never weighs its words
+            w = weighed([r for r, f in zip(rows, fold) if f != k], y[fold != k])
+            for i in np.flatnonzero(fold == k):
+                x[i] = features(texts[i], found[i], w)
+        self.weights, self.trees = weighed(rows, y), Trees().fit(x, y)
         held = np.zeros(len(y))
-        folds = min(FOLDS, max(2, len(y) // 2))
-        for k in range(folds if len(y) > 3 else 0):
-            out = np.arange(len(y)) % folds == k
-            held[out] = Trees().fit(x[~out], y[~out]).margin(x[out])
+        for k in set(fold.tolist()) if len(y) > 3 else ():
+            held[fold == k] = Trees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
         self.knots = isotonic(held, y) if len(y) > 3 else (np.array([0.0]), np.array([0.0]))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        m = self.trees.margin(np.array([features(t) for t in texts]))
+        m = self.trees.margin(np.array([features(t, words(t), self.weights) for t in texts]))
         return np.interp(m, *self.knots)
 
 
