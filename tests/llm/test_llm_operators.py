@@ -208,10 +208,44 @@ def test_score_is_smith_waterman(seed):
 def test_changed_words_count_as_covered(size, stretch, changed):
     item = [f"kelime{i}" for i in range(size)]
     text = ["başka" if i in (changed or ()) else w for i, w in enumerate(item[:stretch])]
-    got = leaks.Index([(1, " ".join(item))], {}).leaks(" ".join(["önce"] * 30 + text + ["sonra"] * 30))
+    got = leaks.Index([(1, " ".join(item))]).leaks(" ".join(["önce"] * 30 + text + ["sonra"] * 30))
     assert [i for i, _ in got] == ([1] if changed is not None else [])
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 13, 14, 17, 20, 31, 48, 67])
+def test_half_of_an_item_is_found(size):
+    """Short items too, at every place, also where the corpus is full of their n-grams."""
+    item = [f"kelime{i}" for i in range(size)]
+    index = leaks.Index([(1, " ".join(item)), (2, "başka bir metin daha var burada")])
+    rng = np.random.default_rng(size)
+    index.rank({n: rng.integers(0, 9, len(g[0])) for n, g in index.grams.items()})
+    half = -(-size // 2)
+    for at in range(size - half + 1):
+        assert [i for i, _ in index.leaks(" ".join(["önce"] * 9 + item[at : at + half] + ["sonra"] * 9))] == [1]
+    assert index.leaks(" ".join(["önce"] * 9)) == [] and (size < 5 or index.leaks(" ".join(["önce"] * 9 + item[: half - 2])) == [])
+
+
+@pytest.mark.parametrize("size", [24, 31, 40, 50, 67])
+@pytest.mark.parametrize("every", [4, 5, 7])
+def test_changed_words_leave_a_seed(size, every):
+    """Each fourth word changed or less often, all n-grams but the rarest common in the corpus."""
+    item = [f"kelime{i}" for i in range(size)]
+    index = leaks.Index([(1, " ".join(item))])
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        index.rank({n: rng.permutation(len(g[0])) for n, g in index.grams.items()})
+        for first in range(every):
+            text = [w if (i + first) % every else "başka" for i, w in enumerate(item)]
+            assert [i for i, _ in index.leaks(" ".join(["önce"] * 20 + text + ["sonra"] * 20))] == [1]
+
+
+def test_bound_holds():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        a, b = rng.integers(0, 9, rng.integers(1, 30)), rng.integers(0, 12, rng.integers(0, 40))
+        assert leaks.bound(a, b) >= leaks.score(a, b)
+
+
 def test_leaked(spark):
     rng = np.random.default_rng(3)
     vocab = [f"kelime{i}" for i in range(3000)]

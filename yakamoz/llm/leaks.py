@@ -1,17 +1,19 @@
 """Evaluation items that leak into a corpus, in whole or in part.
 
-Seeds are word n-grams of the items. Their document frequencies are counted over the whole corpus; of any STEP consecutive
-n-grams of an item the rarest is a seed, so an unchanged run of N + STEP - 1 words always holds one. A document that holds a
-seed meets the item; the pair goes on if n-grams of the item lie close enough to one diagonal of the alignment, and the
-item words that its best Smith-Waterman alignment (words; match 1, change or gap -1) spans decide. The item table is the query side and is fixed: its index
-is broadcast after a check of its size. The corpus is scanned, never shuffled.
+Seeds are word n-grams of the items, numbered by two look-ups (words, then pairs). A leak keeps a least number of an item's
+n-grams (``least``, from the item's length and the decision below), so all of them but the ones most frequent in the corpus,
+one less than that number, are seeds: whatever leaks holds a rare one. Document frequencies are counted over the whole
+corpus. A document that holds a seed meets the item; the pair goes on if enough n-grams of the item lie close to one diagonal
+of the alignment, and the item words that its best Smith-Waterman alignment (words; match 1, change or gap -1) spans decide.
+The item table is the query side and is fixed: its index is broadcast after a check of its size. The corpus is scanned, never
+shuffled.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,26 +21,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a seed; consecutive n-grams of which one is a seed at least; width of a band of diagonals.
-N, STEP, BAND = 3, 3, 8
+#: Words of a seed of a long item; items of PAIRS words or less are sought by pairs, of two or one by words; width of a band of
+#: diagonals.
+N, PAIRS, BAND = 3, 12, 8
 #: Least span of the alignment, as a part of the item's words, and its least score, as a part of the span: a word in six changed.
 #: A longer stretch may have more changes, as long as its score is NET of the item's words.
 SPAN, SCORE, NET = 0.5, 2 / 3, 0.45
-#: Least n-grams within a band: s words with c changed have s - 2 - 3c; of all that can be leaks, whole items of score NET have least.
-BAND_SHARE, BAND_LESS, BAND_LEAST = 0.175, 2, 1
 #: Items whose index may be broadcast.
 MAX_ITEMS = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.combining(chr(c))) + "]+")
+_PLAIN = tuple(zip("ığüşöç", "igusoc"))
 
 
 def words(text: str | None) -> list[str]:
     """Words in lower case without accents; i, ı, İ and I are one letter."""
     if not text:
         return []
-    low = unicodedata.normalize("NFKD", text.replace("İ", "i").replace("I", "i").lower().replace("ı", "i"))
-    return _WORD.findall(low if low.isascii() else _MARKS.sub("", low))
+    low = text.replace("İ", "i").lower()
+    if not low.isascii():
+        for a, b in _PLAIN:  # the usual ones; the rest is decomposed
+            low = low.replace(a, b)
+        if not low.isascii():
+            low = _MARKS.sub("", unicodedata.normalize("NFKD", low).lower().replace("ı", "i"))
+    return _WORD.findall(low)
+
+
+def size_of_seed(length: int) -> int:
+    return N if length > PAIRS else min(2, -(-length // 2))
+
+
+def least(length: int) -> int:
+    """Fewest n-grams that a leak of an item of so many words keeps, insertions aside: s words with c changed have s - n + 1 - nc or
+    more, and the decision allows c up to s / 6 from half of the words on, or (s - NET * length) / 2."""
+    n = size_of_seed(length)
+    half = -(-length // 2)
+    part = half - n + 1 - n * half * (1 - SCORE) / 2
+    whole = min(s - n + 1 - n * (s - NET * length) / 2 for s in (half, length))
+    return max(1, int(np.ceil(min(part, whole) - 1e-9)))
+
+
+def bound(a: np.ndarray, b: np.ndarray) -> int:
+    """At least the score: a word of ``a`` that ``b`` hasn't costs 1 within an alignment, one that it has gives 1 at most."""
+    own = np.sort(b)
+    has = own[np.minimum(np.searchsorted(own, a), len(own) - 1)] == a if len(own) else np.zeros(len(a), dtype=bool)
+    total = np.zeros(len(a) + 1, dtype=np.int64)
+    np.cumsum(2 * has - 1, out=total[1:])
+    return int((total - np.minimum.accumulate(total)).max())
 
 
 def score(a: np.ndarray, b: np.ndarray) -> int:
@@ -75,58 +105,100 @@ def span(a: list[int], b: list[int]) -> tuple[int, int]:
 
 
 class Index:
-    """Seeds and n-grams of the items."""
+    """N-grams of the items and where they stand."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[str, int]) -> None:
+    def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids = [i for i, _ in items]
-        self.words = [words(t) for _, t in items]
         self.number: dict[str, int] = {}
-        self.coded = [np.array([self.number.setdefault(w, len(self.number)) for w in ws], dtype=np.int32) for ws in self.words]
-        at: dict[str, list[tuple[int, int]]] = defaultdict(list)  # n-gram -> (item, place in it)
-        self.seeds: dict[str, list[int]] = defaultdict(list)
-        self.least = np.array([max(BAND_LEAST, BAND_SHARE * len(ws) - BAND_LESS) for ws in self.words])
-        for k, ws in enumerate(self.words):
-            grams = [" ".join(ws[p : p + N]) for p in range(len(ws) - N + 1)]
-            for p, g in enumerate(grams):
-                at[g].append((k, p))
-            spots = range(max(1, len(grams) - STEP + 1))
-            for g in {min(grams[p : p + STEP], key=lambda g: (frequency.get(g, 0), g)) for p in spots if grams}:
-                self.seeds[g].append(k)
-        #: n-gram -> start and length of its entries in ``item`` and ``place``.
-        self.postings, n = {}, 0
-        for g, own in at.items():
-            self.postings[g] = (n, len(own))
-            n += len(own)
-        flat = np.array([x for own in at.values() for x in own], dtype=np.int64).reshape(-1, 2)
-        self.item, self.place = flat[:, 0].copy(), flat[:, 1].copy()
+        self.coded = [np.array([self.number.setdefault(w, len(self.number)) for w in words(t)], dtype=np.int64) for _, t in items]
+        self.base = len(self.number) + 1
+        self.pairs = np.unique(np.concatenate([np.empty(0, np.int64), *(c[:-1] * self.base + c[1:] for c in self.coded)]))
+        lengths = [len(c) for c in self.coded]
+        self.least = np.array([least(n) for n in lengths], dtype=np.int64)
+        of: dict[int, list[int]] = defaultdict(list)  # items by size of their n-grams
+        for k, n in enumerate(lengths):
+            if n:
+                of[size_of_seed(n)].append(k)
+        #: size -> (sorted n-grams, start of each one's postings, their item, their place, whether they are seeds).
+        self.grams: dict[int, tuple[np.ndarray, ...]] = {}
+        for n, own in of.items():
+            codes = [self._codes(self.coded[k], n) for k in own]
+            flat = np.concatenate(codes)
+            item = np.repeat(own, [len(c) for c in codes])
+            place = np.concatenate([np.arange(len(c)) for c in codes])
+            order = np.argsort(flat, kind="stable")
+            keys, start = np.unique(flat[order], return_index=True)
+            self.grams[n] = keys, np.append(start, len(flat)), item[order], place[order], np.ones(len(flat), dtype=bool)
+
+    def _codes(self, c: np.ndarray, n: int) -> np.ndarray:
+        """Numbers of the n-grams of a row of word numbers; -1 for those that no item has."""
+        if n == 1 or len(c) < n:
+            return c[: max(0, len(c) - n + 1)]
+        pair = np.where((c[:-1] < 0) | (c[1:] < 0), -1, c[:-1] * self.base + c[1:])
+        if n == 2:
+            return pair
+        at = self._find(self.pairs, pair)[:-1]
+        return np.where((at < 0) | (c[2:] < 0), -1, at * self.base + c[2:])
+
+    @staticmethod
+    def _find(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Places of the codes in the sorted keys, -1 for those that aren't there."""
+        if not len(keys):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+        return np.where(keys[at] == codes, at, -1)
+
+    def code(self, text: str | None) -> np.ndarray:
+        get = self.number.get
+        return np.array([get(w, -1) for w in words(text)], dtype=np.int64)
+
+    def held(self, coded: np.ndarray, n: int) -> np.ndarray:
+        """For each n-gram of a text its place among the items' ones, or -1."""
+        return self._find(self.grams[n][0], self._codes(coded, n))
+
+    def rank(self, frequency: dict[int, np.ndarray]) -> None:
+        """Seeds by the documents that hold each n-gram: of each item all but the most frequent least - 1 places."""
+        for n, (_, start, item, _, seed) in self.grams.items():
+            count = np.diff(start)
+            gram = np.repeat(np.arange(len(count)), count)
+            order = np.lexsort((gram, -frequency[n][gram], item))
+            first = np.concatenate([[True], item[order][1:] != item[order][:-1]]) if len(order) else np.empty(0, bool)
+            nth = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+            dropped = nth < self.least[item[order]] - 1
+            # an n-gram that an item has several times is dropped as a whole or not at all
+            pair = item[order] * (len(count) + 1) + gram[order]
+            kept = np.unique(pair[~dropped])
+            seed[order] = ~dropped | np.isin(pair, kept)
 
     def leaks(self, text: str | None) -> list[tuple[int, float]]:
         """(item id, score as a part of the item's words) of the items that the text gives away."""
-        ws = words(text)
-        grams = [" ".join(ws[p : p + N]) for p in range(len(ws) - N + 1)]
-        met = {k for g in grams if g in self.seeds for k in self.seeds[g]}
-        if not met:
-            return []
-        spots = np.array([(p, *self.postings[g]) for p, g in enumerate(grams) if g in self.postings], dtype=np.int64)
-        size = spots[:, 2]
-        at = np.repeat(spots[:, 1] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        wanted = np.zeros(len(self.ids), dtype=bool)
-        wanted[list(met)] = True
-        item, diagonal = self.item[at], np.repeat(spots[:, 0], size) - self.place[at]
-        keep = wanted[item]
-        shift = 1 << 40
-        keys, n = np.unique(item[keep] * shift + diagonal[keep] // BAND + shift // 2, return_counts=True)
-        item = keys // shift
-        both = n.copy()  # a band and the next one
-        both[:-1] += np.where(keys[1:] == keys[:-1] + 1, n[1:], 0)
+        coded = self.code(text)
         found: dict[int, list[int]] = defaultdict(list)
-        for x in np.flatnonzero(both >= self.least[item]):
-            found[int(item[x])].append(int(keys[x] % shift - shift // 2))
-        coded, out = None, []
+        for n, (_, start, item, place, seed) in self.grams.items():
+            held = self.held(coded, n)
+            spot = np.flatnonzero(held >= 0)
+            if not len(spot):
+                continue
+            size = (start[1:] - start[:-1])[held[spot]]
+            at = np.repeat(start[held[spot]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            own = item[at]
+            met = np.zeros(len(self.ids), dtype=bool)
+            met[own[seed[at]]] = True
+            met &= np.bincount(own, minlength=len(met)) >= self.least
+            keep = met[own]
+            if not keep.any():
+                continue
+            diagonal = np.repeat(spot, size) - place[at]
+            shift = 1 << 32
+            keys, count = np.unique(own[keep] * shift + diagonal[keep] // BAND + shift // 2, return_counts=True)
+            own = keys // shift
+            both = count.copy()  # a band and the next one
+            both[:-1] += np.where(keys[1:] == keys[:-1] + 1, count[1:], 0)
+            for x in np.flatnonzero(both >= self.least[own]):
+                found[int(own[x])].append(int(keys[x] % shift - shift // 2))
+        out = []
         for k, good in sorted(found.items()):
-            size = len(self.words[k])
-            if coded is None:
-                coded = np.array([self.number.get(w, -1) for w in ws], dtype=np.int32)
+            size = len(self.coded[k])
             top, spans, leak = 0, [], False
             for b in sorted(good):  # each band with room for words put in or left out; those that touch are one
                 lo, hi = max(0, (b - 1) * BAND), (b + 3) * BAND + size
@@ -135,43 +207,56 @@ class Index:
                 else:
                     spans.append([lo, hi])
             for lo, hi in spans:
+                if bound(self.coded[k], coded[lo:hi]) < min(NET, SPAN * SCORE) * size:
+                    continue
                 s = score(self.coded[k], coded[lo:hi])
                 top = max(top, s)
-                if s >= NET * size:
+                if s >= SPAN * size:
                     leak = True
                 elif not leak and s >= SPAN * SCORE * size:
                     s, wide = span(self.coded[k].tolist(), coded[lo:hi].tolist())
-                    leak = wide >= SPAN * size and s >= SCORE * wide
+                    leak = wide >= SPAN * size and s >= min(SCORE * wide, NET * size)
             if leak:
                 out.append((self.ids[k], top / size))
         return out
 
 
+def frequencies(texts: DataFrame, index: Index) -> dict[int, np.ndarray]:
+    """By size, the number of documents that hold each of the items' n-grams: one number for each at most, whatever the corpus."""
+    shared = texts.sparkSession.sparkContext.broadcast(index)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for b in batches:
+            coded = [index.code(t) for t in b.column(0).to_pylist()]
+            out = []
+            for n in index.grams:
+                got = [x[x >= 0] for x in (np.unique(index.held(c, n)) for c in coded)]
+                g, k = np.unique(np.concatenate([np.empty(0, np.int64), *got]), return_counts=True)
+                out.append((np.full(len(g), n), g, k))
+            cols = [np.concatenate(c) for c in zip(*out)] or [np.empty(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["s", "g", "n"])
+
+    total = {n: np.zeros(len(g[0]), dtype=np.int64) for n, g in index.grams.items()}
+    for r in texts.select("text").mapInArrow(count, "s int, g bigint, n bigint").groupBy("s", "g").agg(F.sum("n").alias("n")).collect():
+        total[r.s][r.g] = r.n
+    return total
+
+
 def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(``doc_id``, ``item_id``, ``score``): each document and item where half of the item's words or more stand in the document
     in a connected stretch, a few changed words apart.
 
-    Null and empty texts and items of fewer than N words match nothing; long texts are read whole; repeated documents give
-    repeated rows; empty tables give an empty result; further columns are ignored. More than MAX_ITEMS items: ValueError.
+    Null and empty texts and items without a word match nothing; long texts are read whole; repeated documents give repeated
+    rows; empty tables give an empty result; further columns are ignored. More than MAX_ITEMS items: ValueError.
     """
     rows = items.select(F.col(item).cast("int"), item_text).where(F.col(item_text).isNotNull()).limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items")
-    known = sorted((r[0], r[1]) for r in rows)
     texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(column).alias("text"))
-    wanted = frozenset(" ".join(ws[p : p + N]) for ws in (words(t) for _, t in known) for p in range(len(ws) - N + 1))
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                ws = words(t)
-                total.update({g for p in range(len(ws) - N + 1) if (g := " ".join(ws[p : p + N])) in wanted})
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["g", "n"])
-
-    # at most one number for each n-gram of the items
-    frequency = {r.g: r.n for r in texts.select("text").mapInArrow(count, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(Index(known, frequency))
+    index = Index(sorted((r[0], r[1]) for r in rows if words(r[1])))
+    index.rank(frequencies(texts, index))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
