@@ -1,9 +1,11 @@
 """Copies hidden by formatting: Merkle digests of records whose leaves are normalised.
 
 A post is a tree. One that is written wholly as fields of label and value is an unordered node: its children are fields
-(an ordered pair of two leaves) and its digest is that of their sorted digests. Any other post is a leaf. Leaves keep
-letters, digits and emoji of the consistent form, in lower case, with all letters i as one. Rows group by root digest; the
-rows of a group are compared in full with its first row.
+(an ordered pair of a leaf and a value) and its digest is that of their sorted digests. A value in brackets that is written
+as fields is such a node again, to any depth. Any other text is a leaf. Leaves keep letters, digits and emoji of the
+consistent form, in lower case, with all letters i as one. Digests go bottom-up. Rows group by root digest; the rows of a
+group are compared in full with its first row. Which member of a look-alike class stays plays no part in what is equal, so
+the classes' fixed representatives do and no counts of the corpus are needed.
 """
 
 from __future__ import annotations
@@ -18,13 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yakamoz.llm.lookalikes import count_members, representatives, rewriter
+from yakamoz.llm.lookalikes import plain_rewriter
 from yakamoz.runtime import cut
 
 #: Texts with fewer letters and digits are no copies of anything.
 LEAST = 10
-_FIELD = re.compile(r"^[\W_]*([^\W\d_][^:=|;\n]{0,39}?)\s*[:=]\s*(.*\S.*)$", re.S)
-_SEPARATORS = re.compile(r"[|;\r\n]+")
+#: Nodes within each other; a value deeper than that is a leaf.
+MAX_DEPTH = 200
+#: A label has a letter; the sign after it is neither that of a time or a ratio nor of an address.
+_FIELD = re.compile(r"[\W_]*([^\W\d_](?:[^:=]|(?<=\d):(?=\d)|:(?=//))*?)(?:(?<!\d):(?!//)|:(?![\d/])|=)(.*\S.*)", re.S)
+_OPEN, _CLOSE = "([{", ")]}"
+_SEPARATORS = frozenset("|;\r\n\v\f\x85\u2028\u2029")
 
 
 @lru_cache(1 << 16)
@@ -49,19 +55,36 @@ def leaf(text: str) -> str:
     return low.translate(_KEEP)
 
 
-def fields(text: str) -> list[tuple[str, str]] | None:
-    """(label, value) of a post that consists of two or more fields and nothing else, in its order; else None."""
-    parts = [p for p in _SEPARATORS.split(text) if p.strip()]
-    if len(parts) < 2:
+def _parts(text: str) -> list[str]:
+    """Between separators that stand outside of brackets; brackets that don't match count as signs."""
+    depth, at, out, open_ = 0, 0, [], []
+    for i, c in enumerate(text):
+        if c in _OPEN:
+            open_.append(c)
+        elif c in _CLOSE:
+            if not open_ or _OPEN.index(open_.pop()) != _CLOSE.index(c):
+                open_ = None
+                break
+        elif c in _SEPARATORS and not open_:
+            out.append(text[at:i])
+            at = i + 1
+    if open_ is None or open_:
+        return [p for p in "".join("\n" if c in _SEPARATORS else c for c in text).split("\n") if p.strip()]
+    return [p for p in (*out, text[at:]) if p.strip()]
+
+
+def fields(text: str, least: int = 2) -> list[tuple[str, str]] | None:
+    """(label, value) of a text that consists of ``least`` or more fields and nothing else, in its order; else None."""
+    if ":" not in text and "=" not in text:
+        return None
+    parts = _parts(text)
+    if len(parts) < least:
         return None
     out = []
     for p in parts:
-        if not (m := _FIELD.match(p.strip())):
-            return None
-        label, value = leaf(m[1]), leaf(m[2])
-        if not label or len(m[1].split()) > 3:
+        if not (m := _FIELD.fullmatch(p.strip())) or not leaf(m[1]):
             return None
-        out.append((label, value))
+        out.append((leaf(m[1]), m[2]))
     return out
 
 
@@ -71,22 +94,30 @@ def _digest(tag: bytes, *children: bytes) -> bytes:
 
 def tree(text: str) -> tuple[bytes, str]:
     """Root digest and the whole normalised record, in the order in which digests were sorted."""
-    got = fields(text)
+    return _node(text, fields(text))
+
+
+def _node(text: str, got: list[tuple[str, str]] | None, depth: int = 0) -> tuple[bytes, str]:
     if got is None:
         s = leaf(text)
         return _digest(b"text", s.encode()), s
-    nodes = sorted((_digest(b"field", _digest(b"text", a.encode()), _digest(b"text", b.encode())), a, b) for a, b in got)
-    return _digest(b"fields", *(n[0] for n in nodes)), "\2".join(f"{a}\1{b}" for _, a, b in nodes)
+    nodes = []
+    for label, value in got:
+        v = value.strip()
+        inner = fields(v[1:-1], 1) if depth < MAX_DEPTH and len(v) > 2 and v[0] in _OPEN and v[-1] == _CLOSE[_OPEN.index(v[0])] else None
+        digest, record = _node(value, inner, depth + 1)
+        nodes.append((_digest(b"field", _digest(b"text", label.encode()), digest), f"{label}\1{record}"))
+    nodes.sort()
+    return _digest(b"fields", *(n[0] for n in nodes)), "\3" + "\2".join(r for _, r in nodes) + "\4"
 
 
 def records(df: DataFrame, key: str, column: str, short: bool = False) -> DataFrame:
     """(``id``, ``root``, ``record``) of every row with at least LEAST letters and digits; with ``short`` of the others too, whose
     root and record are null."""
     x = df.select(F.col(key).cast("bigint").alias("id"), F.col(column).alias("text"))
-    to = representatives(count_members(x.select("text")))
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = rewriter(to)
+        f = plain_rewriter()
         for b in batches:
             ids, roots, recs = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
