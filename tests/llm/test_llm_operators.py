@@ -68,6 +68,23 @@ def test_look_alike_pairs(spark):
     assert lookalikes.look_alike_pairs(df.limit(0), "id", "text").count() == 0
 
 
+def test_forms_and_classes(spark):
+    rows = [(1, "kafe", "x"), (2, "kаfe", "x"), (3, "kafe", "y"), (4, None, "x"), (5, " ", "x"), (6, "park", "x"), (6, "park", "x")]
+    df = frame(spark, rows, "id bigint, text string, scope string")
+    assert {(r.key, r.form) for r in lookalikes.forms(df, "id", "text").collect()} == {(1, "kafe"), (2, "kafe"), (3, "kafe"), (4, None), (5, " "), (6, "park")}
+    got = sorted(tuple(r) for r in lookalikes.look_alike_classes(df, "id", "text", tbl="t").collect())
+    assert got == [("t", 1, 1, 3, 2), ("t", 2, 1, 3, 2), ("t", 3, 1, 3, 2), ("t", 6, 6, 2, 1), ("t", 6, 6, 2, 1)]
+    apart = sorted((r.key, r.class_id, r.n_rows) for r in lookalikes.look_alike_classes(df, "id", "text", "scope").collect())
+    assert apart[:3] == [(1, 1, 2), (2, 1, 2), (3, 3, 1)] and lookalikes.look_alike_classes(df.limit(0), "id", "text").count() == 0
+
+
+def test_rewriting_goes_to_the_fixed_point():
+    chain = {chr(0x4E00 + i): chr(0x4E01 + i) for i in range(40)}
+    assert lookalikes.Rewriter(chain)(chr(0x4E00)) == chr(0x4E00 + 40)
+    turns = lookalikes.Rewriter({"x": "y", "y": "x"})
+    assert turns("x") == turns("y") == "x"
+
+
 def test_hot_form_costs_only_its_pairs(spark):
     df = spark.range(20_000).select("id", F.when(F.col("id") == 77, "kаfe").otherwise("kafe").alias("text"))
     assert lookalikes.look_alike_pairs(df, "id", "text").count() == 19_999
@@ -92,6 +109,27 @@ def test_copies(spark):
     assert twice == got
 
 
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [("Bir iki üç dört beş adı: Uzun Park | puan: 5", "PUAN = 5\nbir iki üç dört beş adı = uzun park", True), ("x" * 90 + ": bir; y: iki", "y: iki; " + "x" * 90 + ": bir", True),
+     ("yer: {il: Ankara; ilçe: Çankaya} | puan: 5", "puan: 5 | yer: {ilçe=Çankaya; il=Ankara}", True), ("yer: {il: a; alt: [x: 1; y: 2]} | p: 5", "p: 5 | yer: (alt: {y: 2; x: 1}; il: a)", True),
+     ("yer: {il: Ankara; ilçe: Çankaya} | puan: 5", "yer: {il: Çankaya; ilçe: Ankara} | puan: 5", False), ("yer: {il: a} | puan: 5", "yer: il a | puan: 5", False),
+     ("durum: kötü :( | yer: park", "yer: park | durum: kötü :(", True), ("açılış: 10:30 | kapanış: 22:00", "kapanış: 22:00; açılış: 10:30", True),
+     ("saat 10:30 da geldi\nsaat 11:45 te gitti", "saat 11:45 te gitti\nsaat 10:30 da geldi", False), ("bak https://a.example/x\nsonra https://b.example/y", "sonra https://b.example/y\nbak https://a.example/x", False)],
+)
+def test_trees(a, b, same):
+    assert (copies.tree(a) == copies.tree(b)) is same
+
+
+def test_deep_nesting():
+    text = "a: 1"
+    for _ in range(300):
+        text = f"a: {{{text}}}; b: 2"
+    assert copies.tree(text)[0] != copies.tree(text.replace("1", "3"))[0]
+    for long_ in ("a" + " " * 200_000 + "b\nc: d", "!" * 200_000, "a: " * 100_000 + "b\nc: d", "(" * 100_000 + "a: b; c: d", "a:\n" * 50_000):
+        assert copies.tree(long_)
+
+
 def test_collapsed_keeps_every_row(spark):
     rows = [(1, "+1"), (2, "+1"), (3, None), (4, " "), (5, "yok ya"), (6, "Otobüs yine geç kaldı!"), (7, "otobüs yine geç kaldı"), (8, "")]
     for d, n in ((SF, table(spark, SF, "posts_raw").count()), (None, 8)):

@@ -121,12 +121,16 @@ class Rewriter:
         return "".join((*out, text[at:]))
 
     def __call__(self, text: str) -> str:
-        for _ in range(8):  # a rewritten letter may compose with the accent after it, and so on; two or three rounds do
-            new = self._pass(unicodedata.normalize("NFC", text))
-            if new == text:
-                break
-            text = new
-        return text
+        new = self._pass(unicodedata.normalize("NFC", text))
+        if new == text:
+            return text
+        # a rewritten letter may compose with the accent after it, and so on to the fixed point; should forms ever take turns, the
+        # first of them in code order is theirs
+        seen = [text]
+        while new not in seen:
+            seen.append(new)
+            new = self._pass(unicodedata.normalize("NFC", new))
+        return min(seen[seen.index(new) :])
 
 
 @lru_cache(4)
@@ -205,3 +209,28 @@ def look_alike_pairs(df: DataFrame, key: str, column: str, scope: str | None = N
     left = apart.join(rows, ["k", "v"]).select("k", F.col("w").alias("v"), F.col("id").alias("one"))
     pairs = left.join(rows, ["k", "v"]).select(F.least("one", "id").alias("key_a"), F.greatest("one", "id").alias("key_b"))
     return pairs.where("key_a < key_b").select(F.lit(tbl).alias("tbl"), "key_a", "key_b")
+
+
+def look_alike_classes(df: DataFrame, key: str, column: str, scope: str | None = None, tbl: str = "") -> DataFrame:
+    """(``tbl``, ``key``, ``class_id``, ``n_rows``, ``n_values``): one row for each row with a value that isn't blank; rows (of the
+    same ``scope``) of one consistent form have one class, named by its smallest key, with its rows and different values.
+
+    The compact form of look_alike_pairs: it grows with the table, whatever the size of a class. Only digests are moved;
+    rows are counted by value before they are counted by form, each time before the shuffle.
+    """
+    x = df.select(
+        F.col(key).cast("bigint").alias("id"),
+        (F.coalesce(F.col(scope).cast("string"), F.lit("\0")) if scope else F.lit("")).alias("scope"), F.col(column).alias("value"),
+    )
+    form = consistent_form(x, "value", ["id", "scope", "value"], representatives(count_members(x.select("value"))))
+    keyed = cut(form.where(F.length(F.regexp_replace("form", r"(?U)\s+", "")) > 0).select(
+        "id", F.unhex(F.md5(F.concat_ws("\1", "scope", "form"))).alias("k"), F.unhex(F.md5("value")).alias("v")))
+    values = keyed.groupBy("k", "v").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    classes = values.groupBy("k").agg(F.min("class_id").alias("class_id"), F.sum("n").alias("n_rows"), F.count("*").alias("n_values"))
+    return keyed.join(classes, "k").select(F.lit(tbl).alias("tbl"), F.col("id").alias("key"), "class_id", "n_rows", "n_values")
+
+
+def forms(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(``key``, ``form``) of each row: its text in the consistent form, null where it is null. No shuffle."""
+    x = df.select(F.col(key).cast("bigint").alias("key"), F.col(column).alias("value"))
+    return consistent_form(x, "value", ["key"], representatives(count_members(x.select("value"))))

@@ -11,7 +11,7 @@ from yakamoz.llm.abuse import rates, scored
 from yakamoz.llm.canonical import mapped
 from yakamoz.llm.copies import collapsed, copies
 from yakamoz.llm.leaks import leaked
-from yakamoz.llm.lookalikes import look_alike_pairs
+from yakamoz.llm.lookalikes import forms, look_alike_classes, look_alike_pairs
 from yakamoz.llm.mixture import mix, shares
 from yakamoz.llm.personal import personal_items, personal_kinds
 from yakamoz.llm.quality import layouts, not_prose, statistics
@@ -83,6 +83,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return posts.union(look_alike_pairs(table(spark, d, "districts"), "district_id", "district", "province", tbl="districts"))
 
 
+@query
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    return forms(spread(table(spark, d, "posts_raw")), "_id", "text")
+
+
+@query
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    posts = look_alike_classes(spread(table(spark, d, "posts_raw")), "_id", "text", tbl="posts_raw")
+    return posts.union(look_alike_classes(table(spark, d, "districts"), "district_id", "district", "province", tbl="districts"))
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return copies(spread(table(spark, d, "posts_raw")))
