@@ -193,6 +193,19 @@ def test_items(text, kinds):
     assert sorted({k for _, _, k in finder().items(text)}) == kinds
 
 
+@pytest.mark.parametrize("size", [20, 118, 125, 200, 3000])
+def test_items_of_any_length_are_found(size):
+    long_ = "a" * size
+    assert [k for _, _, k in finder().items(f"yaz: {long_}@posta.example bekliyorum")] == ["email"]
+    assert [k for _, _, k in finder().items(f"yaz: ali@{long_}.example bekliyorum")] == ["email"]
+    assert [k for _, _, k in finder().items(f"evim {long_} sokak no 12")] == ["address"]
+    assert [k for _, _, k in finder().items("evim Lale" + " " * size + "sokak" + " " * size + "no 12")] == ["address"]
+    spelled = "yaz: ali [at] " + " [nokta] ".join(["posta"] * (size // 20 + 1)) + " [nokta] example"
+    assert finder().items(spelled) == [(5, len(spelled), "email")]
+    t = f"evim {long_.title()} Bahçesi Sokak No 12 arkada"
+    assert personal.masked(t, finder().items(t)) == "evim [ADDRESS] arkada"
+
+
 @pytest.mark.parametrize("text", ["kimliğim yedi iki üç dört altı bir sekiz dokuz iki üç yedi", "kimliğim yedi, beş, üç, dört, beş, bir, sekiz, dokuz, iki, üç, beş"])
 def test_spelled_numbers_without_zero(text):
     assert [k for _, _, k in finder().items(text)] == ["id"]

@@ -9,6 +9,7 @@ stand mostly there; they are counted over all distinct texts, so that copies of
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -27,8 +28,9 @@ LEAST_GIVEN, LEAST_PART = 2, 0.3
 COMMON = 0.003
 #: Learned names that may go to the tasks.
 MAX_NAMES = 2_000_000
-#: Characters around an anchor that its parser sees.
-REACH = 120
+#: Words to both sides of an anchor that its parser sees at first; twice as many each time that an item comes within EDGE words of the
+#: first or last of them.
+REACH, EDGE = 16, 4
 
 # Words next to a person's name that aren't part of it.
 TITLES = frozenset(
@@ -59,7 +61,8 @@ _STREET = re.compile(
     rf"(?:\b[^\W_]+|\d+)\.? +(?:sokak|sokagi|sok|sk|caddesi|cadde|cad|cd|bulvari|bulvar|bulv|blv)\b\.?[ ,:]*"
     rf"(?:(?:kapi )?(?:no|numara|nr)\b ?[.:]* ?)?(\d{{1,4}}(?: ?/ ?\w{{1,4}}\b)?){_UNITS}(?![\d.:]\d)\b"
 )
-_CAPITAL = re.compile(r"[A-ZÇĞİÖŞÜ][^\W\d_]+ +\Z")
+_TOKEN = re.compile(r"\S+")
+_CAPITAL = re.compile(r"[A-ZÇĞİÖŞÜ][^\W\d_]+")
 _FLAT = re.compile(r"(?: ?(?:kat|daire|k|d) ?[:.]? ?\d{1,3}\b)*")
 _GROUPS = re.compile(r"\d+")
 
@@ -92,6 +95,15 @@ def _phone_or_id(s: str, before: str) -> str | None:
     return None
 
 
+def _before(text: str, at: int) -> int | None:
+    """Start of the word with a capital that stands before ``at``, blanks between; None if there is none."""
+    end = len(text[:at].rstrip(" ")) if text[at - 1 : at] == " " else 0
+    start = end
+    while start and text[start - 1].isalpha():
+        start -= 1
+    return start if start < end and _CAPITAL.fullmatch(text, start, end) else None
+
+
 class Finder:
     """Finds items; knows the given and family names and the common words, all folded."""
 
@@ -123,17 +135,29 @@ class Finder:
         def free(a: int, b: int) -> bool:
             return all(b <= x or y <= a for x, y, _ in out)
 
+        tokens: list[int] = []  # starts of words between blanks
+
         def near(kind: str, rx: re.Pattern) -> Iterator[re.Match]:
-            """Matches of the local parser that hold an anchor of the kind, within reach of it."""
+            """Matches of the local parser that hold an anchor of the kind. It sees whole words around the anchor, of any length,
+            and more of them as long as what it finds reaches the first or the last."""
             done = -1
             for p in spots.get(kind, ()):
                 if p < done:
                     continue
-                for m in rx.finditer(t, max(0, p - REACH), p + REACH):
-                    if m.start() <= p < m.end() and m.start() >= done:
-                        yield m
-                        done = m.end()
+                if not tokens:
+                    tokens.extend(m.start() for m in _TOKEN.finditer(t))
+                at, reach = bisect_right(tokens, p), REACH
+                while True:
+                    first, last = max(0, at - reach), at + reach
+                    lo = tokens[first] if first < len(tokens) else 0
+                    hi = tokens[last] if last < len(tokens) else len(t)
+                    hit = next((m for m in rx.finditer(t, lo, hi) if m.start() <= p < m.end() and m.start() >= done), None)
+                    if hit is None or not (first and hit.start() <= tokens[first + EDGE] or last < len(tokens) and hit.end() >= tokens[last - EDGE]):
                         break
+                    reach *= 2
+                if hit:
+                    yield hit
+                    done = hit.end()
 
         for m in near("email", _EMAIL):
             at = m[1].strip()
@@ -146,8 +170,8 @@ class Finder:
                     out.append((*m.span(g), "id"))
             for m in near("street", _STREET):
                 a, b = m.span()
-                while (w := _CAPITAL.search(text, 0, a)) and a - w.start() < 25:  # the rest of the street's name
-                    a = w.start()
+                while (w := _before(text, a)) is not None:  # the rest of the street's name
+                    a = w
                 b = _FLAT.match(t, b).end()
                 if free(a, b):
                     out.append((a, b, "address"))
