@@ -1,16 +1,19 @@
 import json
+import threading
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from yakamoz import __main__ as cli
+from yakamoz import runtime
 from yakamoz.operators import aggregate as agg
 from yakamoz.operators import classify as cls
 from yakamoz.operators import html as page
 from yakamoz.operators import location as loc
 from yakamoz.operators import requests as req
 from yakamoz.operators import tables as tab
-from yakamoz.plans import geojson, pipeline
+from yakamoz.plans import geojson, pipeline, runs, sections
 from yakamoz.sources import readers
 from yakamoz.streaming.incremental import stream_posts, windowed_counts
 
@@ -62,10 +65,11 @@ def test_evaluation(spark):
     def stub():
         return lambda texts: [("NEGATIVE" if "kötü" in t.lower() or "berbat" in t.lower() else "POSITIVE", 0.9) for t in texts]
 
-    ev = cls.evaluated(spark.createDataFrame(SAMPLES, "item_id int, text string, label string"), stub, "item_id")
+    model = cls.Model(stub, "stub")
+    ev = cls.evaluated(spark.createDataFrame(SAMPLES, "item_id int, text string, label string"), model, "item_id")
     r = cls.scores_of(ev).first()
     assert (r.tp, r.tn, r.fp, r.fn, r.accuracy, r.macro_f1) == (2, 2, 0, 0, 1.0, 1.0) and cls.hardest_errors(ev, "item_id").count() == 0
-    wrong = cls.evaluated(spark.createDataFrame([(i, "kötü", "positive") for i in range(30)], "item_id int, text string, label string"), stub, "item_id")
+    wrong = cls.evaluated(spark.createDataFrame([(i, "kötü", "positive") for i in range(30)], "item_id int, text string, label string"), model, "item_id")
     assert [r.item_id for r in cls.first_errors(wrong, "item_id", 3).collect()] == [0, 1, 2] and cls.hardest_errors(wrong, "item_id").count() == 25
     empty = cls.scores_of(ev.limit(0)).first()
     assert (empty.accuracy, empty.macro_f1) == (0.0, 0.0)
@@ -74,7 +78,15 @@ def test_evaluation(spark):
 def test_batches_and_cut(spark):
     seen = lambda: lambda texts: [(str(len(texts)), float(max(map(len, texts)))) for _ in texts]
     df = spark.createDataFrame([(i, "x" * 600) for i in range(5)], "i int, text string").coalesce(1)
-    assert sorted((r.label, r.score) for r in cls.classified(df, seen, "i", batch=2).collect()) == [("1", 512.0)] + [("2", 512.0)] * 4
+    assert sorted((r.label, r.score) for r in cls.classified(df, seen, "i", batch=2, max_chars=512).collect()) == [("1", 512.0)] + [("2", 512.0)] * 4
+    assert {r.score for r in cls.classified(df, seen, "i").collect()} == {600.0}
+
+
+def test_models_answer_in_labels_or_words(spark):
+    df = spark.createDataFrame([(1, "x")], "i int, text string")
+    one = lambda label, score, **k: tuple(cls.Model(lambda: lambda ts: [(label, score)] * len(ts), "m", **k).predictions(df, "i").first())[1:]
+    assert one("LABEL_1", 0.8) == ("positive", 0.8, "m") and one("unknown", 0.3) == ("negative", 0.3, "m")
+    assert one("<think>hm</think> Negative.", 0.7, generates=True) == ("negative", 0.9, "m") and one("?", 0.7, generates=True) == ("positive", 0.5, "m")
 
 
 GAZ = [(1, "Adıyaman", ""), (2, "Adıyaman", "Merkez"), (3, "Ankara", ""), (4, "Adana", ""), (5, "İstanbul", ""), (6, "İstanbul", "Kadıköy"), (7, "Ankara", "Merkez")]
@@ -99,10 +111,38 @@ def test_tables(spark, tmp_path):
     new = spark.createDataFrame([(9, "a", 1), (8, "a", 2), (7, None, 1)], "i int, fp string, n int")
     assert sorted((r.i, r.fp or "") for r in tab.merged(x, new, ["fp"], ["n"]).collect()) == [(3, ""), (4, ""), (7, ""), (8, "a")]
     assert tab.duplicates(x, ["i"]).count() == 0 and tab.duplicates(x, ["fp"]).count() == 3
-    p = str(tmp_path / "t")
+    p = f"file://{tmp_path}/t"
     tab.upsert(spark, x.where("fp = 'a' AND i = 1"), p, ["i"], ["n"])
     tab.upsert(spark, spark.createDataFrame([(1, "b", 9), (2, "c", 1)], "i int, fp string, n int"), p, ["i"], ["n"])
-    assert sorted((r.i, r.fp) for r in spark.read.parquet(p).collect()) == [(1, "b"), (2, "c")]
+    assert sorted((r.i, r.fp) for r in tab.read_table(spark, p).collect()) == [(1, "b"), (2, "c")]
+
+
+def test_upsert_touches_only_its_buckets(spark, tmp_path):
+    p = f"file://{tmp_path}/t"
+    rows = spark.range(1000).selectExpr("id", "id AS v", "'clash' AS _b")
+    tab.upsert(spark, rows.drop("_b"), p, ["id"], ["v"], buckets=16)
+    _, before = tab._version(spark, p)
+    tab.upsert(spark, spark.createDataFrame([(7, -1), (None, -2)], "id bigint, v bigint"), p, ["id"], ["v"])
+    number, after = tab._version(spark, p)
+    changed = {b for b in after["folders"] if after["folders"][b] != before["folders"].get(b)}
+    assert number == 2 and len(after["folders"]) == 16 and 1 <= len(changed) <= 2
+    got = {r.id: r.v for r in tab.read_table(spark, p).collect()}
+    assert len(got) == 1001 and got[7] == -1 and got[8] == 8 and got[None] == -2
+    files = tab.read_table(spark, p, {int(b) for b in changed}).inputFiles()
+    assert files and all(f"_b={b}" in "".join(files) for b in changed) and not any(f"_b={b}/" in f for f in files for b in set(after["folders"]) - changed)
+    tab.upsert(spark, rows.drop("_b").limit(0), p, ["id"], ["v"])
+    assert tab._version(spark, p)[0] == 2
+    tab.replace_table(tab.read_table(spark, p).where("id < 10"), p, ["id"])
+    assert tab.read_table(spark, p).count() == 10 and len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("data-")]) <= 3
+    with pytest.raises(FileExistsError):
+        runtime.write_file(spark, f"{p}/versions/{3:012d}.json", "{}")
+    plain = f"{tmp_path}/plain"
+    rows.drop("_b").write.parquet(plain)
+    tab.upsert(spark, spark.createDataFrame([(7, -1)], "id bigint, v bigint"), plain, ["id"], ["v"])
+    assert tab.read_table(spark, plain).where("v = -1").count() == 1 and tab.read_table(spark, plain).count() == 1000
+    empty = f"{tmp_path}/empty"
+    tab.upsert(spark, rows.drop("_b").limit(0), empty, ["id"], ["v"])
+    assert tab.read_table(spark, empty).count() == 0 and tab.read_table(spark, empty).columns == ["id", "v"]
 
 
 @pytest.mark.parametrize(
@@ -117,7 +157,11 @@ def test_parse_input(text, value):
 def test_requests():
     with pytest.raises(ValueError):
         req.parse_input("neither nor")
+    with pytest.raises(ValueError):
+        req.requests_of({"requests": 5})
     assert req.requests_of("{}") is None and req.requests_of("{a: 1}") == [{"a": 1}] and req.request_of_flags(a=None, b=0, c=False) == {"b": 0}
+    assert req.request_of_flags(level="district") == {} and req.request_of_flags(level="district", province="x") == {"level": "district", "province": "x"}
+    assert len(req.every_request()) == 1 and len(req.every_request(True)) == 2
 
 
 def test_expand(spark):
@@ -136,7 +180,17 @@ def test_expand(spark):
         with pytest.raises(ValueError):
             req.guarded(bad)
     assert req.guarded(spark.range(101).toDF("x"), confirm_bulk=True).count() == 101
+    asked = spark.createDataFrame(rows, ddl)
+    assert [tuple(r) for r in req.unknown_names(asked, d.select("province").distinct(), d).collect()] == [("d", "province", "nowhere")]
+    with pytest.raises(ValueError, match="nowhere"):
+        req.known_names(asked, d.select("province").distinct(), d)
+    other = spark.createDataFrame([("e", None, "İzmir", "Kozan", None, None, None), ("f", None, "all", "cesme", None, None, None), ("g", "province", None, "yok", None, None, None)], ddl)
+    assert [tuple(r) for r in req.unknown_names(other, d.select("province").distinct(), d).collect()] == [("e", "district", "Kozan")]
     topics = spark.createDataFrame([("r", i, f"u{i}") for i in range(5)], "request_key string, rank int, topic_url string")
+    none = spark.createDataFrame([], "topic_url string")
+    own = topics.withColumn("max_topics", F.lit(3)).unionByName(topics.selectExpr("'s' AS request_key", "rank", "concat(topic_url, 's') AS topic_url", "CAST(NULL AS INT) AS max_topics"))
+    n = {k: req.open_topics(own, none, k).groupBy("request_key").count().collect() for k in (2, None)}
+    assert {r.request_key: r["count"] for r in n[2]} == {"r": 3, "s": 2} and {r.request_key: r["count"] for r in n[None]} == {"r": 3, "s": 5}
     assert [r.topic_url for r in req.open_topics(topics, spark.createDataFrame([("u0",)], "topic_url string"), 2).orderBy("rank").collect()] == ["u1", "u2"]
 
 
@@ -151,6 +205,8 @@ def test_html(spark):
     assert got == [("u", 0, "1", "a", "1.1.2020", "bir iki & üç"), ("u", 1, "", "", "", "kimliksiz"), ("w", 0, "9", "", "", "tek")]
     assert {r.url: r.title for r in page.page_titles(df).collect()} == {"u": "Baş lık", "v": "", "w": "", "z": ""}
     assert [(r.href, r.link_text) for r in page.page_links(df).collect()] == [("/x", "git")]
+    paged = spark.createDataFrame([("t", 1, "<p>x"), ("t", 2, HTML), ("t", 3, "<title>später</title>"), ("v", 1, "")], "topic_url string, page int, html string")
+    assert {r.topic_url: r.title for r in page.topic_titles(paged).collect()} == {"t": "Baş lık", "v": ""}
     topics = spark.createDataFrame([("t",)], "topic_url string")
     plan = page.page_plan(topics, spark.createDataFrame([("t?p=2",)], "page_url string"))
     assert sorted(r.page for r in plan.collect()) == [1, 3, 4, 5]
@@ -165,7 +221,10 @@ def test_readers(spark, tmp_path):
     assert sorted(r.category for r in readers.categories(spark, put("c.csv", "category,word\nkafe,a\nkafe,b\npark,c\n")).collect()) == ["kafe", "park"]
     assert sorted(r.category for r in readers.categories(spark, put("d.csv", "category\nkafe\nkafe\n")).collect()) == ["kafe"]
     rows = readers.districts(spark, put("e.csv", "province,district\nAdana,Ceyhan\nAdana,CEYHAN\nAdana,nan\n,x\n")).collect()
-    assert len(rows) == 1
+    assert [tuple(r) for r in rows] == [("Adana", "Ceyhan")]
+    order = readers.districts(spark, put("o.csv", "province,district\nİzmir,Çeşme\nAdana,KOZAN\nAdana,Ceyhan\nAdana,Kozan\n")).collect()
+    assert [tuple(r) for r in order] == [("Adana", "Ceyhan"), ("Adana", "KOZAN"), ("İzmir", "Çeşme")]
+    assert [r.category for r in readers.categories(spark, put("q.csv", "category\npark\nkafe\npark\nat\n")).collect()] == ["park", "kafe", "at"]
     with pytest.raises(ValueError):
         readers.districts(spark, put("f.csv", "a,b\n1,2\n"))
     assert readers.state(spark, str(tmp_path / "none.csv"), "k").count() == 0 and readers.state(spark, put("g.csv", "k\n1\n1\n"), "k").count() == 1
@@ -179,26 +238,124 @@ def test_readers(spark, tmp_path):
     (tmp_path / "t" / "x" / "k_clean.json").write_text('[{"a": 5}]')
     (tmp_path / "t" / "k_raw.json").write_text('[{"a": 6}]')
     assert [r.a for r in readers.json_tree(spark, str(tmp_path / "t"), "_clean.json", s).collect()] == [5]
-    readers.append_event(str(tmp_path / "log.jsonl"), kind="x", at=T)
-    assert json.loads((tmp_path / "log.jsonl").read_text())["kind"] == "x"
+    for k in "xy":
+        readers.append_event(spark, f"file://{tmp_path}/log", kind=k, at=T)
+    assert [r.kind for r in spark.read.json(f"{tmp_path}/log").orderBy("kind").collect()] == ["x", "y"]
+    for new in (["b", "a", None], ["b", "c"]):
+        readers.add_state(spark, spark.createDataFrame([(x,) for x in new], "k string"), f"file://{tmp_path}/keys", "k")
+    assert sorted(r.k for r in spark.read.option("header", True).csv(f"{tmp_path}/keys").collect()) == ["a", "b", "c"]
 
 
 def test_pipeline(spark, tmp_path):
     raw = spark.read.parquet("/root/testdata/sf0.001/posts_raw.parquet")
     raw.write.parquet(str(tmp_path / "posts_raw"))
     spark.read.parquet("/root/testdata/sf0.001/places.parquet").write.parquet(str(tmp_path / "places"))
-    ctx = pipeline.Context(spark, str(tmp_path), run_at=T)
+    ctx = pipeline.Context(spark, f"file://{tmp_path}", run_at=T)
     out = pipeline.run(ctx)
-    assert list(out) == ["preprocess", "sentiment", "sentiment_llm", "geospatial", "sentiment_aggregation"] and out["preprocess"]["processed"] > 0
-    again = pipeline.run(ctx, ["preprocess"])["preprocess"]
-    assert again["processed"] == 0 and again["skipped_existing"] == out["preprocess"]["processed"]
-    done = spark.read.parquet(str(tmp_path / "posts_processed"))
+    assert list(out) == ["fetch", "preprocess", "sentiment", "sentiment_llm", "geospatial", "sentiment_aggregation"] and out["preprocess"]["processed"] > 0
+    done = ctx.table("posts_processed").cache()
     assert done.where("sentiment.llm.model = 'pending'").count() == 0 and tab.duplicates(done, ["post_id"]).count() == 0
-    assert spark.read.parquet(str(tmp_path / "sentiment_aggregates")).count() == out["sentiment_aggregation"]["groups"] > 0
+    assert {r[0] for r in done.select("sentiment.transformer.label").distinct().collect()} <= {"positive", "negative"}
+    n = done.count()
+    again = pipeline.run(ctx, ["preprocess"])["preprocess"]
+    assert again["processed"] == 0 and again["skipped_existing"] == out["preprocess"]["processed"] and again["sample"] == []
+    kept = ctx.table("posts_processed")
+    assert kept.count() == n and kept.where("sentiment.llm.model = 'pending'").count() == 0  # predictions outlive a second run
+    assert ctx.table("sentiment_aggregates").count() == out["sentiment_aggregation"]["groups"] > 0
     first = spark.read.text(str(tmp_path / "map")).where("value LIKE '%FeatureCollection%'").first().value
     assert json.loads(first)["metadata"]["total_provinces"] > 1
     with pytest.raises(ValueError):
         pipeline.run(ctx, ["nothing"])
+    (tmp_path / "e.csv").write_text("text,label\nTürkiye çok güzel,positive\nBu hizmet çok kötü,negative\nberbat,positive\n ,positive\n", encoding="utf-8")
+    ask = {"evaluation": {"enabled": True, "dataset_path": "e.csv", "error_limit": 5}}
+    got = pipeline.run(ctx, ["sentiment"], data=ask)["sentiment"]
+    assert (got["total_samples"], got["total_misclassified"], got["metrics"]["tp"], got["metrics"]["tn"]) == (3, 1, 1, 1) and got["hardest_errors"][0]["text"] == "berbat"
+    with pytest.raises(ValueError):
+        pipeline.run(ctx, ["sentiment"], data={"evaluation": {"enabled": True}})
+
+
+class Forum(readers.PageSource):
+    """Two topics for each query; the second page of the first one is missing."""
+
+    def search(self, queries):
+        links = F.array(F.lit("https://s.example/a?x=1"), F.lit("https://s.example/a/"), F.concat(F.lit("https://s.example/b-"), F.hash("query")), F.lit(" "))
+        return queries.select("query", F.posexplode(links).alias("rank", "link"))
+
+    def pages(self, urls):
+        body = F.concat(F.lit("<h1>Konu</h1><ul id=entry-item-list>"), *[
+            F.concat(F.lit(f"<li data-id={k}><div class=content>"), F.lit(text), F.lit("</div><span class=date>01.02.2020 10:00</span></li>"))
+            for k, text in ((1, "Bu uzun bir metindir, tamam"), (2, "bu uzun bir METİNDİR, tamam".replace("İ", "i")), (3, "kısa"))])
+        return urls.where("url LIKE '%p=1'").select("url", body.alias("html"))
+
+
+def test_fetch(spark, tmp_path):
+    spark.createDataFrame([(1, "province", None, "Adana"), (2, "district", "Adana", "Kozan"), (3, "category", None, "kafe")], "place_id int, kind string, province string, name string").write.parquet(str(tmp_path / "places"))
+    ctx = pipeline.Context(spark, f"file://{tmp_path}", run_at=T, pages=Forum())
+    ask = {"requests": [{"province": "adana", "district": "KOZAN", "category": "all"}, {"province": "Adana", "category": "kafe", "max_topics": 1}]}
+    got = pipeline.run(ctx, ["fetch"], data=ask)["fetch"]
+    assert (got["tasks"], got["topics"], got["pages"]) == (2, 3, 2)
+    assert (got["new_raw_posts"], got["new_clean_posts"], got["new_invalid_posts"], got["duplicates_skipped"]) == (6, 3, 3, 0)
+    raw = ctx.table("posts_raw")
+    assert raw.count() == 2 and {r.created_at for r in raw.collect()} == {"2020-02-01 10:00:00"}  # topic a is one for both tasks
+    assert sorted(ctx.spark.read.parquet(ctx.path("sections/invalid")).select("issues").distinct().collect()[0].issues) == ["text_too_short"]
+    section = spark.read.parquet(ctx.path("sections/clean"))
+    assert [sections.merged(section, s).count() for s in ("all", "province", "district")] == [2, 2, 3]
+    again = pipeline.run(ctx, ["fetch"], data=ask)["fetch"]
+    assert (again["tasks"], again["new_raw_posts"]) == (0, 0)
+    for bad in ({"province": "nowhere"}, {"province": "Adana", "district": "yok"}, {}):
+        with pytest.raises(ValueError):
+            pipeline.run(ctx, ["fetch"], data=bad)
+    assert pipeline.run(pipeline.Context(spark, f"file://{tmp_path}", run_at=T), ["fetch"], data=ask)["fetch"] == {"skipped": "no source of pages"}
+
+
+def test_sections(spark):
+    ddl = "post_id string, is_valid boolean, level string, province string, district string, category string, collected_at int"
+    rows = [("a", True, "district", "Adana", "Kozan", "kafe", 1), ("a", True, "province", "Adana", None, "kafe", 2), ("b", False, "province", "Adana", None, "kafe", 3), ("c", True, "province", "Adana", "", "kafe", 4), (None, True, "province", "x", None, "k", 5)]
+    df = spark.createDataFrame(rows, ddl)
+    known = sections.bucketed(df).where("post_id = 'c' OR collected_at = 2")
+    got = {k: sorted(r.collected_at for r in v.collect()) for k, v in sections.split(sections.bucketed(df), {"raw": known, "clean": None}).items()}
+    assert got == {"raw": [1, 3], "clean": [1], "invalid": [3], "duplicates": [2, 4]}
+    assert [r.district_slug for r in sections.bucketed(df).orderBy("collected_at").collect()] == ["kozan", "all", "all", "all", "all"]
+
+
+def test_runs_and_command_line(spark, tmp_path, monkeypatch, capsys):
+    go = threading.Event()
+    monkeypatch.setattr(runs, "STEPS", {"wait": lambda c, d: {"waited": go.wait(60), "got": d}, "fail": lambda c, d: 1 / 0})
+    r = runs.Runner(pipeline.Context(spark, f"file://{tmp_path}", run_at=T))
+    assert r.status() == {"status": "idle"} and not r.stop() and r.logs("x") == []
+    one = r.start("wait", {"a": 1})
+    with pytest.raises(runs.Busy):
+        r.start("wait")
+    assert r.status()["status"] == "running"
+    go.set()
+    r.wait(60)
+    assert one["status"] == "completed" and one["report"]["wait"]["got"] == {"a": 1} and len(r.logs(one["id"])) == 2
+    r.start("fail")
+    r.wait(60)
+    assert [x["status"] for x in r.runs()] == ["error", "completed"] and len(list((tmp_path / "runs").glob("*.json"))) == 2
+    with pytest.raises(ValueError):
+        r.start("nothing")
+    assert cli.asked(cli.parser().parse_args(["--root", "x", "--level", "district"])) is None
+    assert cli.asked(cli.parser().parse_args(["--root", "x", "--province", "Adana", "--max-topics", "2"])) == {"province": "Adana", "max_topics": 2}
+    assert cli.asked(cli.parser().parse_args(["--root", "x", "--input", "{province: Adana}"])) == {"province": "Adana"}
+    answers = iter(["9", "x", "2"])
+    assert cli.choose(lambda _: next(answers)) == "fetch" and cli.choose(lambda _: "1") is None
+    assert cli.main(["--root", f"file://{tmp_path}", "--step", "fetch"], spark) == 0 and "no source of pages" in capsys.readouterr().out
+
+
+def test_cut_needs_a_shared_folder():
+    class Conf:
+        get = staticmethod(lambda k, d=None: d)
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Frame:
+        sparkSession = type("S", (), {"sparkContext": Context, "conf": Conf})
+
+    with pytest.raises(RuntimeError):
+        runtime.cut(Frame)
 
 
 def test_stream(spark, tmp_path):
@@ -206,10 +363,10 @@ def test_stream(spark, tmp_path):
     src, target, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
     raw.where("_id <= 150").write.parquet(src)
     stream_posts(spark, src, raw.schema, target, cp, T).awaitTermination()
-    n = spark.read.parquet(target).count()
+    n = tab.read_table(spark, target).count()
     raw.where("_id > 140").write.mode("append").parquet(src)
     stream_posts(spark, src, raw.schema, target, cp, T).awaitTermination()
-    got = spark.read.parquet(target)
+    got = tab.read_table(spark, target)
     assert got.count() > n and tab.duplicates(got, ["post_id"]).count() == 0
     assert got.count() == pipeline.processed_rows(raw, T).count()
     ev = spark.createDataFrame([(datetime(2024, 1, 1, 1, 5), "a"), (datetime(2024, 1, 1, 1, 50), "a"), (datetime(2024, 1, 1, 2, 0), "a")], "ts timestamp, k string")

@@ -7,15 +7,10 @@ from pyspark.sql import functions as F
 
 
 def color_score(positive: Column, negative: Column, total: Column) -> Column:
-    """((positive - negative) / total + 1) / 2; 0.5 without any. Unrounded: see rounded()."""
+    """((positive - negative) / total + 1) / 2; 0.5 without any. Unrounded; round for display only, half-even."""
     return F.coalesce((F.try_divide((positive - negative).cast("double"), total.cast("double")) + 1) / 2, F.lit(0.5))
 
 
-def rounded(c: Column, digits: int = 4) -> Column:
-    """Half-even, for display."""
-    return F.bround(c, digits)
-
-
 def score_label(score: Column) -> Column:
     return F.when(score >= 0.6, "positive").when(score <= 0.4, "negative").otherwise("neutral")
 
@@ -50,10 +45,6 @@ def generated_label(text: Column, fallback: Column) -> Column:
     )
 
 
-def polarity(label: Column) -> Column:
-    return F.when(label == "positive", 1).when(label == "negative", -1)
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b; 0 where b is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yakamoz.functions.sentiment import classifier_label
+from yakamoz.functions.sentiment import classifier_label, generated_label
 from yakamoz.operators.aggregate import confusion, metrics
 
 #: A classifier is made once in each task and maps a batch of texts to (label, score) pairs.
 Classifier = Callable[[list[str]], list[tuple[str, float]]]
-BATCH, MAX_CHARS, ERRORS, SHOWN = 16, 512, 25, 240
+BATCH, ERRORS, SHOWN = 16, 25, 240
 # Words of the built-in lexicon classifier.
 POSITIVE = "güzel harika iyi temiz mükemmel huzurlu keyif tavsiye memnun kusursuza içten doldurucu yeterli".split()
 NEGATIVE = "kötü berbat rezalet zayıf bakımsız özensiz soğuk pahalı gürültülü dağınık kalabalık yorucu vasatın".split()
@@ -34,9 +35,31 @@ def lexicon() -> Classifier:
     return run
 
 
-def classified(df: DataFrame, make: Callable[[], Classifier], key: str, text: str = "text", batch: int = BATCH, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(key, ``label``, ``score``): ``make`` runs once a task; the model sees at most max_chars characters, as models do."""
-    x = df.select(F.col(key), F.substring(F.coalesce(F.col(text), F.lit("")), 1, max_chars).alias("_t"))
+@dataclass(frozen=True)
+class Model:
+    """A classifier as a plug-in: how to make it, what it is called, texts in a batch, characters that it can take (all, if None) and
+    whether it answers in words, so that its label and score are those of the answer."""
+
+    make: Callable[[], Classifier]
+    name: str
+    batch: int = BATCH
+    max_chars: int | None = None
+    generates: bool = False
+
+    def predictions(self, df: DataFrame, key: str, text: str = "text") -> DataFrame:
+        """(key, ``label``, ``score``, ``model``): positive or negative for each row."""
+        raw = classified(df, self.make, key, text, self.batch, self.max_chars)
+        if self.generates:
+            x = raw.withColumn("_r", generated_label(F.col("label"), F.col("score"))).select(key, "_r.label", "_r.score")
+        else:
+            x = raw.withColumn("label", classifier_label(F.col("label"), F.col("score")))
+        return x.withColumn("model", F.lit(self.name))
+
+
+def classified(df: DataFrame, make: Callable[[], Classifier], key: str, text: str = "text", batch: int = BATCH, max_chars: int | None = None) -> DataFrame:
+    """(key, ``label``, ``score``): ``make`` runs once a task. The whole text goes to the model unless it has a bound of its own."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    x = df.select(F.col(key), (F.substring(t, 1, max_chars) if max_chars else t).alias("_t"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
@@ -49,11 +72,12 @@ def classified(df: DataFrame, make: Callable[[], Classifier], key: str, text: st
     return x.mapInArrow(run, f"`{key}` {x.schema[key].dataType.simpleString()}, label string, score double")
 
 
-def evaluated(samples: DataFrame, make: Callable[[], Classifier], key: str, text: str = "text", label: str = "label") -> DataFrame:
-    """(key, ``text``, ``expected``, ``predicted``, ``score``, ``is_error``) of labelled samples; blank texts are left out."""
+def evaluated(samples: DataFrame, model: Model, key: str, text: str = "text", label: str = "label") -> DataFrame:
+    """(key, ``text``, ``expected``, ``predicted``, ``score``, ``is_error``) of labelled samples; blank texts are left out. An expected
+    label that is neither positive nor negative counts as negative."""
     s = samples.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(
         key, F.col(text).alias("text"), classifier_label(F.col(label), F.lit(0.0)).alias("expected"))
-    p = classified(s, make, key).select(F.col(key).alias("_k"), classifier_label(F.col("label"), F.col("score")).alias("predicted"), "score")
+    p = model.predictions(s, key).select(F.col(key).alias("_k"), F.col("label").alias("predicted"), "score")
     x = s.join(p, F.col(key) == F.col("_k")).drop("_k")
     return x.withColumn("is_error", F.col("expected") != F.col("predicted"))
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yakamoz.functions.text import paged_url
 from yakamoz.operators.tables import skip_known
 
 #: Pages of a topic that are read.
@@ -154,5 +155,13 @@ def _mapped(pages: DataFrame, key: str, f, columns: list[str]) -> DataFrame:  #
 def page_plan(topics: DataFrame, visited: DataFrame, pages: int = MAX_PAGES) -> DataFrame:
     """(topic columns, ``page``, ``page_url``) of the pages of each topic that weren't visited."""
     x = topics.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(pages))))
-    x = x.withColumn("page_url", F.concat("topic_url", F.lit("?p="), F.col("page").cast("string")))
+    x = x.withColumn("page_url", paged_url(F.col("topic_url"), F.col("page")))
     return skip_known(x, visited, "page_url")
+
+
+def topic_titles(pages: DataFrame, topic: str = "topic_url", page: str = "page") -> DataFrame:
+    """(topic, ``title``): of the first page of the topic that has one; '' without any. ``pages`` has ``html`` too."""
+    x = pages.select(F.concat_ws("\1", topic, F.col(page).cast("string")).alias("_k"), "html")
+    t = page_titles(x, "_k").select(F.split("_k", "\1")[0].alias(topic), F.split("_k", "\1")[1].cast("int").alias("_p"), "title")
+    found = F.when(F.col("title") != "", F.struct(F.col("_p"), F.col("title").alias("t")))
+    return t.groupBy(topic).agg(F.coalesce(F.min(found)["t"], F.lit("")).alias("title"))

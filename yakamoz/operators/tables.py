@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from yakamoz.runtime import exists, files, hadoop_path, names, read_file, write_file
+
+#: Buckets of a keyed table, unless its creator says otherwise.
+BUCKETS = 64
 
 
 def skip_known(new: DataFrame, known: DataFrame, key: str, known_key: str | None = None) -> DataFrame:
@@ -15,6 +22,12 @@ def skip_known(new: DataFrame, known: DataFrame, key: str, known_key: str | None
     return new.join(k, F.col(key) == F.col("_k"), "left_anti")
 
 
+def known_or_new(new: DataFrame, known: DataFrame, key: str, known_key: str | None = None) -> DataFrame:
+    """``new`` with ``state``: known for rows whose key is in ``known``, else new. One join gives both sides of a skip."""
+    k = known.select(F.col(known_key or key).alias("_k")).distinct().withColumn("state", F.lit("known"))
+    return new.join(k, F.col(key) == F.col("_k"), "left").drop("_k").withColumn("state", F.coalesce("state", F.lit("new")))
+
+
 def only_known(new: DataFrame, known: DataFrame, key: str, known_key: str | None = None) -> DataFrame:
     k = known.select(F.col(known_key or key).alias("_k"))
     return new.join(k, F.col(key) == F.col("_k"), "left_semi")
@@ -47,25 +60,65 @@ def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table, then swap: ``df`` may read the path that it replaces."""
+def _bucket(key: list[str], n: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+
+
+def _version(spark: SparkSession, path: str) -> tuple[int, dict | None]:
+    """Number and manifest of a table's newest version; (0, None) for a folder of plain Parquet files or none."""
+    last = max((x for x in names(spark, f"{path}/versions") if x.endswith(".json")), default=None)
+    return (int(last[:-5]), json.loads(read_file(spark, f"{path}/versions/{last}"))) if last else (0, None)
+
+
+def read_table(spark: SparkSession, path: str, only: set[int] | None = None) -> DataFrame:
+    """The newest version of a keyed table, or of it the buckets ``only``; plain Parquet folders are read as they are."""
+    _, m = _version(spark, path)
+    if m is None:
+        return spark.read.parquet(path)
+    schema = T.StructType.fromJson(m["schema"])
+    folders = [f"{path}/{f}" for b, f in sorted(m["folders"].items()) if only is None or int(b) in only]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def _commit(spark: SparkSession, path: str, rows: DataFrame, key: list[str], n: int, kept: dict[str, str]) -> None:
+    """Write ``rows`` by bucket, then a manifest that names their folders and the ``kept`` ones. The manifest's appearance is the
+    change: before it readers have the old version whole, after it the new one; a crash or a second writer leaves the old."""
+    number, old = _version(spark, path)
+    folder = f"data-{uuid.uuid4().hex}"
+    rows.withColumn("_b", _bucket(key, n)).hint("rebalance", "_b").write.partitionBy("_b").parquet(f"{path}/{folder}")
+    new = {x.split("=")[1]: f"{folder}/{x}" for x in names(spark, f"{path}/{folder}") if x.startswith("_b=")}
+    manifest = {"buckets": n, "key": key, "schema": rows.schema.jsonValue(), "folders": kept | new}
+    write_file(spark, f"{path}/versions/{number + 1:012d}.json", json.dumps(manifest))
+    fs = files(spark, path)
+    before = set(old["folders"].values()) if old else set()
+    used = {f.split("/")[0] for f in {*manifest["folders"].values(), *before}}  # the version before stays for its readers
+    for x in names(spark, path):
+        if (x.startswith("data-") and x not in used) or (old is None and x.startswith("part-")):
+            fs.delete(hadoop_path(spark, f"{path}/{x}"), True)
+    for x in sorted(names(spark, f"{path}/versions"))[:-2]:
+        fs.delete(hadoop_path(spark, f"{path}/versions/{x}"), False)
+
+
+def replace_table(df: DataFrame, path: str, key: list[str], buckets: int = BUCKETS) -> None:
+    """A new version of the whole table: ``df`` may read the one that it replaces."""
     spark = df.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.parquet(new)
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(fs_path(path)):
-        fs.rename(fs_path(path), fs_path(old))
-    fs.rename(fs_path(new), fs_path(path))
-    fs.delete(fs_path(old), True)
-
-
-def upsert(spark, new: DataFrame, path: str, key: list[str], order: list[str]) -> None:  # noqa: ANN001
-    """Merge into the Parquet table at ``path``, which may not exist yet."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    base = spark.read.parquet(path) if exists else new.limit(0)
-    replace_table(merged(base, new, key, order), path)
+    _, m = _version(spark, path)
+    _commit(spark, path, df, key, m["buckets"] if m else buckets, {})
+
+
+def upsert(spark: SparkSession, new: DataFrame, path: str, key: list[str], order: list[str], buckets: int = BUCKETS) -> None:
+    """Merge into the keyed table at ``path``, which may not exist yet. Rows lie in buckets by a hash of their key; only buckets that
+    the new rows fall into are read and written again, the others stay where they are. ``buckets`` counts for a new table."""
+    _, m = _version(spark, path)
+    n = m["buckets"] if m else buckets
+    touched = {r[0] for r in new.select(_bucket(key, n)).distinct().collect()}  # n numbers at most
+    if m is None:
+        base, kept = (spark.read.parquet(path) if exists(spark, path) else new.limit(0)), {}
+    elif not touched:
+        return
+    else:
+        base, kept = read_table(spark, path, touched), {b: f for b, f in m["folders"].items() if int(b) not in touched}
+    _commit(spark, path, merged(base, new, key, order), key, n, kept)
 
 
 def with_prediction(posts: DataFrame, predictions: DataFrame, model: str, key: str = "post_id") -> DataFrame:

@@ -158,7 +158,7 @@ def first_errors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("evaluate_lexicon")
 def evaluate_lexicon(spark: SparkSession, d: str) -> DataFrame:
-    return cls.scores_of(cls.evaluated(table(spark, d, "eval_items"), cls.lexicon, "item_id"))
+    return cls.scores_of(cls.evaluated(table(spark, d, "eval_items"), cls.Model(cls.lexicon, "lexicon"), "item_id"))
 
 
 @query("clean_text")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from yakamoz.functions.text import lookup_key
 from yakamoz.operators.tables import first_by
+from yakamoz.runtime import exists, write_file
 
 _BOM = "﻿"
 
@@ -31,27 +33,28 @@ def columns_csv(spark: SparkSession, path: str, *required: str) -> DataFrame:
 
 
 def categories(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct categories, by name: the column ``category`` if the head of the file has category and word, else the first column."""
-    head = " ".join(r.value for r in spark.read.text(path).limit(20).collect())[:2048].lower()
+    """Distinct categories in the order of the file: the column ``category`` if its head has category and word, else the first column."""
+    head = "\n".join(r.value for r in spark.read.text(path).limit(200).collect())[:2048]
     if "category" in head and "word" in head:
         x = columns_csv(spark, path, "category").select(F.trim("category").alias("category"))
     else:
         x = lines(spark, path, "category", "category").select(F.trim(F.split("category", ",")[0]).alias("category"))
-    return x.where("category <> ''").distinct()
+    x = x.where("category <> ''").withColumn("_o", F.monotonically_increasing_id())
+    return x.groupBy("category").agg(F.min("_o").alias("_o")).orderBy("_o").select("category")
 
 
 def districts(spark: SparkSession, path: str) -> DataFrame:
-    """(province, district), one row for each look-up key within a province."""
+    """(province, district), one row for each look-up key within a province, the first in the file; sorted by look-up keys."""
     x = columns_csv(spark, path, "province", "district").select(F.trim("province").alias("province"), F.trim("district").alias("district"))
     bad = lambda c: F.coalesce(F.lower(c), F.lit("")).isin("", "nan")
-    x = x.where(~bad("province") & ~bad("district")).withColumn("_k", lookup_key(F.col("district")))
-    return first_by(x, ["province", "_k"], ["district"]).drop("_k")
+    x = x.where(~bad("province") & ~bad("district")).withColumns({"_k": lookup_key(F.col("district")), "_o": F.monotonically_increasing_id()})
+    return first_by(x, ["province", "_k"], ["_o"]).orderBy(lookup_key(F.col("province")), "province", "_k").drop("_k", "_o")
 
 
 def state(spark: SparkSession, path: str, column: str) -> DataFrame:
     """Distinct values of a state file; none if the file or the column isn't there."""
     empty = spark.createDataFrame([], T.StructType([T.StructField(column, T.StringType())]))
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return empty
     x = spark.read.option("header", True).csv(path)
     return x.select(column).dropna().distinct() if column in x.columns else empty
@@ -67,7 +70,7 @@ def samples(spark: SparkSession, path: str, text: str = "text", label: str = "la
 
 def json_list(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Objects of a JSON list; none if the file is missing or isn't one."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
 
@@ -83,15 +86,16 @@ def write_state(df: DataFrame, path: str, column: str) -> None:
     df.select(column).dropna().distinct().orderBy(column).write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_event(path: str, **event: object) -> None:
-    """A line of a JSONL log."""
-    with open(path, "a", encoding="utf-8") as f:
-        f.write(json.dumps(event, ensure_ascii=False, default=str) + "\n")
+def add_state(spark: SparkSession, new: DataFrame, path: str, column: str) -> None:
+    """The state file with the values of ``new`` too: the union of both sets, each value once."""
+    known = state(spark, path, column).select(F.col(column).cast("string"))
+    fresh = new.select(F.col(column).cast("string").alias(column)).dropna().distinct().join(known.withColumnRenamed(column, "_k"), F.col(column) == F.col("_k"), "left_anti")
+    fresh.write.mode("append").option("header", True).csv(path)
 
 
-def write_sections(df: DataFrame, path: str) -> None:
-    """Partitioned by level, province, district and category, as folder names."""
-    df.write.mode("append").partitionBy("level", "province_slug", "district_slug", "category_slug").json(path)
+def append_event(spark: SparkSession, path: str, **event: object) -> None:
+    """An event of a log: a file of one JSON line in the folder ``path``, so that any file system and any number of writers do."""
+    write_file(spark, f"{path}/{time.time_ns():020d}-{uuid.uuid4().hex}.json", json.dumps(event, ensure_ascii=False, default=str) + "\n")
 
 
 class PageSource:

@@ -9,22 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from yakamoz.operators.tables import skip_known, upsert
+from yakamoz.operators.tables import read_table, skip_known, upsert
 from yakamoz.plans.pipeline import processed_rows
+from yakamoz.runtime import exists
 
 
 def stream_posts(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, run_at: datetime) -> StreamingQuery:
     """Read raw posts from a folder until it is drained. Posts that come again are dropped by the merge, which knows all earlier ones
-    and keeps no state, so a batch that runs again changes nothing and late posts aren't lost to a watermark."""
+    and keeps no state, so a batch that runs again changes nothing and late posts aren't lost to a watermark. A batch reads the
+    target's keys and rewrites only the buckets that its own posts fall into."""
     new = spark.readStream.schema(schema).parquet(source)
 
     def merge(batch: DataFrame, _: int) -> None:
         x = processed_rows(batch, run_at)
-        try:
-            x = skip_known(x, spark.read.parquet(target), "post_id")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if exists(spark, target):
+            x = skip_known(x, read_table(spark, target), "post_id")
         upsert(spark, x, target, ["post_id"], ["created_at"])
 
     return new.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
