@@ -5,6 +5,8 @@ Python's ``\\w`` and ``\\b`` are spelled out as classes of letters, digits and t
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 PHONE = rf"(?U){_B}(?:\+90|0)?\s?(?:5\d{{2}})\s?\d{{3}}\s?\d{{2}}\s?\d{{2}}{_B}"
 IDENTITY = rf"(?U){_B}\d{{11}}{_B}"
 USERNAME = rf"(?U){_B}(?:[uU]ser(?:name)?\s*[:=]?\s*{_W}+|[uU]ser\s+{_W}+){_B}"
+#: The same, told first where they can begin, so that most places of a text fail at once.
+_QUICK = {
+    EMAIL: "(?<![a-zA-Z0-9_.+-])" + EMAIL.replace("+@", "++@", 1), PHONE: PHONE.replace("(?U)", r"(?U)(?=\+90|0|\s?5)", 1),
+    IDENTITY: IDENTITY.replace("(?U)", r"(?U)(?=\d)", 1), USERNAME: USERNAME.replace("(?U)", "(?U)(?=[uU]ser)", 1),
+}
 # Turkish stop words; a parameter of clean_text.
 STOPWORDS = (
     "acaba ama aslında az bazı belki biri birkaç birşey biz bu çok çünkü da daha de defa diye eğer en gibi hem hep hepsi her hiç için "
@@ -34,7 +41,7 @@ def turkish_lower(c: Column) -> Column:
 def mask_pii(c: Column) -> Column:
     """E-mail addresses, mobile numbers, identity numbers and user names as [EMAIL], [PHONE], [ID], [USERNAME]."""
     for rx, to in ((EMAIL, "[EMAIL]"), (PHONE, "[PHONE]"), (IDENTITY, "[ID]"), (USERNAME, "[USERNAME]")):
-        c = F.regexp_replace(c, rx, to)
+        c = F.regexp_replace(c, _QUICK[rx], to)
     return c
 
 
@@ -59,9 +66,13 @@ def clean_text(
         c = F.regexp_replace(c, r"(?U)[^\p{L}\p{N}_\s]", " ")
     c = collapse(F.regexp_replace(c, r"(.)\1{2,}", "$1"))
     if stopwords:
-        words = F.array(*[F.lit(w) for w in stopwords])
-        c = F.array_join(F.filter(F.split(c, " "), lambda x: ~F.array_contains(words, x)), " ")
-    return F.when(F.length(F.trim(c)) >= min_length, c)
+        # white space is one blank by now: a stop word stands between two blanks or ends
+        rest: dict[str, list[str]] = {}  # by first letter
+        for w in filter(None, stopwords):
+            rest.setdefault(w[0], []).append(re.escape(w[1:]))
+        listed = "|".join(f"{re.escape(a)}(?:{'|'.join(r)})" for a, r in rest.items())
+        c = F.ltrim(F.regexp_replace(F.concat(F.lit(" "), c), f" (?:{listed})(?![^ ])", ""))
+    return F.regexp_substr(c, F.lit(rf"(?s)\A.{{{min_length},}}\z"))  # names the long expression once
 
 
 def lookup_key(c: Column) -> Column:
