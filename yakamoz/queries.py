@@ -18,7 +18,7 @@ from yakamoz.operators import location as loc
 from yakamoz.operators import requests as req
 from yakamoz.operators import tables as tab
 from yakamoz.operators.timestamps import normalise_timestamps, unambiguous_instants
-from yakamoz.plans import geojson
+from yakamoz.plans import geojson, pipeline, sections
 from yakamoz.runtime import table
 from yakamoz.streaming.incremental import windowed_counts
 
@@ -110,9 +110,25 @@ def geo_metadata(spark: SparkSession, d: str) -> DataFrame:
     return agg.map_metadata(table(spark, d, "posts_processed"))
 
 
-@query("geojson_features")
+@query("geojson_features", f"""WITH p AS ({_LOCATED}), m AS ({_MODELS.format("p")}),
+  n AS (SELECT province, district, model_type, lower(trim(coalesce(nullif(label, ''), 'neutral'))) AS label FROM m),
+  g AS (SELECT province, CASE WHEN grouping(district) = 0 THEN district END AS district, CASE WHEN grouping(district) = 1 THEN 'province' ELSE 'district' END AS level,
+    count(*) FILTER (model_type = 'llm') AS llm_total, count(*) FILTER (model_type = 'llm' AND label = 'positive') AS llm_positive,
+    count(*) FILTER (model_type = 'llm' AND label = 'negative') AS llm_negative, count(*) FILTER (model_type = 'transformer' AND label NOT IN ('positive', 'negative')) AS transformer_neutral
+    FROM n GROUP BY GROUPING SETS ((province), (province, district))),
+  c AS (SELECT p.province, count(DISTINCT {_LOWER.format("trim(coalesce(nullif(r.post_tags[1], ''), 'uncategorized'))")}) AS n FROM p LEFT JOIN posts_raw r ON p.post_id = r._id GROUP BY 1)
+  SELECT level, g.province, coalesce(district, '') AS district, 'Feature' AS kind, 'TR-??' AS code, level = 'district' AS has_district, true AS has_geometry_null, llm_total, llm_positive, llm_negative,
+    transformer_neutral, CASE WHEN level = 'province' THEN c.n ELSE 0 END AS n_categories FROM g LEFT JOIN c ON g.province = c.province""")
 def geojson_features(spark: SparkSession, d: str) -> DataFrame:
-    return geojson.features(table(spark, d, "posts_processed"), table(spark, d, "posts_raw"))
+    """What the features' JSON says."""
+    x = geojson.features(table(spark, d, "posts_processed"), table(spark, d, "posts_raw"))
+    at = lambda path: F.get_json_object("feature", f"$.properties.{path}")
+    n = lambda path: at(f"models.{path}").cast("bigint")
+    return x.select(
+        at("level").alias("level"), at("province").alias("province"), F.coalesce(at("district"), F.lit("")).alias("district"), F.get_json_object("feature", "$.type").alias("kind"),
+        at("province_code").alias("code"), at("district").isNotNull().alias("has_district"), F.col("feature").contains('"geometry":null').alias("has_geometry_null"), n("llm.total_posts").alias("llm_total"),
+        n("llm.distribution.positive").alias("llm_positive"), n("llm.distribution.negative").alias("llm_negative"), n("transformer.distribution.neutral").alias("transformer_neutral"),
+        F.coalesce(F.size(F.map_keys(F.from_json(at("categories.llm"), "map<string,string>"))), F.lit(0)).cast("bigint").alias("n_categories"))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -135,13 +151,16 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     return agg.confusion(_judged(spark, d), "expected", "predicted")
 
 
-@query("classification_metrics", f"""WITH {_JUDGED}, {_MATRIX}, a AS (SELECT *, coalesce((tp + tn)::DOUBLE / nullif(tp + tn + fp + fn, 0), 0) AS accuracy,
+_METRICS = """a AS (SELECT *, coalesce((tp + tn)::DOUBLE / nullif(tp + tn + fp + fn, 0), 0) AS accuracy,
     coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision_positive, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall_positive, tp + fn AS support_positive,
     coalesce(tn::DOUBLE / nullif(tn + fn, 0), 0) AS precision_negative, coalesce(tn::DOUBLE / nullif(tn + fp, 0), 0) AS recall_negative, tn + fp AS support_negative FROM m),
   f AS (SELECT *, coalesce(2 * precision_positive * recall_positive / nullif(precision_positive + recall_positive, 0), 0) AS f1_positive,
     coalesce(2 * precision_negative * recall_negative / nullif(precision_negative + recall_negative, 0), 0) AS f1_negative FROM a)
   SELECT *, (precision_positive + precision_negative) / 2 AS macro_precision, (recall_positive + recall_negative) / 2 AS macro_recall,
-    (f1_positive + f1_negative) / 2 AS macro_f1 FROM f""")
+    (f1_positive + f1_negative) / 2 AS macro_f1 FROM f"""
+
+
+@query("classification_metrics", f"WITH {_JUDGED}, {_MATRIX}, {_METRICS}")
 def classification_metrics(spark: SparkSession, d: str) -> DataFrame:
     return agg.metrics(confusion_matrix(spark, d))
 
@@ -156,30 +175,64 @@ def first_errors(spark: SparkSession, d: str) -> DataFrame:
     return cls.first_errors(_judged(spark, d), "post_id")
 
 
-@query("evaluate_lexicon")
+_WORDS = r"string_split_regex(trim(regexp_replace(" + _LOWER.format("text") + f", '{_WS}', ' ', 'g')), ' ')"
+_IN = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@query("evaluate_lexicon", f"""WITH w AS (SELECT label, {_WORDS} AS w FROM eval_items WHERE trim(coalesce(text, '')) <> ''),
+  c AS (SELECT label, len(list_filter(w, lambda x: list_contains({_IN(cls.POSITIVE)}, x))) AS good, len(list_filter(w, lambda x: list_contains({_IN(cls.NEGATIVE)}, x))) AS bad FROM w),
+  j AS (SELECT CASE WHEN contains(lower(label), 'negative') OR lower(label) = 'label_0' THEN 'negative' WHEN contains(lower(label), 'positive') OR lower(label) = 'label_1' THEN 'positive' ELSE 'negative' END AS expected,
+    CASE WHEN 2 * (good + 1) >= good + bad + 2 THEN 'positive' ELSE 'negative' END AS predicted FROM c), {_MATRIX}, {_METRICS}""")
 def evaluate_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return cls.scores_of(cls.evaluated(table(spark, d, "eval_items"), cls.Model(cls.lexicon, "lexicon"), "item_id"))
 
 
-@query("clean_text")
-def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "posts_raw").select("_id", txt.clean_text(F.col("text")).alias("cleaned"))
+_STOP = ", ".join(f"'{w}'" for w in txt.STOPWORDS)
 
 
-_STOP = ", ".join(f"'{w}'" for w in txt.STOPWORDS)
+def _steps_sql(of: str, column: str, keys: tuple[str, ...]) -> str:
+    """Lower case, punctuation, repeats, stop words, length: common table expressions that end with ``cleaned``."""
+    k = ", ".join(keys)
+    return rf"""s1 AS (SELECT {k}, regexp_extract_all(regexp_replace({_TLOWER.format(column)}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '(?s).') AS c FROM {of}),
+  s2 AS (SELECT {k}, array_to_string(list_filter(c, lambda x, i: NOT coalesce(i > 1 AND x = c[i - 1] AND x <> chr(10) AND (coalesce(c[i - 2] = x AND i > 2, false)
+    OR coalesce(c[i + 1] = x, false)), false)), '') AS t FROM s1),
+  s3 AS (SELECT {k}, array_to_string(list_filter(string_split(trim(regexp_replace(t, '{_WS}', ' ', 'g')), ' '), lambda w: w NOT IN ({_STOP})), ' ') AS t FROM s2),
+  cleaned AS (SELECT {k}, CASE WHEN length(trim(t)) >= 3 THEN t END AS cleaned FROM s3)"""
+
+
+_W, _NOT, _S = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]", r"[\t\n\v\f\r\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
+def _masks_sql(of: str, keys: tuple[str, ...]) -> str:
+    """E-mail, phone, identity and user masks, as common table expressions that end with ``masked``. The dialect looks neither back nor
+    ahead: what stands around an item is matched and put back, twice, since neighbours share it."""
+    k, five = ", ".join(keys), rf"5\p{{Nd}}{{{{2}}}}{_S}?\p{{Nd}}{{{{3}}}}{_S}?\p{{Nd}}{{{{2}}}}{_S}?\p{{Nd}}{{{{2}}}}".replace("{{", "{").replace("}}", "}")
+    phone = rf"(?:(^|{_NOT})0?{_S}?{five}|({_W})(?:\+90{_S}?|{_S}){five})($|{_NOT})"
+    number = rf"(^|{_NOT})\p{{Nd}}{{11}}($|{_NOT})"
+    user = rf"(^|{_NOT})(?:[uU]ser(?:name)?{_S}*[:=]?{_S}*{_W}+|[uU]ser{_S}+{_W}+)"
+    twice = lambda c, rx, to: f"regexp_replace(regexp_replace({c}, '{rx}', '{to}', 'g'), '{rx}', '{to}', 'g')"
+    return f"""m1 AS (SELECT {k}, {twice(f"regexp_replace(text, '{txt.EMAIL}', '[EMAIL]', 'g')", phone, chr(92) + "1" + chr(92) + "2[PHONE]" + chr(92) + "3")} AS t FROM {of}),
+  m2 AS (SELECT {k}, {twice("t", number, chr(92) + "1[ID]" + chr(92) + "2")} AS t FROM m1), masked AS (SELECT {k}, regexp_replace(t, '{user}', '\\1[USERNAME]', 'g') AS masked FROM m2)"""
+
+
+def _clean_sql(of: str, column: str, keys: tuple[str, ...]) -> str:
+    k, some = ", ".join(keys), _S.replace("[", "[^", 1)
+    return rf"""r1 AS (SELECT {k}, regexp_replace(regexp_replace(regexp_replace({column}, 'https?://{some}+|www\.{some}+', '', 'g'), '@{_W}+', '', 'g'),
+    '[0-9#*]\x{{FE0F}}?\x{{20E3}}|\x{{2139}}\x{{FE0F}}?', ' ', 'g') AS t FROM {of}), {_steps_sql("r1", "t", keys)}"""
 
 
-@query("normalize_text", rf"""WITH a AS (SELECT _id, regexp_extract_all(regexp_replace({_TLOWER.format("text")}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '(?s).') AS c FROM posts_raw),
-  b AS (SELECT _id, array_to_string(list_filter(c, lambda x, i: NOT coalesce(i > 1 AND x = c[i - 1] AND x <> chr(10) AND (coalesce(c[i - 2] = x AND i > 2, false)
-    OR coalesce(c[i + 1] = x, false)), false)), '') AS t FROM a),
-  e AS (SELECT _id, array_to_string(list_filter(string_split(trim(regexp_replace(t, '{_WS}', ' ', 'g')), ' '), lambda w: w NOT IN ({_STOP})), ' ') AS t FROM b)
-  SELECT _id, CASE WHEN length(trim(t)) >= 3 THEN t END AS cleaned FROM e""")
+@query("clean_text", f"WITH i AS (SELECT _id, text FROM posts_raw), {_masks_sql('i', ('_id',))}, {_clean_sql('masked', 'masked', ('_id',))} SELECT _id, cleaned FROM cleaned")
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "posts_raw").select("_id", txt.clean_text(F.col("text")).alias("cleaned"))
+
+
+@query("normalize_text", f"WITH {_steps_sql('posts_raw', 'text', ('_id',))} SELECT _id, cleaned FROM cleaned")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     c = txt.clean_text(F.col("text"), urls=False, mentions=False, emoji=False, pii=False)
     return table(spark, d, "posts_raw").select("_id", c.alias("cleaned"))
 
 
-@query("pii_mask")
+@query("pii_mask", f"WITH {_masks_sql('posts_raw', ('_id',))} SELECT _id, masked FROM masked")
 def pii_mask(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "posts_raw").select("_id", txt.mask_pii(F.col("text")).alias("masked"))
 
@@ -276,9 +329,7 @@ def untagged_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("incremental_skip", "SELECT _id, 'new' AS state FROM posts_raw WHERE _id NOT IN (SELECT post_id FROM posts_processed) UNION ALL "
        "SELECT _id, 'known' FROM posts_raw WHERE _id IN (SELECT post_id FROM posts_processed)")
 def incremental_skip(spark: SparkSession, d: str) -> DataFrame:
-    raw, old = table(spark, d, "posts_raw").select("_id"), table(spark, d, "posts_processed")
-    new = tab.skip_known(raw, old, "_id", "post_id").withColumn("state", F.lit("new"))
-    return new.unionByName(tab.only_known(raw, old, "_id", "post_id").withColumn("state", F.lit("known")))
+    return tab.known_or_new(table(spark, d, "posts_raw").select("_id"), table(spark, d, "posts_processed"), "_id", "post_id")
 
 
 @query("step_summary", """SELECT count(*) AS scanned, count(*) FILTER (p.post_id IS NULL AND r.text IS NOT NULL) AS processed, count(*) FILTER (p.post_id IS NOT NULL) AS skipped_existing,
@@ -296,17 +347,29 @@ def topk_topics_per_request(spark: SparkSession, d: str) -> DataFrame:
     return req.open_topics(topics, x.where("page = 5"), 10)
 
 
-@query("topic_groups", """SELECT location.province AS province, coalesce(location.district, '') AS district, count(DISTINCT topic_url) AS n_topics, min(topic_url) AS first_topic
-  FROM posts_raw WHERE location.province IS NOT NULL GROUP BY 1, 2""")
+@query("topk_own_max", """WITH t AS (SELECT source AS request_key, topic_url, min(_id) AS rank FROM posts_raw WHERE topic_url IS NOT NULL GROUP BY 1, 2),
+  m AS (SELECT *, CASE WHEN length(request_key) % 2 = 0 THEN length(request_key) END AS max_topics FROM t)
+  SELECT request_key, topic_url, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_key ORDER BY rank, topic_url) AS n FROM m) WHERE n <= coalesce(max_topics, 4)""")
+def topk_own_max(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "posts_raw").where("topic_url IS NOT NULL")
+    topics = x.groupBy(F.col("source").alias("request_key"), "topic_url").agg(F.min("_id").alias("rank"))
+    n = F.length("request_key")
+    return req.open_topics(topics.withColumn("max_topics", F.when(n % 2 == 0, n)), x.limit(0), 4).drop("max_topics")
+
+
+@query("topic_groups", """SELECT location.province AS province, coalesce(location.district, '') AS district, count(DISTINCT topic_url) AS n_topics, min(topic_url) AS first_topic,
+  coalesce(array_to_string(list_sort(list(DISTINCT topic_url) FILTER (topic_url IS NOT NULL)), ' '), '') AS topics FROM posts_raw WHERE location.province IS NOT NULL GROUP BY 1, 2""")
 def topic_groups(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "posts_raw").where("location.province IS NOT NULL")
     g = x.groupBy(F.col("location.province").alias("province"), F.coalesce("location.district", F.lit("")).alias("district"))
-    return g.agg(F.count_distinct("topic_url").alias("n_topics"), F.min("topic_url").alias("first_topic"))
+    # one place's topics; each topic once, and once a task before the shuffle
+    return g.agg(F.count_distinct("topic_url").alias("n_topics"), F.min("topic_url").alias("first_topic"), F.array_join(F.sort_array(F.collect_set("topic_url")), " ").alias("topics"))
 
 
 _REQUESTS = (
     ("r1", None, "all", None, "kahve mekanları", None, None), ("r2", "district", None, "hepsi", "*", 3, 2), ("r3", "auto", None, None, "serbest konu", None, None),
-    ("r4", "province", "*", None, "all", 7, None),
+    ("r4", "province", "*", None, "all", 7, None), ("r5", None, " DIRDÜMLI ", "tıksurlı", "kahve mekanları", None, None), ("r6", "province", "molmokkent", None, "hepsi", None, 1),
+    ("r7", "district", "dirdumli", "all", "serbest", None, None), ("r8", "district", None, "TIKSURLI", "*", 4, None),
 )
 
 
@@ -319,23 +382,46 @@ def _values_sql() -> str:
     return ", ".join(f"({', '.join(map(one, r))})" for r in _REQUESTS)
 
 
+def _dimensions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = table(spark, d, "places")
+    pick = lambda kind: p.where(F.col("kind") == kind)
+    return (pick("province").select(F.col("name").alias("province")), pick("district").select("province", F.col("name").alias("district")),
+            pick("category").select(F.col("name").alias("category")))
+
+
+@query("automatic_tasks", """SELECT 'province' AS level, p.name AS province, NULL::VARCHAR AS district, c.name AS category, 10 AS num_results,
+    'site:forum.example ' || {0} || ' ' || {2} AS query FROM places p, places c WHERE p.kind = 'province' AND c.kind = 'category'
+  UNION ALL SELECT 'district', p.name, d.name, c.name, 5, 'site:forum.example ' || {0} || ' ' || {1} || ' ' || {2} FROM places p JOIN places d ON d.kind = 'district' AND d.province = p.name, places c
+  WHERE p.kind = 'province' AND c.kind = 'category'""".format(*(_key_sql(c) for c in ("p.name", "d.name", "c.name"))))
+def automatic_tasks(spark: SparkSession, d: str) -> DataFrame:
+    tasks = req.expand(req.request_rows(spark, req.every_request(include_provinces=True)), *_dimensions(spark, d))
+    return req.keyed(tasks, "forum.example").select("level", "province", "district", "category", "num_results", "query")
+
+
+@query("unknown_names", f"""WITH v AS (SELECT DISTINCT location.province AS p, location.district AS d FROM posts_raw WHERE coalesce(trim(location.province), '') <> '' AND coalesce(trim(location.district), '') <> ''),
+  k AS (SELECT p, d, {_key_sql("p")} AS pk, {_key_sql("d")} AS dk FROM v), n AS (SELECT kind, {_key_sql("name")} AS nk, {_key_sql("province")} AS npk FROM places)
+  SELECT p || '/' || d AS request_id, 'province' AS what, p AS name FROM k WHERE pk NOT IN (SELECT nk FROM n WHERE kind = 'province')
+  UNION ALL SELECT p || '/' || d, 'district', d FROM k WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.kind = 'district' AND n.nk = k.dk AND n.npk = k.pk)""")
+def unknown_names(spark: SparkSession, d: str) -> DataFrame:
+    """Typed places that are no request's: what known_names() raises for."""
+    v = table(spark, d, "posts_raw").select(F.col("location.province").alias("province"), F.col("location.district").alias("district")).distinct()
+    v = v.where("coalesce(trim(province), '') <> '' AND coalesce(trim(district), '') <> ''").select(F.concat("province", F.lit("/"), "district").alias("request_id"), F.lit("district").alias("level"), "province", "district")
+    return req.unknown_names(v, *_dimensions(spark, d)[:2])
+
+
 @query("task_expansion", f"""WITH r(request_id, level, province, district, category, num_results, max_topics) AS (VALUES {_values_sql()}),
   q AS (SELECT *, CASE WHEN level IS NULL OR level = 'auto' THEN CASE WHEN district IS NULL THEN 'province' ELSE 'district' END ELSE level END AS lv,
     coalesce(lower(province) IN ('all', 'hepsi', '*'), true) AS ap, coalesce(lower(district) IN ('all', 'hepsi', '*'), true) AS ad,
     coalesce(lower(category) IN ('all', 'hepsi', '*'), true) AS ac FROM r),
-  x AS (SELECT q.*, p.name AS pn, d.name AS dn FROM q JOIN places p ON p.kind = 'province' AND q.ap
-    LEFT JOIN places d ON q.lv = 'district' AND d.kind = 'district' AND d.province = p.name AND q.ad WHERE q.lv = 'province' OR d.name IS NOT NULL)
+  x AS (SELECT q.*, p.name AS pn, d.name AS dn FROM q JOIN places p ON p.kind = 'province' AND (q.ap OR {_key_sql("p.name")} = {_key_sql("q.province")})
+    LEFT JOIN places d ON q.lv = 'district' AND d.kind = 'district' AND d.province = p.name AND (q.ad OR {_key_sql("d.name")} = {_key_sql("q.district")}) WHERE q.lv = 'province' OR d.name IS NOT NULL)
   SELECT request_id, lv AS level, pn AS province, dn AS district, coalesce(c.name, category) AS category,
     coalesce(num_results, CASE WHEN lv = 'district' THEN 5 ELSE 10 END) AS num_results, max_topics,
     lv || '|||' || pn || '|||' || coalesce(dn, '') || '|||' || coalesce(c.name, category) AS request_key
   FROM x LEFT JOIN places c ON c.kind = 'category' AND x.ac""")
 def task_expansion(spark: SparkSession, d: str) -> DataFrame:
-    kinds = "request_id string, level string, province string, district string, category string, num_results int, max_topics int"
-    p = table(spark, d, "places")
-    pick = lambda kind: p.where(F.col("kind") == kind)
-    tasks = req.expand(
-        spark.createDataFrame(_REQUESTS, kinds), pick("province").select(F.col("name").alias("province")),
-        pick("district").select("province", F.col("name").alias("district")), pick("category").select(F.col("name").alias("category")))
+    dims = _dimensions(spark, d)
+    tasks = req.expand(req.known_names(spark.createDataFrame(_REQUESTS, req.REQUEST), *dims[:2]), *dims)
     return req.keyed(tasks, "forum.example").drop("query", "fetch_key")
 
 
@@ -356,27 +442,61 @@ def page_plan(spark: SparkSession, d: str) -> DataFrame:
     return page.page_plan(topics, visited)
 
 
+#: Openings and ends of a page's entries, by doc_id % 6: each of the selectors, and one that finds nothing.
+_LAYOUTS = (
+    ('<ul id="entry-item-list">', '<li data-id="{0}"', "</ul>"), ('<div id="entry-item-list"><ol>', '<li data-id="{0}"', "</ol></div>"),
+    ("<ol>", '<li id="entry-item-{0}"', "</ol>"), ("<div>", '<li data-id="{0}"', "</div>"), ('<div id="entry-item-list"><p>broken<ol>', "<li", "</ol>"), ("<ol>", "<li", "</ol>"),
+)
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """The documents as forum pages: a heading, an entry for each text and its copy, and a link."""
+    """The documents as forum pages of several layouts: titles, an entry for each text and its copy, links, tags left open."""
     e = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    li = F.concat(F.lit('<li data-id="'), F.col("doc_id"), F.lit('" data-author="u"><div class="content">'), e, F.lit('</div><span class="entry-date">1.1.2020</span></li>'))
-    html = F.concat(
-        F.lit("<html><head><title>t</title></head><body><h1>Belge <b>"), F.col("doc_id"), F.lit('</b></h1><ul id="entry-item-list">'), li, li,
-        F.lit('</ul><a href="/next?p=2">sonraki</a></body></html>'))
+    k = F.col("doc_id") % 6
+    pick = lambda i: F.get(F.array(*[F.lit(x[i]) for x in _LAYOUTS]), k)
+    li = F.concat(
+        F.replace(pick(1), F.lit("{0}"), F.col("doc_id").cast("string")), F.when(k % 2 == 0, F.lit(' data-author="u">')).otherwise(F.lit('><a class="entry-author" href=/u>u</a>')),
+        F.lit('<div class="content">'), e, F.lit('</div><span class="entry-date">1.1.2020</span></li>'))
+    number = F.col("doc_id").cast("string")
+    head = F.when(k < 2, F.concat(F.lit("<title>t</title></head><body><h1>Belge <b>"), number, F.lit("</b></h1>"))).when(
+        k < 4, F.concat(F.lit('<title>t</title></head><body><h1>h</h1><span itemprop="name">Konu '), number, F.lit("</span>"))).when(
+        k == 4, F.concat(F.lit("<title> Başlık "), number, F.lit("</title></head><body>"))).otherwise(F.lit("</head><body>"))
+    more = F.when(k >= 3, F.lit("<a name=x>yok</a><a href='/p?x=1&amp;y=2'>bir <i>iki</i>")).otherwise(F.lit(""))
+    html = F.concat(F.lit("<html><head>"), head, pick(0), li, li, pick(2), F.lit('<a href="/next?p=2">sonraki</a>'), more, F.lit("</body>"))
     return table(spark, d, "documents").select(F.concat(F.lit("https://d.example/"), F.col("doc_id")).alias("url"), html.alias("html"))
 
 
-@query("page_titles", "SELECT 'https://d.example/' || doc_id AS url, 'Belge ' || doc_id AS title FROM documents")
+_URL = "'https://d.example/' || doc_id"
+
+
+@query("page_titles", f"""SELECT {_URL} AS url, CASE WHEN doc_id % 6 < 2 THEN 'Belge ' || doc_id WHEN doc_id % 6 < 4 THEN 'Konu ' || doc_id WHEN doc_id % 6 = 4 THEN 'Başlık ' || doc_id
+  ELSE '' END AS title FROM documents""")
 def page_titles(spark: SparkSession, d: str) -> DataFrame:
     return page.page_titles(_pages(spark, d))
 
 
-@query("page_entries")
+@query("topic_titles", """SELECT doc_id // 6 AS topic_url, coalesce(min_by(CASE WHEN doc_id % 6 < 2 THEN 'Belge ' || doc_id WHEN doc_id % 6 < 4 THEN 'Konu ' || doc_id WHEN doc_id % 6 = 4
+    THEN 'Başlık ' || doc_id END, (5 - doc_id % 6)) FILTER (doc_id % 6 < 5), '') AS title FROM documents GROUP BY 1""")
+def topic_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Six pages a topic, in reverse; the first one has no title."""
+    n = F.split("url", "/")[3].cast("bigint")
+    x = _pages(spark, d).select(F.floor(n / 6).cast("string").alias("topic_url"), (5 - n % 6).cast("int").alias("page"), "html")
+    return page.topic_titles(x).withColumn("topic_url", F.col("topic_url").cast("bigint"))
+
+
+_STRIP = r"[\t\n\v\f\r\x{1c}-\x{1f}\x{85}\p{Z}]+"
+
+
+@query("page_entries", rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^{_STRIP}', ''), '{_STRIP}$', '') AS t FROM documents),
+  e AS (SELECT doc_id, t, unnest(CASE WHEN doc_id % 6 = 4 THEN [0, 1] WHEN doc_id % 6 = 5 THEN []::INT[] ELSE [0] END) AS ord FROM t WHERE coalesce(t, '') <> '')
+  SELECT {_URL} AS url, ord::INT AS ord, CASE WHEN doc_id % 6 = 4 THEN '' ELSE doc_id::VARCHAR END AS entry_id, 'u' AS author, '1.1.2020' AS date, t AS content FROM e""")
 def page_entries(spark: SparkSession, d: str) -> DataFrame:
     return page.page_entries(_pages(spark, d))
 
 
-@query("html_links", "SELECT 'https://d.example/' || doc_id AS url, 0::INT AS ord, '/next?p=2' AS href, 'sonraki' AS link_text FROM documents")
+@query("html_links", f"""WITH l AS (SELECT doc_id, unnest([('/u', 'u'), ('/u', 'u'), ('/next?p=2', 'sonraki'), ('/p?x=1&y=2', 'bir iki')]) AS l, unnest([0, 1, 2, 3]) AS i FROM documents)
+  SELECT {_URL} AS url, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS ord, l[1] AS href, l[2] AS link_text FROM l
+  WHERE (i < 2 AND doc_id % 2 = 1) OR i = 2 OR (i = 3 AND doc_id % 6 >= 3)""")
 def html_links(spark: SparkSession, d: str) -> DataFrame:
     return page.page_links(_pages(spark, d))
 
@@ -475,3 +595,54 @@ def llm_normalize(spark: SparkSession, d: str) -> DataFrame:
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     x = windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
     return x.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+_RECORDS = f"""WITH {_ISSUES}, r AS (SELECT p._id, p.post_id, coalesce(p.level, '') AS level, coalesce(p.location.province, '') AS province, coalesce(p.location.district, '') AS district, coalesce(p.category, '') AS category,
+    len(list_filter(i.f, lambda x: x <> 'fallback_timestamp_used')) = 0 AS is_valid FROM posts_raw p JOIN i ON p._id = i._id WHERE coalesce(p.post_id, '') <> ''),
+  k AS (SELECT DISTINCT post_id, level, province, district, category FROM r WHERE _id % 3 = 0)"""
+
+
+def _section_parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The posts as new records; every third one is known already, to raw as to clean."""
+    x = table(spark, d, "posts_raw").select("_id", "post_id", "level", F.col("location.province").alias("province"), F.col("location.district").alias("district"), "category", "collected_at")
+    x = sections.bucketed(x.join(_issues(spark, d).select("_id", "is_valid"), "_id"))
+    known = x.where("_id % 3 = 0")
+    return sections.split(x, {"raw": known, "clean": known, "invalid": None})
+
+
+@query("export_sections", f"""{_RECORDS}, n AS (SELECT *, (post_id, level, province, district, category) IN (SELECT (post_id, level, province, district, category) FROM k) AS old FROM r)
+  SELECT section, count(*) AS n FROM (SELECT unnest(CASE WHEN old THEN ['duplicates'] WHEN is_valid THEN ['raw', 'clean'] ELSE ['raw', 'invalid'] END) AS section FROM n) GROUP BY 1""")
+def export_sections(spark: SparkSession, d: str) -> DataFrame:
+    parts = [df.select(F.lit(s).alias("section")) for s, df in _section_parts(spark, d).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("section").agg(F.count("*").alias("n"))
+
+
+def _merged(spark: SparkSession, d: str, scope: str) -> DataFrame:
+    x = table(spark, d, "posts_raw").select("_id", "post_id", "level", F.col("location.province").alias("province"), F.col("location.district").alias("district"), "category")
+    return sections.merged(sections.bucketed(x), scope, "_id")
+
+
+_PLACE_SLUG = "coalesce(nullif(regexp_replace(regexp_replace(trim(regexp_replace({}, '[^a-z0-9\\s_-]', '', 'g')), '\\s+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unlisted')"
+
+
+@query("merged_all", "SELECT post_id, min(_id) AS first_id FROM posts_raw WHERE coalesce(post_id, '') <> '' GROUP BY 1")
+def merged_all(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d, "all").select("post_id", F.col("_id").alias("first_id"))
+
+
+@query("merged_provinces", f"""SELECT post_id, {_PLACE_SLUG.format(_key_sql("location.province"))} AS province_slug, min(_id) AS first_id
+  FROM posts_raw WHERE coalesce(post_id, '') <> '' GROUP BY 1, 2""")
+def merged_provinces(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d, "province").select("post_id", "province_slug", F.col("_id").alias("first_id"))
+
+
+@query("processed_rows", f"""WITH {_masks_sql('posts_raw', ('_id', 'post_tags', 'collected_at'))}, {_clean_sql('masked', 'masked', ('_id', 'post_tags', 'collected_at'))}
+  SELECT _id AS post_id, cleaned AS text, coalesce(trim(post_tags[2]), '') AS province, coalesce(trim(post_tags[3]), '') AS district, 'pending' AS model,
+    epoch_us(coalesce(collected_at, TIMESTAMP '2024-05-01')) AS at_micros FROM cleaned_all WHERE cleaned IS NOT NULL""".replace("cleaned_all", "cleaned"))
+def processed_rows(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "posts_raw").withColumn("created_at", F.col("collected_at"))
+    x = pipeline.processed_rows(raw, datetime(2024, 5, 1))
+    return x.select("post_id", "text", "location.province", "location.district", F.col("sentiment.llm.model").alias("model"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("at_micros"))
