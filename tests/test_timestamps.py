@@ -108,3 +108,23 @@ def test_stretches_equal_one_pass(spark, seed):
         i, j = divmod(int(pos), len(own[-1][0]))
         way += choice[i, j].tolist()
     assert cost(way) == pytest.approx(best)
+
+
+def test_hidden_notation_is_recovered(spark):
+    """Known instants of a source whose zone repeats hours and whose day order nobody declares: the order of collection tells."""
+    rng = np.random.default_rng(7)
+    start = datetime(2023, 10, 20, tzinfo=timezone.utc)
+    truth, data, at = {}, [], start
+    zone = ZoneInfo("America/New_York")
+    for i in range(4000):
+        at += timedelta(minutes=float(rng.exponential(12)))
+        shown = at.replace(second=0, microsecond=0)
+        text = shown.astimezone(zone).strftime("%d/%m/%Y %H:%M")
+        truth[i] = (shown - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+        data.append((i, text, "ny", (at + timedelta(minutes=1)).replace(tzinfo=None), "clash"))
+    prof = spark.createDataFrame([("ny", "America/New_York", None)], "source string, zone string, date_order string")
+    got = ts.normalise_timestamps(spark.createDataFrame(data, SCHEMA).repartition(5), prof).collect()
+    open_ = [r for r in got if r.n_interpretations > 1]
+    right = sum(r.utc_micros == truth[r.raw_id] for r in open_) / len(open_)
+    assert len(open_) > 1000 and right > 0.97, right
+    assert all(r.utc_micros == truth[r.raw_id] for r in got if r.n_interpretations == 1)

@@ -4,7 +4,7 @@ Every value is read in all ways that are valid for it (day/month order where the
 repeated wall time). One reading per record is then chosen by a Viterbi pass over each source's records in the order in
 which they were collected; switching the notation, jumping back in time and lying after the collection time cost.
 
-Distribution. Records are range-partitioned by (source, collection time, id), so a source that holds half of all records is
+Distribution. Records are range-partitioned by (source, collection time, id) as they are read, then interpreted, so a source that holds half of all records is
 spread over as many tasks as its size asks for. A task solves its stretch for every pair of readings of its first and last
 record (readings per record are few: at most four) and emits, for the records that depend on them, the choice for each
 pair. One row per stretch and source, at most tasks + sources rows, is then chained in (min, +) algebra and the chosen pair
@@ -24,7 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yakamoz.runtime import cut
+from yakamoz.runtime import at_most, cut
+
+#: Source profiles that may be broadcast; choices of end readings, one for each stretch and source, that may be.
+MAX_PROFILES, MAX_STRETCHES = 10_000, 2_000_000
 
 # Month names, Turkish and English, diacritics folded.
 MONTHS = (
@@ -311,27 +314,28 @@ def normalise_timestamps(
 ) -> DataFrame:
     """(``raw_id`` bigint, ``already_plain`` boolean, ``n_interpretations`` int, ``utc_micros`` bigint), one row for each row of ``df``.
 
-    ``profiles`` (source, zone, date_order) is broadcast: one row per source, checked to be at most 10,000. utc_micros is the
+    ``profiles`` (source, zone, date_order) is broadcast: one row per source, checked to be at most MAX_PROFILES. utc_micros is the
     chosen reading, null where there is none (null, blank, relative or impossible values; n_interpretations 0).
     n_interpretations above 1 marks values that were ambiguous by themselves: repeated wall times, or undeclared day order.
     Repeated rows and rows with equal times stay as they are, ordered by key; a null source is a source of its own; an empty
     table gives an empty result; further columns are ignored.
     """
     prof = profiles.select(F.col("source").alias("_src"), F.col("zone").alias("_zone"), F.col("date_order").alias("_order"))
-    prof = prof.dropDuplicates(["_src"])
-    if prof.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 source profiles")
+    prof = at_most(prof.dropDuplicates(["_src"]), MAX_PROFILES, "source profiles")
     x = df.select(
         F.col(key).cast("bigint").alias("id"), F.col(value).alias("_value"), F.coalesce(F.col(value).rlike(_PLAIN), F.lit(False)).alias("plain"), F.coalesce(F.col(source), F.lit("")).alias("source"),
         F.unix_micros(F.col(collected).cast("timestamp_ntz").cast("timestamp")).cast("double").alias("collected"),
-    ).join(F.broadcast(prof), F.col("source") == F.col("_src"), "left")
+    )
+    # the values as they are go through the shuffle: its sample and its map side read no interpretation
+    x = x.repartitionByRange("source", "collected", "id")
+    x = x.join(F.broadcast(prof), F.col("source") == F.col("_src"), "left")
     x = interpretations(x, "_value", "source", "_zone", "_order")
     x = x.select("id", "plain", "source", "collected", F.col("_instants").alias("instants"), F.col("_notes").alias("notes"))
-    solved = cut(
-        x.repartitionByRange("source", "collected", "id").sortWithinPartitions("source", "collected", "id").mapInArrow(_stretches, _RESOLVED_DDL)
-    )
+    # sorted here: the optimizer drops a sort that a join stands above
+    solved = cut(x.sortWithinPartitions("source", "collected", "id").mapInArrow(_stretches, _RESOLVED_DDL))
     picked = solved.where("summary IS NOT NULL").groupBy("source").applyInPandas(_chain, "stretch int, source string, pos int")
-    rows = solved.where("summary IS NULL").join(F.broadcast(picked), ["stretch", "source"], "left")
+    few = solved.where("summary IS NOT NULL").limit(MAX_STRETCHES + 1).count() <= MAX_STRETCHES
+    rows = solved.where("summary IS NULL").join(F.broadcast(picked) if few else picked, ["stretch", "source"], "left")
     return rows.select(
         F.col("id").alias("raw_id"), F.col("plain").alias("already_plain"), F.col("n").alias("n_interpretations"),
         F.when(F.size("options") == 1, F.col("options")[0]).otherwise(F.get("options", F.col("pos"))).alias("utc_micros"),
