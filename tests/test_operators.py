@@ -98,6 +98,13 @@ def test_location(spark):
     got = loc.tagged(spark.createDataFrame(texts, "post_id int, text string, tags array<string>"), spark.createDataFrame(GAZ, "ord int, province string, district string"), tags="tags")
     assert {r.post_id: (r.province, r.district) for r in got.collect()} == {
         1: ("Adana", ""), 2: ("İstanbul", "Kadıköy"), 3: ("Adıyaman", "Merkez"), 4: ("", ""), 5: ("", ""), 6: ("Ankara", ""), 7: ("", "")}
+    more = spark.createDataFrame([*GAZ, (8, "Ankara", "Yeni  Kale"), (9, "Adana", "Su-Başı"), (10, "İzmir", "123"), (11, None, None)], "ord int, province string, district string")
+    long_ = spark.createDataFrame([(1, "bugün YENİ kale tarafında"), (2, "yeni, kale"), (3, "su-başı"), (4, "su başı"), (5, "yeni\nkale ankara"), (6, "123"), (7, "yeni"), (7, "yeni")], "post_id int, text string")
+    got = sorted((r.post_id, r.district) for r in loc.tagged(long_, more).collect())
+    assert got == [(1, "Yeni  Kale"), (2, ""), (3, "Su-Başı"), (4, ""), (5, "Yeni  Kale"), (6, ""), (7, ""), (7, "")]
+    assert loc.tagged(long_, more.limit(0)).where("province <> ''").count() == 0 and loc.tagged(long_.limit(0), more).count() == 0
+    plan = loc.tagged(long_, more)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "from_json" not in plan
     codes = spark.createDataFrame([("Adana",), ("Düzce",), ("Ardahan",), ("Nowhere",)], "p string").select(loc.province_code(F.col("p")).alias("c")).collect()
     assert [r.c for r in codes] == ["TR-01", "TR-81", "TR-75", "TR-??"]
 

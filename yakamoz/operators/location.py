@@ -8,14 +8,14 @@ a text's words is looked up within one projection. No pattern for each name, no
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from yakamoz.functions.text import turkish_lower
-from yakamoz.runtime import at_most
 
 #: Rows of a gazetteer that may be broadcast.
 MAX_GAZETTEER = 100_000
@@ -29,17 +29,23 @@ PROVINCES = (
 ).split()
 _LETTERS = "[^a-zA-ZğüşıöçĞÜŞİÖÇ]+"
 _PIECES = "[a-zA-ZğüşıöçĞÜŞİÖÇ]+|[^a-zA-ZğüşıöçĞÜŞİÖÇ]+"
-_ENTRY = "c string, e struct<is_province: boolean, rank: int, province: string, district: string>"
+_LETTER = "[a-zA-ZğüşıöçĞÜŞİÖÇ]"
+_TABLE = "array<map<string, struct<is_province: boolean, rank: int, province: string, district: string>>>"
 
 
-def gazetteer(places: DataFrame) -> DataFrame:
-    """(``candidate``, ``province``, ``district``, ``rank``) of (``ord``, ``province``, ``district``); district '' stands for the
-    province itself. Of equal candidates a province comes first, then the first row."""
-    x = places.withColumn("candidate", turkish_lower(F.when(F.col("district") == "", F.col("province")).otherwise(F.col("district"))))
-    first = x.groupBy("candidate").agg(F.min_by(F.struct("province", "district", "ord"), F.struct(F.col("district") != "", "ord")).alias("_r"))
-    first = first.select("candidate", "_r.*")
-    rank = F.row_number().over(W.orderBy(F.length("candidate").desc(), "ord", "candidate"))  # one task: MAX_GAZETTEER rows at most
-    return first.withColumn("rank", rank).drop("ord")
+def gazetteer(places: DataFrame) -> list[tuple[str, bool, int, str, str]]:
+    """(candidate, whether it is a province, rank, province, district) of (``ord``, ``province``, ``district``); a blank district
+    stands for the province itself. Of equal candidates a province comes first, then the first row; rank goes by length."""
+    rows = places.select("ord", F.coalesce("province", F.lit("")), F.coalesce("district", F.lit(""))).limit(MAX_GAZETTEER + 1).collect()
+    if len(rows) > MAX_GAZETTEER:
+        raise ValueError(f"more than {MAX_GAZETTEER} gazetteer rows")
+    first: dict[str, tuple] = {}
+    for ord_, p, d in sorted(rows, key=lambda r: (r[2] != "", r[0])):
+        name = (d or p).replace("İ", "i").replace("I", "ı").lower()
+        if re.search(_LETTER, name):
+            first.setdefault(" ".join(name.split()), (d == "", ord_, p, d))
+    ranked = sorted(first.items(), key=lambda x: (-len(x[0]), x[1][1], x[0]))
+    return [(c, is_province, i, p, d) for i, (c, (is_province, _, p, d)) in enumerate(ranked, 1)]
 
 
 def runs(text: Column, longest: int) -> Column:
@@ -61,27 +67,23 @@ def tagged(posts: DataFrame, places: DataFrame, key: str = "post_id", text: str
     Null and empty texts and tags name nothing; texts are read whole; repeated rows give repeated rows; an empty gazetteer
     tags nothing; further columns are ignored. More than MAX_GAZETTEER places: ValueError.
     """
-    rows = gazetteer(at_most(places, MAX_GAZETTEER, "gazetteer rows")).collect()
+    rows = gazetteer(places)
     if not rows:
         return posts.select(key, F.lit("").alias("province"), F.lit("").alias("district"))
-    longest = max(len([w for w in re.split(_LETTERS, r.candidate) if w]) for r in rows)
-    spark, size = posts.sparkSession, 1 << (2 * len(rows)).bit_length()
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
-    flat = spark.createDataFrame([(r.candidate, ((r.district or "") == "", r["rank"], r.province, r.district or "")) for r in rows], _ENTRY)
-    at: list[list] = [[] for _ in range(size)]
-    for r in flat.select("c", "e", slot(F.col("c")).alias("s")).collect():
-        at[r.s].append((r.c, r.e))
-    # one row: a hash table, as an array of short maps; the key of a map is sought one by one
-    known = spark.createDataFrame([(at,)], f"a array<array<struct<{_ENTRY.replace(' ', ': ', 1).replace(', e ', ', e: ')}>>>").select(F.transform("a", F.map_from_entries).alias("_g"))
-    entry = lambda c: F.try_element_at(F.get("_g", slot(c)), c)
+    longest = max(len([w for w in re.split(_LETTERS, r[0]) if w]) for r in rows)
+    # a hash table, as an array of short maps, since the key of a map is sought one by one; a constant of the plan
+    size = 1 << (2 * len(rows)).bit_length()
+    at: list[dict] = [{} for _ in range(size)]
+    for c, *e in rows:
+        at[zlib.crc32(c.encode()) % size][c] = dict(zip(("is_province", "rank", "province", "district"), e))
+    known = F.from_json(F.lit(json.dumps(at, ensure_ascii=False)), _TABLE)
+    entry = lambda c: F.try_element_at(F.get(known, (F.crc32(c.cast("binary")) % size).cast("int")), c)
     found = lambda t: F.array_min(F.filter(F.transform(runs(t, longest), entry), lambda e: e.isNotNull()))
     best = found(F.col(text))
     if tags:
         of_tags = F.filter(F.transform(F.coalesce(F.col(tags), F.array().cast("array<string>")), found), lambda e: e.isNotNull())
         best = F.coalesce(F.get(of_tags, F.lit(0)), best)
-    x = posts.select(F.col(key), F.col(text), *([F.col(tags)] if tags and tags != text else []))
-    x = x.crossJoin(F.broadcast(known)).select(key, best.alias("_b"))
-    return x.select(key, *[F.coalesce(F.col(f"_b.{c}"), F.lit("")).alias(c) for c in ("province", "district")])
+    return posts.select(key, best.alias("_b")).select(key, *[F.coalesce(F.col(f"_b.{c}"), F.lit("")).alias(c) for c in ("province", "district")])
 
 
 def province_code(c: Column) -> Column:

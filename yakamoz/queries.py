@@ -19,10 +19,17 @@ from yakamoz.operators import requests as req
 from yakamoz.operators import tables as tab
 from yakamoz.operators.timestamps import normalise_timestamps, unambiguous_instants
 from yakamoz.plans import geojson, pipeline, sections
-from yakamoz.runtime import table
+from yakamoz.runtime import spread, table
 from yakamoz.streaming.incremental import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+
+def texts(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """These columns of a table whose texts are worked on row by row."""
+    return spread(table(spark, d, name).select(*columns))
+
+
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -223,23 +230,23 @@ def _clean_sql(of: str, column: str, keys: tuple[str, ...]) -> str:
 
 @query("clean_text", f"WITH i AS (SELECT _id, text FROM posts_raw), {_masks_sql('i', ('_id',))}, {_clean_sql('masked', 'masked', ('_id',))} SELECT _id, cleaned FROM cleaned")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "posts_raw").select("_id", txt.clean_text(F.col("text")).alias("cleaned"))
+    return texts(spark, d, "posts_raw", "_id", "text").select("_id", txt.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query("normalize_text", f"WITH {_steps_sql('posts_raw', 'text', ('_id',))} SELECT _id, cleaned FROM cleaned")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     c = txt.clean_text(F.col("text"), urls=False, mentions=False, emoji=False, pii=False)
-    return table(spark, d, "posts_raw").select("_id", c.alias("cleaned"))
+    return texts(spark, d, "posts_raw", "_id", "text").select("_id", c.alias("cleaned"))
 
 
 @query("pii_mask", f"WITH {_masks_sql('posts_raw', ('_id',))} SELECT _id, masked FROM masked")
 def pii_mask(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "posts_raw").select("_id", txt.mask_pii(F.col("text")).alias("masked"))
+    return texts(spark, d, "posts_raw", "_id", "text").select("_id", txt.mask_pii(F.col("text")).alias("masked"))
 
 
 @query("pii_mask_email", f"SELECT _id, regexp_replace(text, '{txt.EMAIL}', '[EMAIL]', 'g') AS masked FROM posts_raw")
 def pii_mask_email(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "posts_raw").select("_id", F.regexp_replace("text", txt.EMAIL, "[EMAIL]").alias("masked"))
+    return texts(spark, d, "posts_raw", "_id", "text").select("_id", F.regexp_replace("text", txt.EMAIL, "[EMAIL]").alias("masked"))
 
 
 _FORM = f"trim(regexp_replace({_LOWER.format("coalesce(text, '')")}, '{_WS}', ' ', 'g'))"
@@ -248,7 +255,7 @@ _FORM = f"trim(regexp_replace({_LOWER.format("coalesce(text, '')")}, '{_WS}', '
 @query("text_fingerprint_dedupe", f"""WITH a AS (SELECT _id, topic_url, {_FORM} AS f FROM posts_raw), b AS (SELECT _id, topic_url, CASE WHEN f = '' THEN '' ELSE sha1(f) END AS fp FROM a)
   SELECT _id, topic_url, fp FROM (SELECT *, row_number() OVER (PARTITION BY topic_url, fp ORDER BY _id) AS n FROM b) WHERE n = 1 OR fp = ''""")
 def text_fingerprint_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "posts_raw").select("_id", "topic_url", rec.fingerprint(F.col("text")).alias("fp"))
+    x = texts(spark, d, "posts_raw", "_id", "topic_url", "text").select("_id", "topic_url", rec.fingerprint(F.col("text")).alias("fp"))
     return tab.first_by(x, ["topic_url", "fp"], ["_id"], unless=F.col("fp") == "")
 
 
@@ -261,7 +268,7 @@ def post_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def _issues(spark: SparkSession, d: str) -> DataFrame:
     created = rec.parse_date(F.col("created_at"))
-    x = table(spark, d, "posts_raw").withColumn("_c", created)
+    x = texts(spark, d, "posts_raw", "_id", "text", "source", "language", "created_at", "collected_at", "category", "location", "level").withColumn("_c", created)
     found = rec.issues(F.col("text"), F.col("source"), F.col("language"), F.coalesce("_c", F.col("collected_at").cast("timestamp")), F.col("_c").isNull(),
                        F.col("category"), F.col("location.province"), F.col("location.district"), F.col("level"))
     return x.select("_id", found.alias("found")).withColumn("is_valid", rec.is_valid(F.col("found")))
@@ -284,7 +291,7 @@ _DATED = rf"""t AS (SELECT *, trim(regexp_replace(regexp_replace(created_at, ' ?
 
 @query("parse_dates", f"WITH {_DATED} SELECT _id, epoch_us(made) AS at_micros FROM u")
 def parse_dates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "posts_raw").select("_id", F.unix_micros(rec.parse_date(F.col("created_at"))).alias("at_micros"))
+    return texts(spark, d, "posts_raw", "_id", "created_at").select("_id", F.unix_micros(rec.parse_date(F.col("created_at"))).alias("at_micros"))
 
 
 _BLANK = "coalesce(trim({}), '') = ''"
@@ -463,7 +470,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
         k == 4, F.concat(F.lit("<title> Başlık "), number, F.lit("</title></head><body>"))).otherwise(F.lit("</head><body>"))
     more = F.when(k >= 3, F.lit("<a name=x>yok</a><a href='/p?x=1&amp;y=2'>bir <i>iki</i>")).otherwise(F.lit(""))
     html = F.concat(F.lit("<html><head>"), head, pick(0), li, li, pick(2), F.lit('<a href="/next?p=2">sonraki</a>'), more, F.lit("</body>"))
-    return table(spark, d, "documents").select(F.concat(F.lit("https://d.example/"), F.col("doc_id")).alias("url"), html.alias("html"))
+    return texts(spark, d, "documents", "doc_id", "text").select(F.concat(F.lit("https://d.example/"), F.col("doc_id")).alias("url"), html.alias("html"))
 
 
 _URL = "'https://d.example/' || doc_id"
@@ -519,7 +526,7 @@ _SPLIT = "[^a-zA-ZğüşıöçĞÜŞİÖÇ]+"
   b AS (SELECT _id, g.province, g.district, row_number() OVER (PARTITION BY _id ORDER BY place, g.district = '', length(candidate) DESC, ord, candidate) AS n FROM w JOIN g USING (candidate))
   SELECT r._id, coalesce(b.province, '') AS province, coalesce(b.district, '') AS district FROM posts_raw r LEFT JOIN b ON r._id = b._id AND b.n = 1""")
 def location_tag(spark: SparkSession, d: str) -> DataFrame:
-    return loc.tagged(table(spark, d, "posts_raw"), _gazetteer_rows(spark, d), "_id", "text", "post_tags")
+    return loc.tagged(texts(spark, d, "posts_raw", "_id", "text", "post_tags"), _gazetteer_rows(spark, d), "_id", "text", "post_tags")
 
 
 @query("upsert_merge", """WITH o AS (SELECT post_id, _id, source FROM posts_raw WHERE page = 1), n AS (SELECT post_id, _id, source FROM posts_raw WHERE page <> 1 OR page IS NULL),
@@ -643,6 +650,6 @@ def merged_provinces(spark: SparkSession, d: str) -> DataFrame:
   SELECT _id AS post_id, cleaned AS text, coalesce(trim(post_tags[2]), '') AS province, coalesce(trim(post_tags[3]), '') AS district, 'pending' AS model,
     epoch_us(coalesce(collected_at, TIMESTAMP '2024-05-01')) AS at_micros FROM cleaned_all WHERE cleaned IS NOT NULL""".replace("cleaned_all", "cleaned"))
 def processed_rows(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "posts_raw").withColumn("created_at", F.col("collected_at"))
+    raw = texts(spark, d, "posts_raw", "_id", "text", "post_tags", "collected_at").withColumn("created_at", F.col("collected_at"))
     x = pipeline.processed_rows(raw, datetime(2024, 5, 1))
     return x.select("post_id", "text", "location.province", "location.district", F.col("sentiment.llm.model").alias("model"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("at_micros"))

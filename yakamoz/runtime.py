@@ -43,10 +43,10 @@ def at_most(df: DataFrame, rows: int, what: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan that has fewer partitions than the cluster has cores, spread over them: for Python functions on small tables. Tables
-    of any size beyond that are left as they are read."""
+    """A scan of fewer partitions than the cluster has cores, dealt out over them: for work on each row that costs far more than
+    moving the row. Tables that are read in as many partitions or more stay as they are read; rows are the same either way."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def hadoop_path(spark: SparkSession, path: str):  # noqa: ANN201
