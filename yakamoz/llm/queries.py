@@ -133,7 +133,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return statistics(table(spark, d, "documents"))
+    return statistics(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 @query
