@@ -14,7 +14,7 @@ from yakamoz.operators import location as loc
 from yakamoz.operators import requests as req
 from yakamoz.operators import tables as tab
 from yakamoz.plans import geojson, pipeline, runs, sections
-from yakamoz.sources import readers
+from yakamoz.sources import readers, web
 from yakamoz.streaming.incremental import stream_posts, windowed_counts
 
 MODEL = "struct<label: string, score: double, model: string>"
@@ -281,7 +281,7 @@ def test_pipeline(spark, tmp_path):
         pipeline.run(ctx, ["sentiment"], data={"evaluation": {"enabled": True}})
 
 
-class Forum(readers.PageSource):
+class Forum:
     """Two topics for each query; the second page of the first one is missing."""
 
     def search(self, queries):
@@ -315,6 +315,35 @@ def test_fetch(spark, tmp_path):
     assert pipeline.run(pipeline.Context(spark, f"file://{tmp_path}", run_at=T), ["fetch"], data=ask)["fetch"] == {"skipped": "no source of pages"}
 
 
+def test_web(spark):
+    assert web.keys_of(" a,b\n a ", "c") == ["a", "b"] and web.keys_of(None, "c d") == ["c", "d"] and web.keys_of("", None) == []
+    pauses = []
+
+    def answers(*given):
+        it = iter(given)
+
+        def get(_):
+            x = next(it)
+            if x is None:
+                raise OSError
+            return x, f"<p>{x}</p>"
+
+        return get
+
+    read = lambda *a: web.page(answers(*a), "u", sleep=pauses.append)
+    assert read(404) is None and read(503, None, 200) == "<p>200</p>" and pauses == [5.0, 10.0] and read(429, 500, 403) is None
+    with pytest.raises(RuntimeError):
+        read(400)
+    ask = lambda q, n, k: (401, []) if k == "old" else (200, ["https://s.example/a", "https://x.example/b", "https://s.example/a", "https://s.example/c"])
+    assert web.links(ask, "q", 5, ["old", "new"], "s.example") == ["https://s.example/a", "https://s.example/c"]
+    for bad, keys in ((ask, ["old"]), (ask, []), (lambda *_: (500, []), ["k"])):
+        with pytest.raises(RuntimeError):
+            web.links(bad, "q", 5, keys, "s.example")
+    w = web.Web(lambda u: (404, "") if "b" in u else (200, u), ask, ["new"], "s.example", delay=0.0)
+    assert [tuple(r) for r in w.search(spark.createDataFrame([("q", None)], "query string, num_results int")).collect()] == [("q", 0, "https://s.example/a"), ("q", 1, "https://s.example/c")]
+    assert {r.url: r.html for r in w.pages(spark.createDataFrame([("a",), ("b",)], "url string")).collect()} == {"a": "a", "b": None}
+
+
 def test_sections(spark):
     ddl = "post_id string, is_valid boolean, level string, province string, district string, category string, collected_at int"
     rows = [("a", True, "district", "Adana", "Kozan", "kafe", 1), ("a", True, "province", "Adana", None, "kafe", 2), ("b", False, "province", "Adana", None, "kafe", 3), ("c", True, "province", "Adana", "", "kafe", 4), (None, True, "province", "x", None, "k", 5)]

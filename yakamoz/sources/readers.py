@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,13 +99,11 @@ def append_event(spark: SparkSession, path: str, **event: object) -> None:
     write_file(spark, f"{path}/{time.time_ns():020d}-{uuid.uuid4().hex}.json", json.dumps(event, ensure_ascii=False, default=str) + "\n")
 
 
-class PageSource:
-    """Interface of a page source: search results and pages come from outside of the engine as tables."""
+class PageSource(Protocol):
+    """A source of pages: search results and pages come from outside of the engine as tables. ``sources.web`` has one for the web."""
 
     def search(self, queries: DataFrame) -> DataFrame:
-        """(query, rank, link)"""
-        raise NotImplementedError
+        """(query, rank, link) of (query, num_results)"""
 
     def pages(self, urls: DataFrame) -> DataFrame:
-        """(url, html)"""
-        raise NotImplementedError
+        """(url, html) of (url); html null where there is no page"""
