@@ -275,8 +275,8 @@ def test_score_is_smith_waterman(seed):
 def test_changed_words_count_as_covered(size, stretch, changed):
     item = [f"kelime{i}" for i in range(size)]
     text = ["başka" if i in (changed or ()) else w for i, w in enumerate(item[:stretch])]
-    got = leaks.Index([(1, " ".join(item))]).leaks(" ".join(["önce"] * 30 + text + ["sonra"] * 30))
-    assert [i for i, _ in got] == ([1] if changed is not None else [])
+    got = leaks.Index([(1, " ".join(item))]).leaks([" ".join(["önce"] * 30 + text + ["sonra"] * 30)])
+    assert [i for _, i, _ in got] == ([1] if changed is not None else [])
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 13, 14, 17, 20, 31, 48, 67])
@@ -288,8 +288,8 @@ def test_half_of_an_item_is_found(size):
     index.rank({n: rng.integers(0, 9, len(g[0])) for n, g in index.grams.items()})
     half = -(-size // 2)
     for at in range(size - half + 1):
-        assert [i for i, _ in index.leaks(" ".join(["önce"] * 9 + item[at : at + half] + ["sonra"] * 9))] == [1]
-    assert index.leaks(" ".join(["önce"] * 9)) == [] and (size < 5 or index.leaks(" ".join(["önce"] * 9 + item[: half - 2])) == [])
+        assert [i for _, i, _ in index.leaks([" ".join(["önce"] * 9 + item[at : at + half] + ["sonra"] * 9)])] == [1]
+    assert index.leaks([" ".join(["önce"] * 9)]) == [] and (size < 5 or index.leaks([" ".join(["önce"] * 9 + item[: half - 2])]) == [])
 
 
 @pytest.mark.parametrize("size", [24, 31, 40, 50, 67])
@@ -303,7 +303,20 @@ def test_changed_words_leave_a_seed(size, every):
         index.rank({n: rng.permutation(len(g[0])) for n, g in index.grams.items()})
         for first in range(every):
             text = [w if (i + first) % every else "başka" for i, w in enumerate(item)]
-            assert [i for i, _ in index.leaks(" ".join(["önce"] * 20 + text + ["sonra"] * 20))] == [1]
+            assert [i for _, i, _ in index.leaks([" ".join(["önce"] * 20 + text + ["sonra"] * 20)])] == [1]
+
+
+def test_texts_together_are_as_texts_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    vocab = [f"k{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choice(vocab, rng.integers(1, 30)))) for i in range(40)]
+    texts = [None, "", *(" ".join(rng.choice(vocab, rng.integers(0, 90))) for _ in range(60)), *(f"a b {t} c" for _, t in items[:9])]
+    index = leaks.Index(items)
+    index.rank({n: rng.integers(0, 9, len(g[0])) for n, g in index.grams.items()})
+    alone = [(d, i, s) for d, t in enumerate(texts) for _, i, s in index.leaks([t])]
+    assert index.leaks(texts) == alone and len(alone) > 9
+    monkeypatch.setattr(leaks, "AT_ONCE", 7)
+    assert index.leaks(texts) == alone and index.leaks([]) == []
 
 
 def test_bound_holds():

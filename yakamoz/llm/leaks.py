@@ -27,6 +27,8 @@ N, PAIRS, BAND = 3, 12, 8
 #: Least span of the alignment, as a part of the item's words, and its least score, as a part of the span: a word in six changed.
 #: A longer stretch may have more changes, as long as its score is NET of the item's words.
 SPAN, SCORE, NET = 0.5, 2 / 3, 0.45
+#: Postings that are looked at together.
+AT_ONCE = 1 << 21
 #: Items whose index may be broadcast.
 MAX_ITEMS = 200_000
 
@@ -148,12 +150,17 @@ class Index:
         at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
         return np.where(keys[at] == codes, at, -1)
 
-    def code(self, text: str | None) -> np.ndarray:
-        get = self.number.get
-        return np.array([get(w, -1) for w in words(text)], dtype=np.int64)
+    def code(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of the texts in one row, each text followed by -1, and where each one starts."""
+        get, out, start = self.number.get, [], [0]
+        for t in texts:
+            out += [get(w, -1) for w in words(t)]
+            out.append(-1)
+            start.append(len(out))
+        return np.array(out, dtype=np.int64), np.array(start, dtype=np.int64)
 
     def held(self, coded: np.ndarray, n: int) -> np.ndarray:
-        """For each n-gram of a text its place among the items' ones, or -1."""
+        """For each n-gram of the texts its place among the items' ones, or -1."""
         return self._find(self.grams[n][0], self._codes(coded, n))
 
     def rank(self, frequency: dict[int, np.ndarray]) -> None:
@@ -170,35 +177,42 @@ class Index:
             kept = np.unique(pair[~dropped])
             seed[order] = ~dropped | np.isin(pair, kept)
 
-    def leaks(self, text: str | None) -> list[tuple[int, float]]:
-        """(item id, score as a part of the item's words) of the items that the text gives away."""
-        coded = self.code(text)
-        found: dict[int, list[int]] = defaultdict(list)
-        for n, (_, start, item, place, seed) in self.grams.items():
+    def met(self, coded: np.ndarray, start: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """(text, item) -> bands of diagonals that hold enough n-grams of the item, for the pairs that share a seed."""
+        found: dict[tuple[int, int], list[int]] = defaultdict(list)
+        shift = 1 << 32
+        for n, (_, first, item, place, seed) in self.grams.items():
             held = self.held(coded, n)
             spot = np.flatnonzero(held >= 0)
-            if not len(spot):
-                continue
-            size = (start[1:] - start[:-1])[held[spot]]
-            at = np.repeat(start[held[spot]] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            own = item[at]
-            met = np.zeros(len(self.ids), dtype=bool)
-            met[own[seed[at]]] = True
-            met &= np.bincount(own, minlength=len(met)) >= self.least
-            keep = met[own]
-            if not keep.any():
-                continue
-            diagonal = np.repeat(spot, size) - place[at]
-            shift = 1 << 32
-            keys, count = np.unique(own[keep] * shift + diagonal[keep] // BAND + shift // 2, return_counts=True)
-            own = keys // shift
-            both = count.copy()  # a band and the next one
-            both[:-1] += np.where(keys[1:] == keys[:-1] + 1, count[1:], 0)
-            for x in np.flatnonzero(both >= self.least[own]):
-                found[int(own[x])].append(int(keys[x] % shift - shift // 2))
+            text = np.searchsorted(start, spot, side="right") - 1
+            size = (first[1:] - first[:-1])[held[spot]]
+            part = np.cumsum(size) // AT_ONCE
+            ends = np.flatnonzero((part[1:] != part[:-1]) & (text[1:] != text[:-1])) + 1  # whole texts, about AT_ONCE postings each
+            for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), len(spot)]):
+                own = size[lo:hi]
+                at = np.repeat(first[held[spot[lo:hi]]] - np.cumsum(own) + own, own) + np.arange(own.sum())
+                if not len(at):
+                    continue
+                pairs, nth, count = np.unique(np.repeat(text[lo:hi], own) * len(self.ids) + item[at], return_inverse=True, return_counts=True)
+                good = np.zeros(len(pairs), dtype=bool)
+                good[nth[seed[at]]] = True
+                good &= count >= self.least[pairs % len(self.ids)]
+                keep = good[nth]
+                diagonal = np.repeat(spot[lo:hi] - start[text[lo:hi]], own)[keep] - place[at[keep]]
+                keys, count = np.unique(nth[keep] * shift + diagonal // BAND + shift // 2, return_counts=True)
+                pair = pairs[keys // shift]
+                both = count.copy()  # a band and the next one
+                both[:-1] += np.where(keys[1:] == keys[:-1] + 1, count[1:], 0)
+                for x in np.flatnonzero(both >= self.least[pair % len(self.ids)]):
+                    found[divmod(int(pair[x]), len(self.ids))].append(int(keys[x] % shift - shift // 2))
+        return found
+
+    def leaks(self, texts: list[str | None]) -> list[tuple[int, int, float]]:
+        """(number of the text, item id, score as a part of the item's words) of the items that the texts give away."""
+        all_, start = self.code(texts)
         out = []
-        for k, good in sorted(found.items()):
-            size = len(self.coded[k])
+        for (d, k), good in sorted(self.met(all_, start).items()):
+            coded, size = all_[start[d] : start[d + 1] - 1], len(self.coded[k])
             top, spans, leak = 0, [], False
             for b in sorted(good):  # each band with room for words put in or left out; those that touch are one
                 lo, hi = max(0, (b - 1) * BAND), (b + 3) * BAND + size
@@ -217,7 +231,7 @@ class Index:
                     s, wide = span(self.coded[k].tolist(), coded[lo:hi].tolist())
                     leak = wide >= SPAN * size and s >= min(SCORE * wide, NET * size)
             if leak:
-                out.append((self.ids[k], top / size))
+                out.append((d, self.ids[k], top / size))
         return out
 
 
@@ -228,11 +242,13 @@ def frequencies(texts: DataFrame, index: Index) -> dict[int, np.ndarray]:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for b in batches:
-            coded = [index.code(t) for t in b.column(0).to_pylist()]
+            coded, start = index.code(b.column(0).to_pylist())
             out = []
-            for n in index.grams:
-                got = [x[x >= 0] for x in (np.unique(index.held(c, n)) for c in coded)]
-                g, k = np.unique(np.concatenate([np.empty(0, np.int64), *got]), return_counts=True)
+            for n, grams in index.grams.items():
+                held = index.held(coded, n)
+                spot = np.flatnonzero(held >= 0)
+                own = np.unique((np.searchsorted(start, spot, side="right") - 1) * len(grams[0]) + held[spot])  # once a text
+                g, k = np.unique(own % len(grams[0]), return_counts=True)
                 out.append((np.full(len(g), n), g, k))
             cols = [np.concatenate(c) for c in zip(*out)] or [np.empty(0, np.int64)] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["s", "g", "n"])
@@ -261,8 +277,8 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str =
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for b in batches:
-            got = [(d, i, s) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, s in index.leaks(t)]
+            got = index.leaks(b.column(1).to_pylist())
             d, i, s = zip(*got) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int32()), pa.array(s, pa.float64())], ["doc_id", "item_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d, pa.int64())), pa.array(i, pa.int32()), pa.array(s, pa.float64())], ["doc_id", "item_id", "score"])
 
     return texts.mapInArrow(find, "doc_id bigint, item_id int, score double")
