@@ -112,6 +112,9 @@ def test_location(spark):
 def test_tables(spark, tmp_path):
     x = spark.createDataFrame([(1, "a", 3), (2, "a", 1), (3, "", 1), (4, "", 2), (5, None, 1), (6, None, 0)], "i int, fp string, n int")
     assert sorted(r.i for r in tab.first_by(x, ["fp"], ["n"], unless=F.col("fp") == "").collect()) == [2, 3, 4, 6]
+    few = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3), ("b", None), (None, 4)], "k string, n int")
+    assert sorted(map(tuple, tab.first_by(few, ["k"], ["n"]).collect()), key=repr) == sorted([("a", 1), ("b", None), (None, 4)], key=repr)
+    assert sorted(map(tuple, tab.first_by(few.withColumn("v", F.lit(1)), ["k"], ["n"]).collect()), key=repr) == sorted([("a", 1, 1), ("b", None, 1), (None, 4, 1)], key=repr)
     assert sorted(r.i for r in tab.top_by(x, ["fp"], [F.col("n")], 1).collect()) == [2, 3, 6]
     known = spark.createDataFrame([(2,), (2,)], "k int")
     assert sorted(r.i for r in tab.skip_known(x, known, "i", "k").collect()) == [1, 3, 4, 5, 6] and [r.i for r in tab.only_known(x, known, "i", "k").collect()] == [2]

@@ -38,6 +38,10 @@ def first_by(df: DataFrame, by: list[str], order: list[str], unless: Column | No
     aggregate, combined before the shuffle: a group with a third of all rows costs a row a task."""
     rest = [c for c in df.columns if c not in {*by, *order}]
     kept = df.where(~F.coalesce(unless, F.lit(False))) if unless is not None else df
+    if not rest and len(order) == 1:  # a plain minimum is aggregated by hash; nulls come first here too
+        least = F.when(F.count_if(F.col(order[0]).isNull()) == 0, F.min(order[0])).alias(order[0])
+        out = kept.groupBy(*by).agg(least).select(*df.columns)
+        return out.unionByName(df.where(unless)) if unless is not None else out
     out = kept.groupBy(*by).agg(F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_r")).select(*by, "_r.*").select(*df.columns)
     return out.unionByName(df.where(unless)) if unless is not None else out
 
